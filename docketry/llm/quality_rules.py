@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import staged
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaim long"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim")
+_COUNTS = StructType([StructField(name, LongType()) for name in MEASURES])
 _SPACE = b" \t\n\r\x0b\x0c"
 _SPACES = {ord(c): None for c in " \t\n\r\x0b\x0c"}
 _UPPER = bytes(range(65, 91))
@@ -69,10 +71,10 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
-@pandas_udf(MEASURES)
+@pandas_udf(_COUNTS)
 def measures(texts: pd.Series) -> pd.DataFrame:
     rows = [measure(x or "") for x in texts]
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in MEASURES.split(", ")], dtype="int64")
+    return pd.DataFrame(rows, columns=list(MEASURES), dtype="int64")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -139,7 +141,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rules: RiskRules = RiskRul
     ``docs`` named like a result are replaced; without labels no cutoff is in force.
     """
     names = list(signals())
-    taken = {x.split()[0] for x in MEASURES.split(", ")} | {"base_failed", "kept", "stratum"}
+    taken = set(MEASURES) | {"base_failed", "kept", "stratum"}
     rest = [c for c in docs.columns if c not in taken and c != "text"]
     counted = docs.select(*rest, measures(F.col("text")).alias("m")).select(*rest, "m.*")
     counted = staged(counted.withColumn("stratum", _stratum(rules)), "quality")

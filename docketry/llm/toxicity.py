@@ -122,7 +122,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], setup: Ftrl
     shared = spark.sparkContext.broadcast((at, w[at], bias))
     rest = [c for c in docs.columns if c not in ("text", "score", "predicted")]
     frame = docs.select(*rest, text_of().alias("text"))
-    schema = frame.drop("text").schema.add("score", "double").add("predicted", "int")
+    schema = frame.drop("text").schema.add("score", "double").add("predicted", "integer")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, bias = shared.value
