@@ -6,10 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, piece_codec, quality_rules, toxicity
+from . import lang_id, piece_codec, quality_rules, suffix_dedup, toxicity
 from .common import fold_of, table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.octet_length("text").cast("long")
+    return found.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold_of("doc_id", 4) == 2
@@ -36,6 +48,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op9_toxicity": op9_toxicity,

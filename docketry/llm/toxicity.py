@@ -28,11 +28,11 @@ class Ftrl:
     """train_docs: labelled documents learned from, by lowest hash of the id: the documented bound of the sample."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 8.0
     l2: float = 0.1
-    epochs: int = 4
+    epochs: int = 10
     train_docs: int = 12_000
 
 
