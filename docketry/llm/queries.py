@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, piece_codec, quality_rules, suffix_dedup, toxicity
+from . import lang_id, near_dedup, piece_codec, quality_rules, suffix_dedup, toxicity
 from .common import fold_of, table
 
 
@@ -35,6 +35,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, near_dedup.Sketches(words=4))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(fold_of("doc_id", 5) != 0))
@@ -51,6 +56,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_piece_codec": op10_piece_codec,
 }
