@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, near_dedup, piece_codec, quality_rules, suffix_dedup, toxicity
+from . import decontaminate, lang_id, near_dedup, piece_codec, quality_rules, suffix_dedup, toxicity, wavelet_tokens
 from .common import fold_of, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_leaks(docs, items)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.octet_length("text").cast("long")
@@ -22,6 +27,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wavelet_tokens.token_table(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold_of("doc_id", 4) == 2
@@ -53,7 +63,9 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_dedup": op8_near_dedup,
