@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, near_dedup, piece_codec, quality_rules, suffix_dedup, toxicity, wavelet_tokens
-from .common import fold_of, table
+from . import decontaminate, lang_id, near_dedup, piece_codec, quality_rules, suffix_dedup, toxicity, warc_audit, wavelet_tokens
+from .common import fold_of, shared_dir, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,22 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: In the audited replica a character of every page with this remainder is changed, for the audit to find.
+DAMAGED = (101, 7)
+
+
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    paths = [shared_dir(spark, f"warc-{k}") for k in "ab"]
+    warc_audit.write_warc(pages.select(warc_audit.record()), paths[0])
+    body = F.coalesce("html", F.lit(""))
+    first = F.when(F.substring(body, 1, 1) == "(", "[").otherwise("(")
+    hurt = F.when((F.col("page_id") % DAMAGED[0] == DAMAGED[1]) & (body != ""), F.concat(first, F.expr("substring(html, 2)"))).otherwise(body)
+    warc_audit.write_warc(pages.withColumn("html", hurt).select(warc_audit.record()), paths[1])
+    page_id = F.regexp_extract("record_id", "page:([^>]*)>", 1).cast("long")
+    return warc_audit.audit(spark, *paths).select(page_id.alias("page_id"), "n_bytes", "sha256", "intact")
+
+
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return wavelet_tokens.token_table(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -65,6 +81,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_warc_audit": op3_warc_audit,
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
@@ -74,4 +91,17 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries' rows; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_audit": f"""
+        WITH records AS (
+            SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                || 'Content-Type: text/html' || chr(13) || chr(10)
+                || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
+                || coalesce(html, '') AS record
+            FROM pages)
+        SELECT page_id, CAST(octet_length(encode(record)) AS BIGINT) AS n_bytes, sha256(record) AS sha256,
+            NOT (page_id % {DAMAGED[0]} = {DAMAGED[1]} AND coalesce(html, '') <> '') AS intact
+        FROM records""",
+}
