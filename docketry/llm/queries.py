@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, near_dedup, piece_codec, quality_rules, suffix_dedup, toxicity, warc_audit, wavelet_tokens
+from . import cross_entropy, decontaminate, lang_id, near_dedup, piece_codec, quality_rules, suffix_dedup, toxicity, warc_audit, wavelet_tokens
 from .common import fold_of, shared_dir, table
 
 
@@ -55,6 +55,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict_languages(docs.select("doc_id", held.alias("held_out"), "text"), costs)
 
 
+def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy.score_documents(docs, good)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
@@ -84,6 +90,7 @@ QUERIES = {
     "op3_warc_audit": op3_warc_audit,
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_language_id": op5_language_id,
+    "op6_cross_entropy": op6_cross_entropy,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
