@@ -131,6 +131,26 @@ def choose_cutoffs(counts: dict[tuple[int, str, int, int], int], rules: RiskRule
     return cutoffs
 
 
+def learn_cutoffs(counted: DataFrame, labels: DataFrame, rules: RiskRules) -> dict[tuple[int, str], int]:
+    """Cutoffs in force, from the measures of all labelled documents (columns doc_id and MEASURES)."""
+    names = list(signals())
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    binned = counted.select("doc_id", _stratum(rules).alias("stratum"), *[v.alias(k) for k, v in _binned(rules).items()])
+    # At most strata x signals x 2 x bins rows.
+    tally = binned.join(known, "doc_id").unpivot(["stratum", "quality"], names, "signal", "bin").groupBy("stratum", "signal", "quality", "bin").count()
+    counts = {(r["stratum"], r["signal"], r["quality"], r["bin"]): r["count"] for r in tally.collect()}
+    return choose_cutoffs(counts, rules, names)
+
+
+def verdict(cutoffs: dict[tuple[int, str], int], rules: RiskRules) -> tuple[Column, Column]:
+    """``base_failed`` and ``kept`` from the measures."""
+    bad = F.lit(False)
+    for (s, name), cut in sorted(cutoffs.items()):
+        bad = bad | ((_stratum(rules) == s) & (_binned(rules)[name] >= cut))
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return base, ~base & ~bad
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
     """All columns of ``docs`` but text, the counts of MEASURES, ``base_failed`` and ``kept``.
 
@@ -140,18 +160,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rules: RiskRules = RiskRul
     is judged by itself, so repeated rows get equal results.  Columns of
     ``docs`` named like a result are replaced; without labels no cutoff is in force.
     """
-    names = list(signals())
-    taken = set(MEASURES) | {"base_failed", "kept", "stratum"}
-    rest = [c for c in docs.columns if c not in taken and c != "text"]
-    counted = docs.select(*rest, measures(F.col("text")).alias("m")).select(*rest, "m.*")
-    counted = staged(counted.withColumn("stratum", _stratum(rules)), "quality")
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = counted.select("doc_id", "stratum", *[v.alias(k) for k, v in _binned(rules).items()]).join(known, "doc_id")
-    # At most strata x signals x 2 x bins rows.
-    tally = held.unpivot(["stratum", "quality"], names, "signal", "bin").groupBy("stratum", "signal", "quality", "bin").count()
-    counts = {(r["stratum"], r["signal"], r["quality"], r["bin"]): r["count"] for r in tally.collect()}
-    bad = F.lit(False)
-    for (s, name), cut in sorted(choose_cutoffs(counts, rules, names).items()):
-        bad = bad | ((F.col("stratum") == s) & (_binned(rules)[name] >= cut))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumn("base_failed", base).withColumn("kept", ~base & ~bad).drop("stratum")
+    taken = {*MEASURES, "base_failed", "kept", "text"}
+    rest = [c for c in docs.columns if c not in taken]
+    counted = staged(docs.select(*rest, measures(F.col("text")).alias("_m")).select(*rest, "_m.*"), "quality")
+    base, kept = verdict(learn_cutoffs(counted, labels, rules), rules)
+    return counted.withColumn("base_failed", base).withColumn("kept", kept)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, unchanged.
+
+    Texts are measured once more instead of being shuffled to their verdicts.
+    """
+    counted = staged(docs.select("doc_id", measures(F.col("text")).alias("_m")).select("doc_id", "_m.*"), "quality")
+    kept = verdict(learn_cutoffs(counted, labels, rules), rules)[1]
+    own = docs.select(F.struct(*docs.columns).alias("_row"), measures(F.col("text")).alias("_m"))
+    return own.select("_row", "_m.*").where(kept).select("_row.*")
