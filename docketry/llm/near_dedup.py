@@ -10,13 +10,20 @@ equal registers are about as likely as the Jaccard similarity.
 2. Runs of ``rows`` registers are the bands; nodes with an equal band meet in
    a bucket.  At similarity 0.8 a pair misses all of 24 bands of 4 with a
    chance of 3e-6.
-3. In each bucket of several components the members are compared with one
-   centre.  Pairs that pass the likelihood estimate from both sketches are
-   checked on the full sets, and links join components.
-4. What is still apart after ``star_rounds`` such rounds is compared in full:
+3. Shingles that no other node in any bucket has are counted.  They bound the
+   similarity of a pair from above, so nodes with too many of them have no
+   link, and pairs with too many of them between them aren't made.
+4. In each bucket of several components the members are compared with one
+   centre, at first the node with the least share of such shingles.  Pairs that
+   pass the likelihood estimate from both sketches are checked on the full
+   sets, and links join components.
+5. What is still apart after ``star_rounds`` such rounds is compared in full:
    members outside a bucket's largest component against all its members of
    other components.  So a link between components can't be missed, and pairs
-   within one component, of which large groups of copies have most, are never made.
+   within one component, of which large groups of copies have most, are never
+   made.  Nor are pairs which their distances from the bucket's first centre
+   prove to be no link: what both have unlike the centre isn't more than what
+   either has so without its own shingles.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, runs_of_bytes, staged, text_of
@@ -84,6 +91,12 @@ def shingle_set(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
+def _halves(shingles: bytes) -> tuple[int, int]:
+    """A 128-bit hash of a whole set, as two signed numbers."""
+    digest = xxhash.xxh3_128_digest(shingles)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def sketch(sets: list[np.ndarray], setup: Sketches) -> np.ndarray:
     """Registers of non-empty sets, a row each."""
     rng = np.random.default_rng(8)
@@ -121,8 +134,8 @@ def _sketched(docs: DataFrame, setup: Sketches) -> DataFrame:
                 sets = [shingle_set(x, setup.words, hashes) for x in texts[lo:hi]]
                 full = [x for x in sets if len(x)]
                 rows = iter([x.tobytes() for x in sketch(full, setup)])
-                ids = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                halves = [pa.array([int.from_bytes(x[k : k + 8], "little", signed=True) for x in ids], pa.int64()) for k in (0, 8)]
+                ids = [_halves(x.tobytes()) for x in sets]
+                halves = [pa.array([x[k] for x in ids], pa.int64()) for k in (0, 1)]
                 registers = pa.array([next(rows) if len(x) else None for x in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), *halves, registers], ["doc_id", "n_shingles", "s1", "s2", "registers"])
 
@@ -164,7 +177,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, setup: Sketches) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, setup: Sketches) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    """a, b, apart (elements that one has and the other hasn't), and linked: whether the full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     few = 2 * pairs.count() <= setup.broadcast_rows
     own = sets.join(F.broadcast(ids) if few else ids, "node", "left_semi")
@@ -172,14 +185,55 @@ def _linked(pairs: DataFrame, sets: DataFrame, setup: Sketches) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = []
+            apart, linked = [], []
             for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(s, t, assume_unique=True))
-                same.append(100 * common >= setup.percent * (len(s) + len(t) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+                apart.append(len(s) + len(t) - 2 * common)
+                linked.append(100 * common >= setup.percent * (common + apart[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "apart", "linked"])
+
+    id_type = pairs.schema["a"].dataType.simpleString()
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {id_type}, b {id_type}, apart long, linked boolean")
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """node, size, own: how many shingles it has, and how many that no other node of ``sets`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), pa.array(np.concatenate(each) if each else np.empty(0, np.int64))], ["node", "shingle"])
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, pairs.select("a", "b").schema)
+    shingles = sets.mapInArrow(run, f"node {sets.schema['node'].dataType.simpleString()}, shingle long")
+    once = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    own = once.groupBy("node").agg(F.count("*").alias("own"))
+    sized = sets.groupBy("node").agg(F.min(F.octet_length("shingles") / 8).cast("long").alias("size"))
+    return sized.join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _may_link(percent: int) -> Column:
+    """Whether nodes p and o can be similar enough, by what is known of both.
+
+    Neither's own shingles are in common and all are in the union.  Of what p
+    and o have unlike a centre, own shingles are unlike for one of them only.
+    """
+    size, own, apart = ((F.col(f"p.{c}"), F.col(f"o.{c}")) for c in ("size", "own", "apart"))
+    common = F.least(size[0] - own[0], size[1] - own[1])
+    union = F.greatest(common + own[0] + own[1], *size)
+    unlike = apart[0] + apart[1] - 2 * F.least(apart[0] - own[0], apart[1] - own[1])
+    near = (100 + percent) * unlike <= (100 - percent) * (size[0] + size[1])
+    return (100 * common >= percent * union) & F.coalesce(near, F.lit(True))
+
+
+def _with_distances(buckets: DataFrame, centres: DataFrame, checked: DataFrame) -> DataFrame:
+    """``apart`` of each bucket's members from its centre, where it was counted."""
+    known = checked.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("apart").alias("counted"))
+    known = known.union(checked.select("b", "a", "apart"))
+    placed = buckets.join(centres, "key", "left").join(known, ["node", "centre"], "left")
+    apart = F.when(F.col("node") == F.col("centre"), F.lit(0)).otherwise(F.col("counted")).cast("long")
+    return placed.select("node", "key", "size", "own", apart.alias("apart"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, setup: Sketches) -> DataFrame:
@@ -189,10 +243,12 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, setup: Sketches) -> DataFrame
         hashes = WordHashes()
         for batch in batches:
             found = [shingle_set(x, setup.words, hashes).tobytes() for x in byte_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+            meant = [_halves(x)[0] == s1 for x, s1 in zip(found, batch.column("s1").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"]).filter(pa.array(meant, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").alias("node"), text_of().alias("text")).join(wanted, "node", "left_semi")
-    return texts.mapInArrow(run, f"node {wanted.schema['node'].dataType.simpleString()}, shingles binary")
+    texts = docs.select(F.col("doc_id").alias("node"), text_of().alias("text")).join(wanted, "node")
+    kind = f"node {wanted.schema['node'].dataType.simpleString()}, shingles binary"
+    return texts.select("node", "text", "s1").mapInArrow(run, kind).dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, setup: Sketches = Sketches()) -> DataFrame:
@@ -202,44 +258,55 @@ def near_duplicates(docs: DataFrame, setup: Sketches = Sketches()) -> DataFrame:
     parted by ASCII white space) are similar by ``percent`` or more;
     ``component_id`` is the smallest id that a document reaches, and the
     document with that id is kept.  A null or empty text has an empty set and no
-    link.  Rows of one id are one document: their links are joined.  A row
-    without id is linked to nothing: its component_id is null and it is kept.
+    link.  Rows of one id are one document: the row with the most shingles is
+    compared, and all get its component.  A row without id is linked to
+    nothing: its component_id is null and it is kept.
     """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     every = staged(_sketched(docs, setup), "sketches")
+    one = every.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("set")).select("doc_id", "set.*")
     # Equal sets have their smallest id as node.
-    sets = every.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    members = staged(every.join(sets, ["s1", "s2"]).where("doc_id is not null").select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("registers")).alias("registers")), "members")
-    nodes = members.where("doc_id = node").select("node", "n_shingles", "registers")
-    # Ids with several texts link the nodes of these.
-    links = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    sets = one.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
+    members = staged(one.join(sets, ["s1", "s2"]).select("doc_id", "node"), "members")
+    chosen = every.join(sets.withColumnRenamed("node", "doc_id"), ["doc_id", "s1", "s2"])
+    nodes = staged(chosen.select(F.col("doc_id").alias("node"), "n_shingles", "s1", "registers").dropDuplicates(["node"]), "nodes")
 
     bands = _banded(nodes, setup)
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = staged(bands.join(shared, "key").distinct(), "buckets")
-    full = staged(_full_sets(docs, buckets.select("node").distinct(), setup), "sets")
+    full = staged(_full_sets(docs, nodes.select("node", "s1").join(buckets, "node", "left_semi"), setup), "sets")
+
+    own = _own_shingles(full).where(100 * (F.col("size") - F.col("own")) >= setup.percent * F.col("size"))
+    buckets = staged(buckets.join(own, "node"), "buckets")
 
-    tested = links = staged(links, "links")
-    labels = components(links)
+    links = docs.sparkSession.createDataFrame([], f"a {id_type}, b {id_type}")
+    tested, labels = links, links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    keys = buckets.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    buckets = buckets.withColumn("apart", F.lit(None).cast("long"))
     for turn in range(setup.star_rounds + 1):
-        at = F.coalesce("comp", "node")
-        placed = buckets.join(labels, "node", "left").select("key", "node", at.alias("comp"))
+        placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if turn < setup.star_rounds:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")
-            centres = placed.groupBy("key").agg(F.min(order).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", F.col("c.node").alias("b"), F.col("c.comp").alias("other"))
-            met = placed.join(centres, "key").where("comp <> other").select(F.col("node").alias("a"), "b")
+            share = F.col("own") / F.col("size")
+            order = [share, "node"] if not turn else [F.floor(20 * share), F.xxhash64("node", F.lit(turn)), "node"]
+            centre = F.min(F.struct(*[F.col(x).alias(f"_{k}") if isinstance(x, str) else x.alias(f"_{k}") for k, x in enumerate(order)], "node", "comp", "size", "own", "apart"))
+            other = placed.groupBy("key").agg(centre.alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "c.node", "c.comp", "c.size", "c.own", "c.apart")
         else:
             sizes = placed.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("large"), F.count("*").alias("parts"))
-            mixed = placed.join(sizes.where("parts > 1").select("key", F.col("large.comp").alias("main")), "key")
-            minor = mixed.where("comp <> main").select("key", F.col("node").alias("b"), F.col("comp").alias("other"))
-            met = mixed.join(minor, "key").where("comp <> other").select(F.col("node").alias("a"), "b")
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
+            placed = placed.join(sizes.where("parts > 1").select("key", F.col("large.comp").alias("main")), "key")
+            placed = placed.join(keys, "node")
+            other = placed.where("comp <> main")
+        meet = (F.col("p.key") == F.col("o.key")) & (F.col("p.comp") != F.col("o.comp")) & _may_link(setup.percent)
+        if turn == setup.star_rounds:
+            # In the first bucket only of those that both are in.
+            meet = meet & (F.array_intersect("p.keys", "o.keys")[0] == F.col("p.key"))
+        met = placed.alias("p").join(other.alias("o"), meet).select(F.least("p.node", "o.node").alias("a"), F.greatest("p.node", "o.node").alias("b"))
+        pairs = staged(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
-        near = staged(_likely(pairs, nodes, setup), "likely")
-        links = links.union(staged(_linked(near, full, setup), "linked"))
+        checked = staged(_linked(staged(_likely(pairs, nodes, setup), "likely"), full, setup), "checked")
+        links = links.union(checked.where("linked").select("a", "b"))
         labels = components(links)
+        if not turn:
+            buckets = staged(_with_distances(buckets, other.select("key", F.col("node").alias("centre")), checked), "buckets")
 
     reached = members.select("doc_id", "node").distinct().join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "node")).alias("component_id"))
     found = every.select("doc_id", "n_shingles").join(reached, "doc_id", "left")

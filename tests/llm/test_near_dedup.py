@@ -17,6 +17,9 @@ def brute(rows, words=4, percent=80):
         n = min(words, len(w))
         sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else frozenset())
     up = {i: i for i, _ in rows if i is not None}
+    most = {}
+    for (i, _), s in zip(rows, sets):
+        most[i] = max(most.get(i, frozenset()), s, key=len)
 
     def top(i):
         while up[i] != i:
@@ -28,8 +31,9 @@ def brute(rows, words=4, percent=80):
             b = rows[j][0]
             if a is None or b is None:
                 continue
-            both = len(sets[i] & sets[j])
-            if a == b or sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            s, t = most[a], most[b]
+            both = len(s & t)
+            if s and t and 100 * both >= percent * (len(s) + len(t) - both):
                 x, y = sorted((top(a), top(b)))
                 up[y] = x
     return sorted(((i, len(s), None if i is None else top(i), i is None or top(i) == i) for (i, _), s in zip(rows, sets)), key=str)
