@@ -16,7 +16,10 @@ cover are its context.
    occurrences is a repeat, and it is maximal if its suffixes differ in the
    byte to their left.  Each maximal repeat covers all of its occurrences.
 4. An anchor with more than ``most_contexts`` contexts isn't gathered in one
-   task: its windows are counted by hash, combined before the shuffle.
+   task.  Its windows are halved instead, by how far left of the anchor they
+   start: a block of windows is repeated wholly if all its bytes are, and holds
+   no repeat if the bytes that its windows share are unlike all others; only
+   what is neither is halved again.  The counts are combined before the shuffle.
 
 Contexts and windows are told apart by 64-bit hashes besides the 64-bit hash
 of their anchor.
@@ -183,10 +186,8 @@ def repeated_ranges(docs: DataFrame, length: int, most_contexts: int) -> DataFra
     tree = contexts.where("not crowded").select("gram", "context", "n", "bytes").repartition("gram").sortWithinPartitions("gram", "context")
     ranges = tree.mapInArrow(_tree_ranges(length), "gram long, context long, start long, end long")
     crowded = contexts.where("crowded").select("gram", "context", "n", "place", "bytes")
-    windows = crowded.mapInArrow(_window_hashes(length), "gram long, context long, n long, start long, before long, window long")
-    key = ["gram", "before", "window"]
-    twice = windows.groupBy(*key).agg(F.sum("n").alias("total")).where("total > 1").select(*key)
-    ranges = ranges.union(windows.join(twice, key).select("gram", "context", "start", (F.col("start") + length).alias("end")))
+    if not crowded.isEmpty():
+        ranges = ranges.union(_halved(crowded, length))
     ranges = ranges.groupBy("gram", "context").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     partly = repeated.where("mixed").join(ranges, ["gram", "context"]).select("doc_id", "_h", "first", F.explode("ranges").alias("r"))
     wholly = repeated.where("not mixed").select("doc_id", "_h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
@@ -221,15 +222,50 @@ def _tree_ranges(length: int):
     return scan
 
 
-def _window_hashes(length: int):
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halved(contexts: DataFrame, length: int) -> DataFrame:
+    """gram, context, start, end: what repeats in contexts of which any number may have one anchor."""
+    size = 1 << (length - GRAM).bit_length() - 2
+    kind = "gram long, context long, n long, place long, bytes binary, block long, low long, high long, all long, shared long"
+    open_blocks, out = contexts.withColumn("block", F.lit(None).cast("long")), None
+    while size:
+        blocks = staged(open_blocks.mapInArrow(_blocks(size, length), kind), "blocks")
+        whole = blocks.groupBy("gram", "low", "high", "all").agg(F.sum("n").alias("same"), F.min("context").alias("keeper")).where("same > 1")
+        part = blocks.groupBy("gram", "block", "shared").agg(F.sum("n").alias("alike")).where("alike > 1")
+        known = blocks.join(whole, ["gram", "low", "high", "all"], "left")
+        found = known.where("same > 1").select("gram", "context", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))
+        out = found if out is None else out.union(found)
+        # Of equal blocks one goes on for all, as others may equal a part of it.
+        going = known.where("same is null or context = keeper").withColumn("n", F.coalesce("same", "n"))
+        open_blocks = going.join(part, ["gram", "block", "shared"], "left_semi").select("gram", "context", "n", "place", "bytes", "block")
+        size //= 2
+    return out
+
+
+def _blocks(size: int, length: int):
+    """Cut each context's windows (those of ``block`` at twice the size, or all) into blocks of ``size``.
+
+    Windows are told by how many bytes left of the anchor they start.  low and
+    high: the context's own windows in the block; all: hash of the bytes they
+    cover; shared: hash of the bytes that all windows of the block would share.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
         for batch in batches:
             rows = []
-            for gram, context, n, place, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "n", "place", "bytes")), strict=True):
-                rows += [(gram, context, n, i, place - i, xxhash.xxh3_64_intdigest(text[i : i + length]) - (1 << 63)) for i in range(len(text) - length + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], ["gram", "context", "n", "start", "before", "window"])
-
-    return hashed
+            for r in batch.to_pylist():
+                text, place = r["bytes"], r["place"]
+                least, most = place - (len(text) - length), place
+                own = range(least // size, most // size + 1) if r["block"] is None else (2 * r["block"], 2 * r["block"] + 1)
+                for block in own:
+                    low, high = max(least, block * size), min(most, block * size + size - 1)
+                    if low <= high:
+                        shared = text[place - block * size : place - (block * size + size - 1) + length]
+                        rows.append(r | {"block": block, "low": low, "high": high, "all": digest(text[place - high : place - low + length]), "shared": digest(shared)})
+            names = ["gram", "context", "n", "place", "bytes", "block", "low", "high", "all", "shared"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == "bytes" else pa.int64()) for k in names], names)
+
+    return cut
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, most_contexts: int = 256, whole_characters: bool = False) -> DataFrame:
