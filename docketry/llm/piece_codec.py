@@ -17,7 +17,7 @@ that stands in the text, so decoding gives back every text exactly.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_CACHED, _LONGEST_CACHED = 150_000, 64
+_CACHED, _LONGEST_CACHED = 400_000, 64
 
 
 class Codec:
@@ -49,65 +49,76 @@ class Codec:
                 self.piece[name] = (i, model.get_score(i))
                 self.raw.append(name.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.piece))
+        self.trie: dict = {}
+        for name, found in self.piece.items():
+            node = self.trie
+            for c in name:
+                node = node.setdefault(c, {})
+            node[""] = found
         #: Below every cover by pieces that could replace a spelled character.
         self.spelled = min(s for _, s in self.piece.values()) * 2 - 1
         self.free = all(SPACE not in name.lstrip(SPACE) for name in self.piece) and not any("\n" in name for name in self.piece)
         self.inner, self.after_space = _Memo(self, ""), _Memo(self, SPACE)
 
-    def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of a marked text, given in characters, in committed portions.
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """Ids of a marked text in committed portions.
 
-        On a tie the longer last piece wins.
+        On a tie the longer last piece wins.  Kept are the positions since the
+        last commit, and the pieces that start there and reach ahead.
         """
-        window: list[str] = []  # the last characters, self.longest at most
-        score, back, ids = {0: 0.0}, {}, {}
-        end = done = 0
-        for c in chars:
-            end += 1
-            window.append(c)
-            if len(window) > self.longest:
-                window.pop(0)
-            best, came, which = score[end - 1] + self.spelled, end - 1, None
-            for k in range(len(window)):
-                found = self.piece.get("".join(window[k:]))
-                start = end - len(window) + k
-                if found and start >= done and start in score and score[start] + found[1] > best:
-                    best, came, which = score[start] + found[1], start, [found[0]]
-            score[end], back[end] = best, came
-            ids[end] = which or [self.byte[b] for b in c.encode("utf-8", "replace")]
-            score.pop(end - self.longest, None)
-            if len(back) >= 2 * self.longest:
-                meet = self._meeting(score, back, done)
-                if meet > done:
-                    yield self._path(back, ids, done, meet)
-                    done = meet
-                    for at in [x for x in back if x <= meet]:
-                        del back[at], ids[at]
-                    for at in [x for x in score if x < meet]:
-                        del score[at]
-        yield self._path(back, ids, done, end)
-
-    @staticmethod
-    def _meeting(score: dict, back: dict, done: int) -> int:
-        """The last boundary that the paths of all states in ``score`` pass."""
-        live = set(score)
+        spelled, root, patience = self.spelled, self.trie, 2 * self.longest
+        base = 0  # the last committed boundary; lists hold the positions from it on
+        score, back, ids = [0.0], [0], [None]
+        for start in range(len(text)):
+            at = start - base
+            here = score[at]
+            if len(score) == at + 1:
+                score.append(None), back.append(0), ids.append(None)
+            if score[at + 1] is None or here + spelled > score[at + 1]:
+                score[at + 1], back[at + 1], ids[at + 1] = here + spelled, at, text[start]
+            node, end = root, at
+            for c in text[start : start + self.longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                if end == len(score):
+                    score.append(None), back.append(0), ids.append(None)
+                found = node.get("")
+                if found and (score[end] is None or here + found[1] > score[end]):
+                    score[end], back[end], ids[end] = here + found[1], at, found[0]
+            if at + 1 >= patience:
+                meet = self._meeting(back, at + 1)
+                if meet:
+                    yield self._path(back, ids, meet)
+                    base += meet
+                    del score[:meet], back[:meet], ids[:meet]
+                    back = [max(x - meet, 0) for x in back]
+                else:
+                    patience += self.longest
+                    continue
+                patience = 2 * self.longest
+        yield self._path(back, ids, len(text) - base)
+
+    def _meeting(self, back: list[int], end: int) -> int:
+        """The last boundary on the paths of all positions that a later piece can start from; 0 if there is none."""
+        live = set(range(max(end - self.longest + 1, 0), end + 1))
         while len(live) > 1:
             last = max(live)
             live.discard(last)
-            live.add(back.get(last, done))
+            live.add(back[last])
         return live.pop()
 
-    @staticmethod
-    def _path(back: dict, ids: dict, start: int, end: int) -> list[int]:
+    def _path(self, back: list[int], ids: list, end: int) -> list[int]:
         out = []
-        while end > start:
+        while end > 0:
             out.append(ids[end])
             end = back[end]
-        return [i for part in reversed(out) for i in part]
+        return [i for part in reversed(out) for i in ([part] if isinstance(part, int) else [self.byte[b] for b in part.encode("utf-8", "replace")])]
 
     def _plain(self, text: str) -> bytes:
         """Any text, its mark of the front included, without cuts."""
-        # A mark that stands in the text itself must be spelled: no piece has U+0000 in the vocabulary.
+        # A mark that stands in the text itself is spelled.
         out: list[int] = []
         parts = text.split(SPACE)
         for k, part in enumerate(parts):
