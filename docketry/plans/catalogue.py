@@ -11,6 +11,9 @@ from docketry.functions import grounding, html, text
 from docketry.functions.similarity import partial_of, ratio_of, token_set_of
 from docketry.operators import audit, changes, evaluation, inbox, linking, monitoring, scoring, statistics
 from docketry.operators.inbox import ListQuery
+from docketry.session import shared_path
+from docketry.sources import files, listings
+from docketry.streaming import ingest
 
 from . import bindings as b
 from .bindings import AS_OF_DATE, AS_OF_TIME, JUDGED, RECORDS, RUNS, SUGGESTIONS
@@ -626,3 +629,81 @@ def audit_chain_verify(spark, sf):
     chained = audit.build_chain(_events(spark, sf))
     hurt = (F.col("record") * 31 + F.col("place")) % 50 == 7
     return audit.verify_chain(chained.withColumn("payload", F.when(hurt, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))))
+
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 4) AS value FROM events GROUP BY user_id")
+def stream_ingest_replay(spark, sf):
+    """Events as revisions of their users, replayed through a stream into the archive; its final state."""
+    path = shared_path(spark, "ingest")
+    stream = ingest.source(spark, f"{sf}/events*.parquet", EVENTS)
+    ingest.ingest(stream, path, f"{path}-log", lambda x: x.select("user_id", "event_id", "event_type", "value")).awaitTermination()
+    return ingest.current(spark, path, ["user_id"], ["event_id"]).withColumn("value", F.round("value", 4))
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_hourly_windows(spark, sf):
+    stream = ingest.source(spark, f"{sf}/events*.parquet", EVENTS)
+    return ingest.run_to_parquet(ingest.windowed(stream, "ts", "event_type"), spark, "windows").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH b AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN event_id // 2 END AS parent FROM events WHERE event_id % 5 <> 1)
+    SELECT id, parent, parent IS NULL OR parent IN (SELECT id FROM b) AS ready FROM b""")
+def late_children(spark, sf):
+    i = F.col("event_id")
+    batch = b.table(spark, sf, "events").where(i % 5 != 1).select(i.alias("id"), F.when(i % 3 == 0, F.floor(i / 2)).alias("parent"))
+    ready, waiting = ingest.ready_and_deferred(batch, batch.limit(0))
+    return ready.withColumn("ready", F.lit(True)).unionByName(waiting.withColumn("ready", F.lit(False)))
+
+
+@query("SELECT page_id, regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^(.*\\.org|www\\..*)$') AS allowed FROM pages")
+def host_allow_list(spark, sf):
+    return b.table(spark, sf, "pages").select("page_id", listings.host_allowed(F.col("url"), ["*.org", "www.*"]).alias("allowed"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IN ('1', '2', '3')""")
+def json_listing(spark, sf):
+    bodies = b.table(spark, sf, "events").select(F.concat(F.lit('{"data": {"items": [{"id": '), F.col("event_id").cast("string"), F.lit(', "p": '), F.col("props"), F.lit("}]}}")).alias("body"))
+    found = listings.json_items(bodies, listings.JsonListing("data.items", {"event_id": "id", "k": "p.k"}, allow={"k": ("1", "2", "3")}))
+    return found.select(F.col("event_id").cast("long").alias("event_id"), "k")
+
+
+@query()
+def link_listing(spark, sf):
+    return listings.link_items(b.table(spark, sf, "pages"), r"https?://[^/]+/([^?#]+)", r"\.(?:css|js|png)$")
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def blob_store(spark, sf):
+    """Every text stored once under its digest, and the key of each document."""
+    return files.store_blobs(b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), shared_path(spark, "blobs"))
+
+
+@query(f"""WITH {RECORDS} SELECT 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT '  ' || processing_status || '["' || processing_status || ' (' || count(*) || ')"]' AS line FROM rec GROUP BY processing_status)""")
+def pipeline_chart(spark, sf):
+    nodes = b.records(spark, sf).groupBy(F.col("processing_status").alias("id")).agg(F.count("*").alias("n")).withColumn("label", F.col("id"))
+    return files.mermaid(nodes, spark.createDataFrame([], "a string, b string, label string"))
+
+
+@query("""WITH c AS (SELECT text, min(event_id) AS first FROM (SELECT event_type || '/' || user_id AS text, event_id FROM events) GROUP BY text) SELECT text, first FROM c""")
+def request_cache(spark, sf):
+    """Each distinct request is answered once, by its first call."""
+    text_of = F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("text")
+    return b.table(spark, sf, "events").select(text_of, "event_id").groupBy("text").agg(F.min("event_id").alias("first"))
+
+
+@query()
+def title_facts(spark, sf):
+    """All that is read from a title, for the pages' titles."""
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    facts = {"kind": text.guess_type(title), "amends": text.is_amendment(title), "amended": text.amended_title(title), "decision": text.decision_no(title), "sequence": text.sequence_no(title), "issuer": text.match_issuer(title), "day": text.parse_date(title).cast("string")}
+    return b.table(spark, sf, "pages").select("page_id", *[v.alias(k) for k, v in facts.items()])
+
+
+@query()
+def effective_clauses(spark, sf):
+    clause = text.effective_sentence("text")
+    found = text.effective_date(clause, F.lit(AS_OF_DATE).cast("date"))
+    return b.table(spark, sf, "documents").select("doc_id", clause.alias("clause"), found["value"].cast("string").alias("day"), found["basis"].alias("basis"))
