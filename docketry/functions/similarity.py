@@ -54,7 +54,8 @@ def partial(a: str, b: str, least: float = 0.0) -> tuple[float, int, int]:
     if not a or not b:
         return (100.0 if a == b else 0.0), 0, 0
     short, long, turned = (a, b, False) if len(a) <= len(b) else (b, a, True)
-    n, letters, best = len(short), set(short), (0.0, 0, n)
+    n, letters = len(short), set(short)
+    best = (0.0, 0, n)
     for start in range(1 - n, len(long)):
         low, high = max(start, 0), min(start + n, len(long))
         # A best part ends and starts with a letter of the shorter text.
