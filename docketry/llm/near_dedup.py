@@ -21,9 +21,10 @@ equal registers are about as likely as the Jaccard similarity.
    members outside a bucket's largest component against all its members of
    other components.  So a link between components can't be missed, and pairs
    within one component, of which large groups of copies have most, are never
-   made.  Nor are pairs which their distances from the bucket's first centre
-   prove to be no link: what both have unlike the centre isn't more than what
-   either has so without its own shingles.
+   made.  Nor are pairs which what is known of both against the bucket's first
+   centre proves to be no link: what both have unlike the centre isn't more
+   than what either has so without its own shingles, nor more than what either
+   has so in each of ``cells`` cells by hash, summed up.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class Sketches:
     """words: length of a shingle; percent: least similarity; base, rate, most: SetSketch's b, a and q.
 
     margin: pairs whose estimate is that much under the least similarity (about
-    six standard errors) aren't checked; broadcast_rows: ids sent to all tasks at most.
+    six standard errors) aren't checked; broadcast_rows: ids sent to all tasks at most; cells: counts kept of what a node has unlike a centre.
     """
 
     words: int = 5
@@ -61,6 +62,7 @@ class Sketches:
     margin: float = 0.25
     star_rounds: int = 3
     broadcast_rows: int = 100_000
+    cells: int = 128
 
     @property
     def m(self) -> int:
@@ -176,8 +178,9 @@ def _likely(pairs: DataFrame, nodes: DataFrame, setup: Sketches) -> DataFrame:
     return sized.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, setup: Sketches) -> DataFrame:
-    """a, b, apart (elements that one has and the other hasn't), and linked: whether the full sets are similar enough."""
+def _linked(pairs: DataFrame, sets: DataFrame, setup: Sketches, cells: int = 0) -> DataFrame:
+    """a, b, apart (elements that one has and the other hasn't), unlike (their counts by cell, if
+    ``cells`` isn't 0), and linked: whether the full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     few = 2 * pairs.count() <= setup.broadcast_rows
     own = sets.join(F.broadcast(ids) if few else ids, "node", "left_semi")
@@ -185,16 +188,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, setup: Sketches) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart, linked = [], []
+            apart, unlike, linked = [], [], []
             for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                apart.append(len(s) + len(t) - 2 * common)
+                other = np.setxor1d(s, t, assume_unique=True)
+                apart.append(len(other))
+                common = (len(s) + len(t) - apart[-1]) // 2
+                unlike.append(np.bincount((other % np.uint64(cells)).astype(np.int64), minlength=cells) if cells else None)
                 linked.append(100 * common >= setup.percent * (common + apart[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "apart", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64()), pa.array(unlike, pa.list_(pa.int32())), pa.array(linked, pa.bool_())], ["a", "b", "apart", "unlike", "linked"])
 
     id_type = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {id_type}, b {id_type}, apart long, linked boolean")
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {id_type}, b {id_type}, apart long, unlike array<int>, linked boolean")
 
 
 def _own_shingles(sets: DataFrame) -> DataFrame:
@@ -217,23 +222,31 @@ def _may_link(percent: int) -> Column:
     """Whether nodes p and o can be similar enough, by what is known of both.
 
     Neither's own shingles are in common and all are in the union.  Of what p
-    and o have unlike a centre, own shingles are unlike for one of them only.
+    and o have unlike a centre, own shingles are unlike for one of them only,
+    and in each cell no more than the lesser count is unlike for both.
     """
     size, own, apart = ((F.col(f"p.{c}"), F.col(f"o.{c}")) for c in ("size", "own", "apart"))
     common = F.least(size[0] - own[0], size[1] - own[1])
     union = F.greatest(common + own[0] + own[1], *size)
     unlike = apart[0] + apart[1] - 2 * F.least(apart[0] - own[0], apart[1] - own[1])
     near = (100 + percent) * unlike <= (100 - percent) * (size[0] + size[1])
-    return (100 * common >= percent * union) & F.coalesce(near, F.lit(True))
+    shared = F.aggregate(F.zip_with("p.unlike", "o.unlike", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    close = (100 + percent) * (apart[0] + apart[1] - 2 * shared) <= (100 - percent) * (size[0] + size[1])
+    return (100 * common >= percent * union) & F.coalesce(near, F.lit(True)) & F.coalesce(close, F.lit(True))
 
 
-def _with_distances(buckets: DataFrame, centres: DataFrame, checked: DataFrame) -> DataFrame:
-    """``apart`` of each bucket's members from its centre, where it was counted."""
-    known = checked.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("apart").alias("counted"))
-    known = known.union(checked.select("b", "a", "apart"))
-    placed = buckets.join(centres, "key", "left").join(known, ["node", "centre"], "left")
-    apart = F.when(F.col("node") == F.col("centre"), F.lit(0)).otherwise(F.col("counted")).cast("long")
-    return placed.select("node", "key", "size", "own", apart.alias("apart"))
+def _with_distances(buckets: DataFrame, centres: DataFrame, checked: DataFrame, labels: DataFrame, cells: int) -> DataFrame:
+    """The buckets that still have several components, with ``apart`` and ``unlike`` of members
+    from the bucket's centre, where they were counted."""
+    placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    known = checked.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("apart").alias("counted"), F.col("unlike").alias("by_cell"))
+    known = known.union(checked.select("b", "a", "apart", "unlike"))
+    placed = buckets.join(several, "key").join(centres, "key", "left").join(known, ["node", "centre"], "left")
+    itself = F.col("node") == F.col("centre")
+    apart = F.when(itself, F.lit(0)).otherwise(F.col("counted")).cast("long")
+    unlike = F.when(itself, F.array_repeat(F.lit(0), cells)).otherwise(F.col("by_cell"))
+    return placed.select("node", "key", "size", "own", apart.alias("apart"), unlike.alias("unlike"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, setup: Sketches) -> DataFrame:
@@ -282,14 +295,14 @@ def near_duplicates(docs: DataFrame, setup: Sketches = Sketches()) -> DataFrame:
     links = docs.sparkSession.createDataFrame([], f"a {id_type}, b {id_type}")
     tested, labels = links, links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     keys = buckets.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    buckets = buckets.withColumn("apart", F.lit(None).cast("long"))
+    buckets = buckets.withColumn("apart", F.lit(None).cast("long")).withColumn("unlike", F.lit(None).cast("array<int>"))
     for turn in range(setup.star_rounds + 1):
         placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if turn < setup.star_rounds:
             share = F.col("own") / F.col("size")
             order = [share, "node"] if not turn else [F.floor(20 * share), F.xxhash64("node", F.lit(turn)), "node"]
-            centre = F.min(F.struct(*[F.col(x).alias(f"_{k}") if isinstance(x, str) else x.alias(f"_{k}") for k, x in enumerate(order)], "node", "comp", "size", "own", "apart"))
-            other = placed.groupBy("key").agg(centre.alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "c.node", "c.comp", "c.size", "c.own", "c.apart")
+            centre = F.min(F.struct(*[F.col(x).alias(f"_{k}") if isinstance(x, str) else x.alias(f"_{k}") for k, x in enumerate(order)], "node", "comp", "size", "own", "apart", "unlike"))
+            other = placed.groupBy("key").agg(centre.alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "c.node", "c.comp", "c.size", "c.own", "c.apart", "c.unlike")
         else:
             sizes = placed.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("large"), F.count("*").alias("parts"))
             placed = placed.join(sizes.where("parts > 1").select("key", F.col("large.comp").alias("main")), "key")
@@ -302,11 +315,11 @@ def near_duplicates(docs: DataFrame, setup: Sketches = Sketches()) -> DataFrame:
         met = placed.alias("p").join(other.alias("o"), meet).select(F.least("p.node", "o.node").alias("a"), F.greatest("p.node", "o.node").alias("b"))
         pairs = staged(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
-        checked = staged(_linked(staged(_likely(pairs, nodes, setup), "likely"), full, setup), "checked")
+        checked = staged(_linked(staged(_likely(pairs, nodes, setup), "likely"), full, setup, 0 if turn else setup.cells), "checked")
         links = links.union(checked.where("linked").select("a", "b"))
         labels = components(links)
         if not turn:
-            buckets = staged(_with_distances(buckets, other.select("key", F.col("node").alias("centre")), checked), "buckets")
+            buckets = staged(_with_distances(buckets, other.select("key", F.col("node").alias("centre")), checked, labels, setup.cells), "buckets")
 
     reached = members.select("doc_id", "node").distinct().join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "node")).alias("component_id"))
     found = every.select("doc_id", "n_shingles").join(reached, "doc_id", "left")
