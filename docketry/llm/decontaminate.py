@@ -33,6 +33,7 @@ from .common import text_of
 
 _EDGES = re.compile(r"^\W+|\W+$")
 _COINS = 256
+_WORDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,6 @@ class Index:
                 self.items.append((name, np.array(ids, np.int64)))
         self.n = len(self.words) + 1
         self.pairs = np.unique(np.concatenate([x[:-1] * self.n + x[1:] for _, x in self.items] or [np.empty(0, np.int64)]))
-        self.edits = lambda length: int(self.setup.rate * length)
         self.sizes: dict[int, list[int]] = {}
         for i, (_, x) in enumerate(self.items):
             self.sizes.setdefault(len(x), []).append(i)
@@ -100,6 +100,9 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 self.keys[size, t] = key[order], np.array(own)[order]
 
+    def edits(self, length: int) -> int:
+        return int(self.setup.rate * length)
+
     def _walk(self, ids: np.ndarray, starts: np.ndarray, size: int, table: int) -> np.ndarray:
         """Each window's sampled embedding, as one number."""
         places, at, key = self.places[size][table], starts.copy(), np.zeros(len(starts), np.uint64)
@@ -139,36 +142,64 @@ class Index:
         return self.setup.most_tables
 
     def search(self, text: str) -> list[tuple[object, int, int, int]]:
-        """(item, distance, first word, words) of the nearest passage for each item that the text holds."""
+        return self.search_all([text])[0]
+
+    def search_all(self, texts: list[str]) -> list[list[tuple[object, int, int, int]]]:
+        """For each text (item, distance, first word, words) of the nearest passage for each item that it holds.
+
+        The windows of all texts take a walk together; no window goes on into the next text.
+        """
+        out: list[list] = [[] for _ in texts]
         if not self.items:
-            return []
-        ids = np.fromiter((self.words.get(w, 0) for w in plain_words(text)), np.int64)
-        if not len(ids):
-            return []
-        pair = ids[:-1] * self.n + ids[1:]
-        at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
-        known = (self.pairs[at] == pair) & (ids[:-1] > 0) & (ids[1:] > 0) if len(self.pairs) else np.zeros(len(pair), bool)
-        total = np.append(0, np.cumsum(known))
-        if total[-1] < min(self.need.values()):
-            return []
-        found: dict[int, tuple[int, int, int]] = {}
-        tried: dict[int, list[int]] = {}
-        for size, own in self.sizes.items():
+            return out
+        held, total, size = [], [], 0
+
+        def flush() -> None:
+            for (n, _), found in zip(held, self._search(held, total) if held else [], strict=True):
+                out[n] = [(self.items[i][0], *x) for i, x in sorted(found.items())]
+
+        for n, text in enumerate(texts):
+            ids = np.fromiter((self.words.get(w, 0) for w in plain_words(text)), np.int64)
+            pair = ids[:-1] * self.n + ids[1:]
+            at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+            known = (self.pairs[at] == pair) & (ids[:-1] > 0) & (ids[1:] > 0) if len(self.pairs) else np.zeros(len(pair), bool)
+            if len(ids) and known.sum() >= min(self.need.values()):
+                held.append((n, ids))
+                total.append(np.append(0, np.cumsum(known)))
+                size += len(ids)
+            if size >= _WORDS:
+                flush()
+                held, total, size = [], [], 0
+        flush()
+        return out
+
+    def _search(self, held: list[tuple[int, np.ndarray]], total: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
+        """The nearest passages of some texts, given as word numbers and counts of known pairs before each place."""
+        gap = np.zeros(max(self.sizes), np.int64)
+        every = np.concatenate([x for _, ids in held for x in (ids, gap)])
+        fronts = np.cumsum([0] + [len(ids) + len(gap) for _, ids in held[:-1]])
+        found: list[dict] = [{} for _ in held]
+        tried: list[dict] = [{} for _ in held]
+        for size in self.sizes:
             k = self.edits(size)
-            # A passage may have up to k words less than the item, at a text's end too.
-            ends = np.minimum(np.arange(len(ids)) + size - 1, len(total) - 1)
-            starts = np.flatnonzero((total[ends] - total[np.arange(len(ids))] >= self.need[size]) & (len(ids) - np.arange(len(ids)) >= size - k))
+            parts = []
+            for front, (_, ids), counts in zip(fronts, held, total, strict=True):
+                # A passage may have up to k words less than the item, at a text's end too.
+                places = np.arange(len(ids) - (size - k) + 1)
+                ends = np.minimum(places + size - 1, len(counts) - 1)
+                parts.append(places[counts[ends] - counts[places] >= self.need[size]] + front if len(places) else places)
+            starts = np.concatenate(parts)
             if not len(starts):
                 continue
             for t in range(self.tables[size]):
                 keys, names = self.keys[size, t]
-                got = self._walk(ids, starts, size, t)
+                got = self._walk(every, starts, size, t)
                 low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
                 for w in np.flatnonzero(high > low):
-                    start = int(starts[w])
+                    d = int(np.searchsorted(fronts, starts[w], "right")) - 1
                     for i in names[low[w] : high[w]].tolist():
-                        self._verify(ids, start, i, k, found, tried)
-        return [(self.items[i][0], *x) for i, x in sorted(found.items())]
+                        self._verify(held[d][1], int(starts[w] - fronts[d]), i, k, found[d], tried[d])
+        return found
 
     def _verify(self, ids: np.ndarray, start: int, i: int, k: int, found: dict, tried: dict) -> None:
         if i in found and found[i][0] == 0 or any(abs(start - s) <= k // 2 for s in tried.setdefault(i, [])):
@@ -198,12 +229,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, setup: Leaks = Leaks()) ->
     out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
-        shared = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
+        shared = spark.sparkContext.broadcast(Index([tuple(r) for r in own.collect()], setup))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, setup)
+            index = shared.value
             for batch in batches:
-                rows = [(name, *x) for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in index.search(text)]
+                found = index.search_all(batch.column("text").to_pylist())
+                rows = [(name, *x) for name, own in zip(batch.column("doc_id").to_pylist(), found, strict=True) for x in own]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "item_id", "distance", "first_word", "n_words"])
 
         types = [pa.int64() if id_type == "bigint" else pa.string(), pa.int64() if item_type == "bigint" else pa.string(), pa.int32(), pa.int64(), pa.int64()]
