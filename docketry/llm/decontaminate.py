@@ -1,24 +1,25 @@
-"""Benchmark decontamination by CGK embedding and bit sampling.
+"""Benchmark decontamination by shared word pairs and bit-parallel edit distance.
 
 Texts are compared as words, lower-case and without punctuation.  A document
 holds a benchmark item if a passage of it is within ``rate`` of the item's
 words in edit distance (words put in, left out or changed).
 
 1. An edit touches two pairs of neighbouring words, so a passage within ``k``
-   edits of an item of ``L`` words has ``L - 1 - 2k`` of its word pairs.
-   Windows of an item's size with fewer pairs known from any item are skipped;
-   this loses nothing.
-2. The CGK random walk writes a window's words one after another, at each step
-   going on to the next word or staying, by a random bit for step and word.  It
-   maps windows near in edit distance to strings near in Hamming distance.
-3. Each of ``tables`` walks is sampled at ``samples`` places; windows and items
-   that agree at all of them become candidates.  The number of tables is taken
-   from the recall aimed at, by measuring on edited copies of the items.
-4. Candidates are verified by the exact edit distance.
+   edits of an item of ``L`` words has ``L - 1 - 2k`` of the item's own word
+   pairs.  Where that is none, ``L - k`` of its words are asked for instead.
+2. Passages have ``L + k`` words at most.  Stretches of that size that hold
+   fewer of an item's pairs are skipped; this loses nothing at any length.
+3. What is left is verified by the exact edit distance, a word of the text at a
+   time for all words of the item together (Myers' bit vectors).
+
+So every item is found at its nearest passage.  ``Index.tables`` still measures
+how many CGK walks, sampled at ``samples`` places, would reach a recall, up to
+``most_tables``; the search doesn't take them, as they lose edited copies.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -34,11 +35,16 @@ from .common import text_of
 _EDGES = re.compile(r"^\W+|\W+$")
 _COINS = 256
 _WORDS = 1 << 20
+#: Words of texts whose numbers are remembered.
+_REMEMBERED = 1 << 19
 
 
 @dataclass(frozen=True)
 class Leaks:
-    """block: items sent to the tasks at a time; a larger benchmark takes several passes over the documents."""
+    """rate: edits a word of the item, below 1; block: items sent to the tasks at a time, a larger benchmark takes several passes over the documents.
+
+    samples, recall and most_tables only say what :attr:`Index.tables` measures.
+    """
 
     rate: float = 0.25
     samples: int = 3
@@ -69,10 +75,49 @@ def edit_distance(item: list[int], passage: list[int]) -> tuple[int, int, int]:
     return d, row[end][1], end
 
 
+def nearest_end(item: list[int], passage: list[int]) -> tuple[int, int]:
+    """The distance of :func:`edit_distance` and the end of its part, by bit vectors over the item's words."""
+    at: dict[int, int] = {}
+    for i, word in enumerate(item):
+        at[word] = at.get(word, 0) | 1 << i
+    mask, high = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, now = mask, 0, len(item)
+    best, end = now, 0
+    for j, word in enumerate(passage, 1):
+        same = at.get(word, 0)
+        v, h = same | down, (((same & up) + up) ^ up) | same
+        more, less = (down | ~(h | up)) & mask, up & h
+        if more & high:
+            now += 1
+        elif less & high:
+            now -= 1
+            if now < best:
+                best, end = now, j
+        more, less = more << 1, less << 1
+        up, down = (less | ~(v | more)) & mask, more & v & mask
+    return best, end
+
+
+class _Numbers(dict):
+    """What stands between white space -> its word's number; 0 for a word of no item, -1 for what is no word."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words = words
+
+    def __missing__(self, raw: str) -> int:
+        word = _EDGES.sub("", raw)
+        number = self.words.get(word, 0) if word else -1
+        if len(self) < _REMEMBERED:
+            self[raw] = number
+        return number
+
+
 class Index:
-    """The benchmark's words, word pairs and sampled embeddings."""
+    """The benchmark's words, and which items hold a word pair."""
 
     def __init__(self, items: list[tuple[object, str]], setup: Leaks):
+        if not 0 <= setup.rate < 1:
+            raise ValueError("rate must be from 0 to below 1")
         self.setup = setup
         self.words: dict[str, int] = {}
         self.items: list[tuple[object, np.ndarray]] = []
@@ -81,24 +126,43 @@ class Index:
             if ids:
                 self.items.append((name, np.array(ids, np.int64)))
         self.n = len(self.words) + 1
-        self.pairs = np.unique(np.concatenate([x[:-1] * self.n + x[1:] for _, x in self.items] or [np.empty(0, np.int64)]))
         self.sizes: dict[int, list[int]] = {}
         for i, (_, x) in enumerate(self.items):
             self.sizes.setdefault(len(x), []).append(i)
-        self.need = {size: max(size - 1 - 2 * self.edits(size), 0) for size in self.sizes}
-        rng = np.random.default_rng(1)
-        #: coins[table, step, word mod _COINS]: whether the walk goes on.
-        self.coins = rng.integers(0, 2, (setup.most_tables, 2 * max(self.sizes, default=1), _COINS), np.int8)
-        self.places = {size: np.sort(rng.random((setup.most_tables, setup.samples)), 1) for size in self.sizes}
-        self.places = {size: (p * 2 * size).astype(int) for size, p in self.places.items()}
-        self.tables = {size: self._tables(size) for size in self.sizes}
-        self.keys = {}
-        for size, own in self.sizes.items():
-            flat, starts = np.concatenate([self.items[i][1] for i in own]), np.arange(len(own)) * size
-            for t in range(self.tables[size]):
-                key = self._walk(flat, starts, size, t)
-                order = np.argsort(key, kind="stable")
-                self.keys[size, t] = key[order], np.array(own)[order]
+        #: Pairs of an item, or words where that says nothing, that a passage within its edits has at least.
+        by_pairs = [len(x) - 1 - 2 * self.edits(len(x)) for _, x in self.items]
+        self.need = np.array([p if p > 0 else len(x) - self.edits(len(x)) for p, (_, x) in zip(by_pairs, self.items)], np.int64)
+        #: How far the last word of a passage may be from its first.
+        self.reach = np.array([len(x) + self.edits(len(x)) - 1 for _, x in self.items], np.int64)
+        self.single = any(p <= 0 for p in by_pairs)
+        # A word's own number stands for it among the pairs, whose first word is 1 or more.
+        grams = [np.unique(x[:-1] * self.n + x[1:] if p > 0 else x) for p, (_, x) in zip(by_pairs, self.items)]
+        gram, holder = np.concatenate([*grams, np.empty(0, np.int64)]), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(gram, kind="stable")
+        self.holders = holder[order]
+        self.grams, self.first = np.unique(gram[order], return_index=True)
+        self.first = np.append(self.first, len(gram))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "coins", "places", "tables")}
+
+    @functools.cached_property
+    def numbers(self) -> _Numbers:
+        return _Numbers(self.words)
+
+    @functools.cached_property
+    def coins(self) -> np.ndarray:
+        """[table, step, word mod _COINS]: whether the walk goes on."""
+        return np.random.default_rng(1).integers(0, 2, (self.setup.most_tables, 2 * max(self.sizes, default=1), _COINS), np.int8)
+
+    @functools.cached_property
+    def places(self) -> dict[int, np.ndarray]:
+        rng = np.random.default_rng(2)
+        return {size: (np.sort(rng.random((self.setup.most_tables, self.setup.samples)), 1) * 2 * size).astype(int) for size in self.sizes}
+
+    @functools.cached_property
+    def tables(self) -> dict[int, int]:
+        return {size: self._tables(size) for size in self.sizes}
 
     def edits(self, length: int) -> int:
         return int(self.setup.rate * length)
@@ -147,72 +211,78 @@ class Index:
     def search_all(self, texts: list[str]) -> list[list[tuple[object, int, int, int]]]:
         """For each text (item, distance, first word, words) of the nearest passage for each item that it holds.
 
-        The windows of all texts take a walk together; no window goes on into the next text.
+        The words of many texts are looked up together; no passage goes on into the next text.
         """
         out: list[list] = [[] for _ in texts]
         if not self.items:
             return out
-        held, total, size = [], [], 0
+        held, size = [], 0
 
         def flush() -> None:
-            for (n, _), found in zip(held, self._search(held, total) if held else [], strict=True):
+            for (n, _), found in zip(held, self._search([ids for _, ids in held]) if held else [], strict=True):
                 out[n] = [(self.items[i][0], *x) for i, x in sorted(found.items())]
 
         for n, text in enumerate(texts):
-            ids = np.fromiter((self.words.get(w, 0) for w in plain_words(text)), np.int64)
-            pair = ids[:-1] * self.n + ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
-            known = (self.pairs[at] == pair) & (ids[:-1] > 0) & (ids[1:] > 0) if len(self.pairs) else np.zeros(len(pair), bool)
-            if len(ids) and known.sum() >= min(self.need.values()):
+            ids = np.fromiter(map(self.numbers.__getitem__, text.lower().split()), np.int64)
+            ids = ids[ids >= 0]
+            if np.count_nonzero(ids) >= self.need.min():
                 held.append((n, ids))
-                total.append(np.append(0, np.cumsum(known)))
                 size += len(ids)
             if size >= _WORDS:
                 flush()
-                held, total, size = [], [], 0
+                held, size = [], 0
         flush()
         return out
 
-    def _search(self, held: list[tuple[int, np.ndarray]], total: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
-        """The nearest passages of some texts, given as word numbers and counts of known pairs before each place."""
-        gap = np.zeros(max(self.sizes), np.int64)
-        every = np.concatenate([x for _, ids in held for x in (ids, gap)])
-        fronts = np.cumsum([0] + [len(ids) + len(gap) for _, ids in held[:-1]])
+    def _search(self, held: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
+        """The nearest passages of some texts, given as word numbers."""
+        gap = np.zeros(int(self.reach.max()) + 1, np.int64)
+        every = np.concatenate([x for ids in held for x in (ids, gap)])
+        fronts = np.cumsum([0] + [len(ids) + len(gap) for ids in held])
+        gram, at = np.where((every[:-1] > 0) & (every[1:] > 0), every[:-1] * self.n + every[1:], 0), np.arange(len(every) - 1)
+        if self.single:
+            gram, at = np.concatenate([gram, every]), np.concatenate([at, np.arange(len(every))])
+        row = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        known = (self.grams[row] == gram) & (gram > 0)
+        row, at = row[known], at[known]
+        # Where a passage is, no fewer grams of all items together stand around than any item needs.
+        places = np.sort(at)
+        around = np.searchsorted(places, at + self.reach.max(), "right") - np.searchsorted(places, at - self.reach.max(), "left")
+        row, at = row[around >= self.need.min()], at[around >= self.need.min()]
+        # A row for each gram and each of its items, by item and place.
+        times = self.first[row + 1] - self.first[row]
+        item = self.holders[np.repeat(self.first[row] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        key = np.sort(item * len(every) + np.repeat(at, times))
+        item, at = np.divmod(key, len(every))
+        last = np.arange(len(key)) + self.need[item] - 1
+        end = key[np.minimum(last, len(key) - 1)] if len(key) else key
+        full = (last < len(key)) & (end - key <= self.reach[item])
+        item, at, end = item[full], at[full], at[full] + (end - key)[full]
+        text = np.searchsorted(fronts, at, "right") - 1
+        low, high = np.maximum(end - self.reach[item], fronts[text]), np.minimum(at + self.reach[item] + 1, fronts[text + 1] - len(gap))
+        # Stretches that meet are one.
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (low[1:] > high[:-1])
+        heads = np.flatnonzero(new)
         found: list[dict] = [{} for _ in held]
-        tried: list[dict] = [{} for _ in held]
-        for size in self.sizes:
-            k = self.edits(size)
-            parts = []
-            for front, (_, ids), counts in zip(fronts, held, total, strict=True):
-                # A passage may have up to k words less than the item, at a text's end too.
-                places = np.arange(len(ids) - (size - k) + 1)
-                ends = np.minimum(places + size - 1, len(counts) - 1)
-                parts.append(places[counts[ends] - counts[places] >= self.need[size]] + front if len(places) else places)
-            starts = np.concatenate(parts)
-            if not len(starts):
-                continue
-            for t in range(self.tables[size]):
-                keys, names = self.keys[size, t]
-                got = self._walk(every, starts, size, t)
-                low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                for w in np.flatnonzero(high > low):
-                    d = int(np.searchsorted(fronts, starts[w], "right")) - 1
-                    for i in names[low[w] : high[w]].tolist():
-                        self._verify(held[d][1], int(starts[w] - fronts[d]), i, k, found[d], tried[d])
+        for i, d, a, b in zip(*(x.tolist() for x in (item[heads], text[heads], low[heads], high[np.append(heads[1:], len(item)) - 1] if len(item) else heads)), strict=True):
+            self._verify(held[d], a - int(fronts[d]), b - int(fronts[d]), i, found[d])
         return found
 
-    def _verify(self, ids: np.ndarray, start: int, i: int, k: int, found: dict, tried: dict) -> None:
-        if i in found and found[i][0] == 0 or any(abs(start - s) <= k // 2 for s in tried.setdefault(i, [])):
+    def _verify(self, ids: np.ndarray, low: int, high: int, i: int, found: dict) -> None:
+        if i in found and found[i][0] == 0:
             return
-        tried[i].append(start)
-        item, low = self.items[i][1], max(start - 2 * k, 0)
+        item, passage = self.items[i][1], ids[low:high]
+        k = self.edits(len(item))
         # A bound from below by the words in common spares most of the exact distances.
-        passage = ids[low : start + len(item) + 2 * k]
         if np.isin(item, passage).sum() < len(item) - k:
             return
-        d, a, b = edit_distance(item.tolist(), passage.tolist())
-        if d <= k and (i not in found or d < found[i][0]):
-            found[i] = d, low + a, b - a
+        d, end = nearest_end(item.tolist(), passage.tolist())
+        if d > k or i in found and d >= found[i][0]:
+            return
+        front = max(end - len(item) - k, 0)
+        start = end - len(item) if d == 0 else front + edit_distance(item.tolist(), passage[front:end].tolist())[1]
+        found[i] = d, low + start, end - start
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, setup: Leaks = Leaks()) -> DataFrame:

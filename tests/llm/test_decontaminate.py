@@ -58,3 +58,25 @@ def test_walks_keep_the_recall_aimed_at():
     rng = random.Random(2)
     index = Index([(n, " ".join(f"w{rng.randrange(5000)}" for _ in range(20))) for n in range(50)], Leaks(recall=0.9))
     assert 1 <= index.tables[20] <= 64
+
+
+def test_every_edited_copy_is_found_at_its_nearest_passage_at_any_length():
+    rng = random.Random(7)
+    for length, words in ((1, 40), (2, 5), (4, 6), (9, 12), (60, 900), (150, 5000), (500, 5000)):
+        word = lambda: f"w{rng.randrange(words)}"  # noqa: B023, E731
+        items = [(n, " ".join(word() for _ in range(length))) for n in range(12)]
+        index, texts = Index(items, Leaks()), []
+        for _, item in items:
+            w = item.split()
+            for _ in range(length // 4):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = [[], [word()], [w[at], word()]][rng.randrange(3)]
+            texts.append(" ".join([word() for _ in range(20)] + w + [word() for _ in range(20)]))
+        for n, (text, found) in enumerate(zip(texts, index.search_all(texts), strict=True)):
+            want = []
+            for m, item in items if length < 100 else items[n : n + 1]:
+                d, start, end = edit_distance(item.split(), text.split())
+                if d <= length // 4:
+                    want.append((m, d, start, end - start))
+            assert want and set(want) <= set(found)
+            assert length >= 100 or want == found
