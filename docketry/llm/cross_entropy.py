@@ -1,23 +1,26 @@
 """Cross-entropy difference of matched bigram models.
 
 Two models are counted over the corpus: one from the target documents, one
-from all.  Both have the same order, smoothing and vocabulary (the most
-frequent words of the whole corpus; every other word is one unknown word), so
-the difference of their losses per token says how much a text is like the
+from all.  Both have the same order, smoothing and vocabulary (every word of the
+whole corpus, unless a bound is asked for; then all words but the most frequent
+are one unknown word), so the difference of their losses per token says how much a text is like the
 target:  ``difference = H_target - H_background`` in bits, lower is closer.
 
     p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu),   p(w) = (c(w) + 1) / (N + V)
 
-Bigram counts grow with the corpus and are never sent to all tasks.  Documents
-are written once as word numbers, dealt into chunks of bounded size.  A chunk
-gives a row for each of its distinct bigrams; a window over the rows of a
-bigram sums them up, and the sums go back to the chunks that asked, where the
-documents are scored.  A bigram of every text has one row a chunk, not one a use.
+Word and bigram counts grow with the corpus and are never sent to all tasks.
+Documents are cut into pages of bounded size, written once as the page's own
+word numbers.  A page asks for its distinct words, dealt into buckets by their
+hash; a bucket numbers its words, sums up their counts over all pages and
+answers each page.  Then a page asks for its distinct bigrams, as pairs of these
+numbers, in the same way, and its documents are scored.  What a page asks of a
+bucket is one packed row, so a bigram of every text is a number a page.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,19 +28,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, staged, text_of
 
 _COUNTED = 1 << 18
+#: Stands before a text's first word; words have lower numbers.
+_START = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
 class Matched:
-    """vocabulary: words that both models tell apart, an upper bound; chunk_tokens: about how many tokens a chunk has."""
+    """vocabulary: words that both models tell apart, all if None; chunk_tokens: about how many tokens a page or bucket has."""
 
-    vocabulary: int = 65_000
+    vocabulary: int | None = None
     mu: float = 50.0
     chunk_tokens: int = 5_000_000
 
@@ -63,23 +69,111 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class _Numbers(dict):
-    """Word -> its number; 0 for what isn't in the vocabulary, which isn't remembered."""
+    """Word -> its number, in order of appearance."""
 
     def __missing__(self, word: bytes) -> int:
-        return 0
+        self[word] = number = len(self)
+        return number
 
 
-def _numbered(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, ids (word numbers), n_tokens."""
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, the bytes of like weight together, compressed."""
+    raw = np.ascontiguousarray(values, "<i8").view("u1").reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    raw = pa.decompress(packed[8:], 8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(8, n).T).view("<i8").ravel()
+
+
+def _pages(docs: DataFrame, buckets: int, limit: int, kept) -> DataFrame:
+    """Documents (page, doc_id, ids, n_tokens, target) as the page's word numbers, and what the page asks of each bucket.
+
+    ``docs``: doc_id, text, target.  Asked: words, their numbers, and how often
+    each stands, and stands before another word, in all and in target documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers((w, i + 1) for i, w in enumerate(shared.value))
+        known = None if kept is None else set(kept.value)
+        page, held, number, size = TaskContext.get().partitionId() << 32, [], _Numbers(), 0
+
+        def rows(**columns) -> pa.RecordBatch:
+            n = len(columns["ids"] if "ids" in columns else columns["bucket"])
+            arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()]
+            return pa.RecordBatch.from_arrays([pa.array([page] * n, pa.int64()), *arrays], ["page", *kinds])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield rows(doc_id=[i for i, _, _ in held], ids=[x.tobytes() for _, x, _ in held], n_tokens=[len(x) for _, x, _ in held], target=[t for *_, t in held])
+            counts = np.zeros((4, len(number)), np.int64)
+            for at, some in enumerate(([x for _, x, _ in held], [x for _, x, t in held if t])):
+                if some:
+                    counts[at] = np.bincount(np.concatenate(some), minlength=len(number))
+                    counts[at + 2] = np.bincount(np.concatenate([x[:-1] for x in some]), minlength=len(number))
+            words = list(number)
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                listed = pa.compress(text := b"\n".join([words[i] for i in own.tolist()]), codec="zstd", asbytes=True)
+                yield rows(bucket=[bucket[own[0]]], words=[len(text).to_bytes(8, "little") + listed], asked=[_packed(np.concatenate([own, *counts[:, own]]))])
+
         for batch in batches:
-            ids = [np.fromiter(map(number.__getitem__, t.lower().split()), "<u4") for t in byte_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+            kinds = {"doc_id": batch.schema.field("doc_id").type, "ids": pa.binary(), "n_tokens": pa.int64(), "target": pa.bool_(), "bucket": pa.int32(), "words": pa.binary(), "asked": pa.binary()}
+            for name, text, target in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text")), batch.column("target").to_pylist(), strict=True):
+                words = text.lower().split()
+                if known is not None:
+                    words = [w if w in known else b"" for w in words]
+                held.append((name, np.fromiter(map(number.__getitem__, words), "<u4", len(words)), target))
+                size += len(words)
+                if size >= limit:
+                    yield from flush()
+                    page, held, number, size = page + 1, [], _Numbers(), 0
+        if held:
+            yield from flush()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {id_type}, ids binary, n_tokens long")
+    return docs.mapInArrow(run, f"page long, doc_id {id_type}, ids binary, n_tokens long, target boolean, bucket int, words binary, asked binary")
+
+
+def _sum_words(asked: DataFrame, buckets: int) -> DataFrame:
+    """For each page and bucket the page's word numbers, the corpus's, and the four counts; ``fresh`` adds up to all distinct words."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        number, parts = _Numbers(), []
+        for words, asked in zip(rows["words"], rows["asked"], strict=True):
+            text = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), codec="zstd", asbytes=True)
+            table = _unpacked(asked).reshape(5, -1)
+            parts.append((np.fromiter(map(number.__getitem__, text.split(b"\n")), np.int64, table.shape[1]), table))
+        sums = np.zeros((4, len(number)), np.int64)
+        for at, table in parts:
+            sums[:, at] += table[1:]
+        if len(number) * buckets >= _START:
+            raise ValueError("more words than numbers")
+        told = [_packed(np.concatenate([table[0], at * buckets + key[0], *sums[:, at]])) for at, table in parts]
+        return pd.DataFrame({"page": rows["page"], "bucket": -1, "told": told, "fresh": [len(number)] + [0] * (len(rows) - 1)})
+
+    return asked.groupBy("bucket").applyInPandas(run, "page long, bucket int, told binary, fresh long")
+
+
+def _word_facts(told: pd.DataFrame) -> np.ndarray:
+    """By the page's word number: the corpus's number and the four counts."""
+    tables = [_unpacked(x).reshape(6, -1) for x in told["told"][told["bucket"] < 0]]
+    facts = np.zeros((5, sum(t.shape[1] for t in tables)), np.int64)
+    for t in tables:
+        facts[:, t[0]] = t[1:]
+    return facts
+
+
+def _page_bigrams(ids: pd.Series, facts: np.ndarray, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's bigrams in the page's numbers; the distinct ones, these in the corpus's numbers, and their buckets."""
+    size = facts.shape[1]
+    each = [bigrams_of(np.frombuffer(x, "<u4"), size) for x in ids]
+    own = np.unique(np.concatenate([*each, np.empty(0, np.int64)]))
+    numbers = np.append(facts[0], _START)
+    codes = numbers[own // (size + 1)] << 32 | numbers[own % (size + 1)]
+    bucket = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
+    return each, own, codes, bucket.astype(np.int64)
 
 
 def bigrams_of(ids: np.ndarray, size: int) -> np.ndarray:
@@ -87,32 +181,34 @@ def bigrams_of(ids: np.ndarray, size: int) -> np.ndarray:
     return np.append(np.int64(size), ids[:-1].astype(np.int64)) * (size + 1) + ids if len(ids) else np.empty(0, np.int64)
 
 
-def _chunk_bigrams(coded: DataFrame, size: int) -> DataFrame:
-    """chunk, bigram, and how often it stands in all and in target documents of the chunk."""
+def _ask_bigrams(coded: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """page, bucket, and packed: steps from each distinct bigram to the next, how often it stands in all and in target documents of the page."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+    def run(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        each, grams, codes, bucket = _page_bigrams(own["ids"], _word_facts(told), buckets)
+        counts = np.zeros((2, len(grams)), np.int64)
+        for row, some in zip(counts, (each, [x for x, t in zip(each, own["target"], strict=True) if t]), strict=True):
+            if some:
+                row += np.bincount(np.searchsorted(grams, np.concatenate(some)), minlength=len(grams))
+        order = np.lexsort((codes, bucket))
+        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+        asked = [_packed(np.concatenate([np.diff(codes[p], prepend=0), *counts[:, p]])) for p in parts]
+        return pd.DataFrame({"page": key[0], "bucket": [bucket[p[0]] for p in parts], "asked": asked})
 
-        def rows(chunk: int) -> pa.RecordBatch:
-            each = [bigrams_of(np.frombuffer(x, "<u4"), size) for x, _ in held[chunk]]
-            target = np.repeat([t for _, t in held.pop(chunk)], [len(x) for x in each])
-            found, at = np.unique(np.concatenate(each), return_inverse=True)
-            counts = [np.bincount(at, weights, len(found)).astype(np.int64) for weights in (None, target.astype(float))]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk, np.int32)), pa.array(found, pa.int64()), *map(pa.array, counts)], ["chunk", "bigram", "n", "n_target"])
+    return coded.groupBy("page").cogroup(words.groupBy("page")).applyInPandas(run, "page long, bucket int, asked binary")
 
-        tokens: Counter = Counter()
-        for batch in batches:
-            for chunk, ids, target in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "target")), strict=True):
-                held.setdefault(chunk, []).append((ids, target))
-                tokens[chunk] += len(ids) // 4
-                if tokens[chunk] > 1 << 23:
-                    yield rows(chunk)
-                    tokens[chunk] = 0
-        for chunk in list(held):
-            yield rows(chunk)
 
-    kinds = "chunk int, bigram long, n long, n_target long"
-    return coded.select("chunk", "ids", "target").mapInArrow(run, kinds)
+def _sum_bigrams(asked: DataFrame) -> DataFrame:
+    """For each page and bucket both sums over all pages, in the order asked."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tables = [_unpacked(x).reshape(3, -1) for x in rows["asked"]]
+        found, at = np.unique(np.concatenate([np.cumsum(t[0]) for t in tables]), return_inverse=True)
+        sums = np.stack([np.bincount(at, np.concatenate([t[k] for t in tables]), len(found)).astype(np.int64) for k in (1, 2)])
+        ends = np.cumsum([t.shape[1] for t in tables])[:-1]
+        return pd.DataFrame({"page": rows["page"], "bucket": rows["bucket"], "told": [_packed(sums[:, x].ravel()) for x in np.split(at, ends)]})
+
+    return asked.groupBy("bucket").applyInPandas(run, "page long, bucket int, told binary")
 
 
 def score_documents(docs: DataFrame, target: DataFrame, setup: Matched = Matched()) -> DataFrame:
@@ -124,44 +220,43 @@ def score_documents(docs: DataFrame, target: DataFrame, setup: Matched = Matched
     uniform.  Rows of one id are scored and counted one by one.
     """
     spark = docs.sparkSession
-    # At most setup.vocabulary words.
-    words = [bytes(r["word"]) for r in count_words(docs).orderBy(F.desc("n"), "word").limit(setup.vocabulary).select("word").collect()]
-    size = len(words) + 1
-    shared = spark.sparkContext.broadcast(words)
-    coded = _numbered(docs, shared)
+    kept = None
+    if setup.vocabulary is not None:
+        # At most setup.vocabulary words.
+        kept = spark.sparkContext.broadcast([bytes(r["word"]) for r in count_words(docs).orderBy(F.desc("n"), "word").limit(setup.vocabulary).select("word").collect()])
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(total / 6 / setup.chunk_tokens))
-    goal = target.where("doc_id is not null").select("doc_id").distinct().withColumn("goal", F.lit(True)).repartition(chunks, "doc_id")
-    coded = coded.repartition(chunks, "doc_id").join(goal, "doc_id", "left")
-    chunk = F.pmod(F.hash("doc_id"), F.lit(chunks)).cast("int")
-    coded = staged(coded.select("doc_id", "ids", "n_tokens", F.coalesce("goal", F.lit(False)).alias("target"), chunk.alias("chunk")), "numbered")
-
-    grams = staged(_chunk_bigrams(coded, size), "bigrams")
-    # Every word of the vocabulary and what stands before it: at most two rows a word.
-    sides = {"word": F.col("bigram") % (size + 1), "before": F.floor(F.col("bigram") / (size + 1))}
-    for name, side in sides.items():
-        counts = grams.groupBy(side.alias("w")).agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n")).toPandas()
-        sides[name] = np.zeros((2, size + 1))
-        sides[name][:, counts["w"].to_numpy(int)] = counts[["n_target", "n"]].to_numpy().T
-    known = spark.sparkContext.broadcast(sides)
-
-    over = Window.partitionBy("bigram")
-    sums = grams.select("chunk", "bigram", F.sum("n").over(over).alias("n"), F.sum("n_target").over(over).alias("n_target"))
-
-    def losses(key: tuple, own: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        counts = counts.drop_duplicates("bigram").sort_values("bigram")
-        grams, both = counts["bigram"].to_numpy(), counts[["n_target", "n"]].to_numpy().T
-        words, befores = known.value["word"], known.value["before"]
-        w, v = grams % (size + 1), grams // (size + 1)
-        uni = (words[:, w] + 1) / (words.sum(1, keepdims=True) + size)
+    buckets = max(1, math.ceil(total / 6 / setup.chunk_tokens))
+    goal = target.where("doc_id is not null").select("doc_id").distinct().withColumn("goal", F.lit(True))
+    flagged = docs.select("doc_id", text_of().alias("text")).join(goal, "doc_id", "left").select("doc_id", "text", F.coalesce("goal", F.lit(False)).alias("target"))
+    pages = staged(_pages(flagged, buckets, setup.chunk_tokens, kept), "pages")
+    coded = pages.where("ids is not null").select("page", "doc_id", "ids", "n_tokens", "target")
+    words = staged(_sum_words(pages.where("ids is null").select("page", "bucket", "words", "asked"), buckets), "words")
+    bigrams = _sum_bigrams(_ask_bigrams(coded.select("page", "ids", "target"), words, buckets))
+
+    size = 1 + (words.agg(F.sum("fresh")).first()[0] or 0 if kept is None else len(kept.value))
+    own = lambda x: F.coalesce(F.sum(F.when(F.col("target"), x)), F.lit(0))
+    some = (F.col("n_tokens") > 0).cast("long")
+    tokens, target_tokens, starts, target_starts = coded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), own(F.col("n_tokens")), F.coalesce(F.sum(some), F.lit(0)), own(some)).first()
+    tokens, starts = np.array([[target_tokens], [tokens]]), np.array([[target_starts], [starts]])
+
+    def losses(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        facts = _word_facts(told)
+        each, grams, codes, bucket = _page_bigrams(own["ids"], facts, buckets)
+        order, both = np.lexsort((codes, bucket)), np.zeros((2, len(grams)))
+        answers = told[told["bucket"] >= 0].sort_values("bucket")["told"]
+        if len(answers):
+            both[:, order] = np.concatenate([_unpacked(x).reshape(2, -1) for x in answers], 1)[::-1]
+        v, w = np.divmod(grams, facts.shape[1] + 1)
+        words, befores = facts[[2, 1]], np.append(facts[[4, 3]], starts, 1)
+        uni = (words[:, w] + 1) / (tokens + size)
         bits = -np.log2((both + setup.mu * uni) / (befores[:, v] + setup.mu))
         h = np.zeros((len(own), 2))
-        for i, ids in enumerate(own["ids"]):
-            x = bigrams_of(np.frombuffer(ids, "<u4"), size)
+        for i, x in enumerate(each):
             if len(x):
                 h[i] = bits[:, np.searchsorted(grams, x)].mean(1)
         return pd.DataFrame({"doc_id": own["doc_id"], "n_tokens": own["n_tokens"], "h_target": h[:, 0], "h_background": h[:, 1], "difference": h[:, 0] - h[:, 1]})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {id_type}, n_tokens long, h_target double, h_background double, difference double"
-    return coded.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInPandas(losses, kinds)
+    told = words.select("page", "bucket", "told").union(bigrams)
+    return coded.select("page", "doc_id", "ids", "n_tokens").groupBy("page").cogroup(told.groupBy("page")).applyInPandas(losses, kinds)

@@ -50,3 +50,13 @@ def test_cases(spark):
         same(score_documents(docs, goal, setup).collect(), brute(rows, {1}, setup))
         same(score_documents(docs, goal.limit(0), setup).collect(), brute(rows, set(), setup))
     assert score_documents(docs.limit(0), goal).count() == 0
+
+
+def test_every_word_counts_however_many_there_are(spark):
+    rows = [(n, " ".join(f"w{n * 700 + k} w{n * 700 + k + 1}" for k in range(700))) for n in range(100)]
+    assert len({w for _, t in rows for w in t.split()}) > 65_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    goal = spark.createDataFrame([(n,) for n in range(0, 100, 3)], "doc_id long")
+    every = brute(rows, set(range(0, 100, 3)), Matched(vocabulary=10**9))
+    for setup in (Matched(), Matched(chunk_tokens=30_000)):
+        same(score_documents(docs, goal, setup).collect(), every)
