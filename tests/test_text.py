@@ -112,3 +112,14 @@ def test_html(spark):
     page = '<html><nav>menu</nav><body class="x"><p>One<br>two</p><script>bad()</script><table><tr><td>a</td><td>b</td></tr></table><a href="/d.pdf#p" title="T"></a></body></html>'
     row = spark.createDataFrame([(page, "http://h.org/x/")], "p string, u string").select(html.html_text("p").alias("t"), html.page_links("p", "u").alias("l"), html.decoded(F.encode(F.lit("şey"), "UTF-8"), F.lit(None).cast("string")).alias("d")).first()
     assert row["t"] == "One\ntwo\n\na b" and [tuple(x) for x in row["l"]] == [("http://h.org/d.pdf", "T")] and row["d"] == "şey"
+
+
+def test_exact_quotes_of_any_number_of_words(spark):
+    from docketry.functions.grounding import exact_quotes
+
+    text = "(Whereas the board met, and nothing followed; misunderstandings aside it adjourned at once."
+    quotes = ["misunderstandings", "board met", "the board met", "nothing followed; misunderstandings aside", "Whereas the board met, and nothing", "absent from it", None]
+    docs = spark.createDataFrame([(1, text), (2, "board"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
+    got = {(r["item_id"], r["doc_id"], r["start"]) for r in exact_quotes(items, docs).collect()}
+    assert got == {(n, 1, text.index(q) + 1) for n, q in enumerate(quotes) if q and q in text}
