@@ -11,10 +11,8 @@ from docketry.llm.queries import op6_cross_entropy
 
 def brute(rows, goal, setup):
     texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
-    every = Counter(w for _, t in texts for w in t)
-    vocabulary = {w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0]))[: setup.vocabulary]}
-    texts = [(i, [None, *(w if w in vocabulary else b"" for w in t)]) for i, t in texts]
-    size, models = len(vocabulary) + 1, []
+    size, models = len({w for _, t in texts for w in t}), []
+    texts = [(i, [None, *t]) for i, t in texts]
     for own in ([t for i, t in texts if i in goal and i is not None], [t for _, t in texts]):
         models.append((Counter(p for t in own for p in zip(t, t[1:])), Counter(v for t in own for v in t[:-1]), Counter(w for t in own for w in t[1:])))
     out = []
@@ -46,7 +44,7 @@ def test_cases(spark):
     rows = [(1, "a b a c"), (2, None), (3, ""), (4, "A\tb\nrare words here a"), (4, "a b a"), (None, "b a"), (6, "c " * 3000), (1, "a b a c")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")
     goal = spark.createDataFrame([(1,), (1,), (None,), (99,)], "doc_id long")
-    for setup in (Matched(vocabulary=3), Matched(vocabulary=100, chunk_tokens=100)):
+    for setup in (Matched(mu=3), Matched(page_tokens=100)):
         same(score_documents(docs, goal, setup).collect(), brute(rows, {1}, setup))
         same(score_documents(docs, goal.limit(0), setup).collect(), brute(rows, set(), setup))
     assert score_documents(docs.limit(0), goal).count() == 0
@@ -57,6 +55,6 @@ def test_every_word_counts_however_many_there_are(spark):
     assert len({w for _, t in rows for w in t.split()}) > 65_000
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     goal = spark.createDataFrame([(n,) for n in range(0, 100, 3)], "doc_id long")
-    every = brute(rows, set(range(0, 100, 3)), Matched(vocabulary=10**9))
-    for setup in (Matched(), Matched(chunk_tokens=30_000)):
+    every = brute(rows, set(range(0, 100, 3)), Matched())
+    for setup in (Matched(), Matched(page_tokens=30_000)):
         same(score_documents(docs, goal, setup).collect(), every)
