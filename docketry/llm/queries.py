@@ -101,7 +101,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_audit": f"""
         WITH records AS (
-            SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+            SELECT page_id, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
                 || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
                 || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
                 || 'Content-Type: text/html' || chr(13) || chr(10)

@@ -3,10 +3,11 @@
 Pages are written as WARC 1.1 resource records, one after another, to bounded
 shard files that Spark's text writer makes (the end of a line is the end of a
 record).  A shard's records, in order of their offsets, are the leaves of a
-hash tree of fixed fan-out; the shards' roots are joined by further levels up
-to one root of the replica.  Two replicas are compared from the root, and only
-nodes below a mismatch are looked at, so what an audit of sound replicas reads
-is one row.
+hash tree of fixed fan-out, whose nodes know the offset range they cover; the
+shards' roots are joined by further levels up to one root of the replica.  Trees
+are stored beside the archive.  Two replicas are compared from the root, and only
+nodes below a mismatch are read, so comparing the trees of sound replicas reads
+their roots.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, staged
@@ -26,7 +27,7 @@ from .common import shared_dir, staged
 FAN_OUT = 64
 END = "\r\n\r\n"
 _LENGTH, _URI, _ID = (re.compile(rb"\r\n" + x + rb":[ \t]*([^\r\n]*)", re.I) for x in (b"Content-Length", b"WARC-Target-URI", b"WARC-Record-ID"))
-_SHARD = r"part-(\d+)-.*-c(\d+)\."
+_SHARD = r"([^/]*)/part-(\d+)-[^/]*-c(\d+)\.[^/]*$"
 
 
 def record(page_id: str = "page_id", url: str = "url", html: str = "html") -> Column:
@@ -45,9 +46,24 @@ def record(page_id: str = "page_id", url: str = "url", html: str = "html") -> Co
     return F.concat(*head, body)
 
 
+#: Largest record, and how many such records a file has at most: about 64 MB.
+_FILES = ((1 << 16, 1000), (1 << 21, 32), (1 << 31, 1))
+
+
 def write_warc(records: DataFrame, path: str, per_file: int = 1000) -> None:
-    """Write the one string column of ``records`` as gzipped WARC files of ``per_file`` records at most."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """Write the one string column of ``records`` as gzipped WARC files of ``per_file`` records and about 64 MB at most.
+
+    Larger records go to files of fewer records, in a folder of their size, so
+    no file holds more than one record over 2 MB.
+    """
+    records, size = records.toDF("record"), F.octet_length("record")
+    least, most = records.agg(F.min(size), F.max(size)).first()
+    low = -1
+    for high, count in ((_FILES[0][0], per_file), *_FILES[1:]):
+        if low < 0 or (most or 0) > low and (least or 0) <= high:
+            own = records.where((size > low) & (size <= high)) if (most or 0) > _FILES[0][0] else records
+            own.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", min(per_file, count)).text(f"{path}/to-{high}")
+        low = high
 
 
 @dataclass(frozen=True)
@@ -83,9 +99,16 @@ def parse_warc(data: bytes) -> Iterator[Parsed]:
 
 
 def read_warc(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
-    """shard, ordinal, offset (in the file before compression), n_bytes, record_id, uri, sha256; with ``text`` also html."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    shard = F.concat_ws("-", *[F.regexp_extract("path", _SHARD, k) for k in (1, 2)])
+    """shard, ordinal, offset (in the file before compression), n_bytes, record_id, uri, sha256; with ``text`` also html.
+
+    Files are found in all folders below ``path``.  Those of :func:`write_warc`
+    have folder, part and number as shard, others their name.  Repeated record
+    ids are repeated rows; an empty archive gives none.  A file is read whole by
+    one task.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!_.]*").load(path).where("length > 0")
+    named = F.concat_ws("-", *[F.regexp_extract("path", _SHARD, k) for k in (1, 2, 3)])
+    shard = F.when(F.col("path").rlike(_SHARD), named).otherwise(F.regexp_extract("path", r"[^/]*$", 0))
     names = ["shard", "ordinal", "offset", "n_bytes", "record_id", "uri", "sha256", *["html"] * text]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,32 +127,36 @@ def read_warc(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
     return files.select(shard.alias("shard"), "content").mapInArrow(parse, kinds)
 
 
-def hash_tree(records: DataFrame) -> list[DataFrame]:
-    """Levels of (place, hash, start, end), leaves first and the root last.
+def write_tree(records: DataFrame, path: str) -> None:
+    """Store the hash tree of ``records`` at ``path``: (level, shard, place, hash, start, end, record_id), leaves at level 0.
 
     ``place`` orders a level, FAN_OUT nodes under each node of the next; start
-    and end are the offset range that a node of a shard covers.  Hashes cover
-    lengths, offsets and order, not only the records' bytes.
+    and end are the offset range that a node of a shard covers.  Hashes cover the
+    records' bytes in their order; a range may move without a change of its hash.
     """
-    leaf = F.sha2(F.concat_ws("|", "sha256", "offset", "n_bytes"), 256)
-    level = staged(records.select("shard", F.col("ordinal").alias("place"), leaf.alias("hash"), F.col("offset").alias("start"), (F.col("offset") + F.col("n_bytes")).alias("end")), "leaves")
-    levels = [level]
-    while (level.agg(F.max("place")).first()[0] or 0) > 0:
-        level = _parents(level, "shard")
-        levels.append(level)
-    return levels
-
-
-def _parents(level: DataFrame, *within: str) -> DataFrame:
-    child = F.array_sort(F.collect_list(F.struct("place", "hash")))
-    up = level.groupBy(*within, F.floor(F.col("place") / FAN_OUT).alias("place"))
-    grown = up.agg(F.sha2(F.array_join(F.transform(child, lambda x: x["hash"]), ""), 256).alias("hash"), F.min("start").alias("start"), F.max("end").alias("end"))
-    return staged(grown, "level")
+    names = ["shard", "place", "hash", "start", "end", "record_id"]
+    level, k = records.select("shard", F.col("ordinal").alias("place"), F.col("sha256").alias("hash"), F.col("offset").alias("start"), (F.col("offset") + F.col("n_bytes")).alias("end"), "record_id"), 0
+    spark = records.sparkSession
+    while True:
+        level.select(*names).write.parquet(f"{path}/level={k}")
+        level = spark.read.schema(level.schema).parquet(f"{path}/level={k}")
+        if not level.agg(F.max("place")).first()[0]:
+            return
+        child = F.array_sort(F.collect_list(F.struct("place", "hash")))  # FAN_OUT at most
+        up = level.groupBy("shard", F.floor(F.col("place") / FAN_OUT).alias("place"))
+        level, k = up.agg(F.sha2(F.array_join(F.transform(child, lambda x: x["hash"]), ""), 256).alias("hash"), F.min("start").alias("start"), F.max("end").alias("end"), F.lit("").alias("record_id")), k + 1
+
+
+def read_tree(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The levels of a stored tree, leaves first; each read touches one level's files."""
+    tree = spark.read.parquet(path)
+    top = tree.agg(F.max("level")).first()[0] or 0
+    return [tree.where(F.col("level") == k).drop("level") for k in range(top + 1)]
 
 
 def archive_root(levels: list[DataFrame]) -> str:
     """One hash for the whole replica: over the shards' roots, in groups by hash of the shard's name, level by level."""
-    level = levels[-1].select(F.col("shard").alias("name"), "hash")
+    level = levels[-1].where("place = 0").select(F.col("shard").alias("name"), "hash")
     for digits in (4, 2, 0):
         child = F.array_sort(F.collect_list(F.struct("name", "hash")))
         group = F.substring(F.sha2(F.col("name"), 256), 1, digits) if digits else F.lit("")
@@ -139,32 +166,52 @@ def archive_root(levels: list[DataFrame]) -> str:
 
 
 def locate_damage(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """The leaves (shard, place, start, end) that differ, or are in one replica only.
+    """The leaves (shard, place, start, end, record_id, replica) without an equal in the other replica; replica is 0 or 1.
 
-    From the shards' roots down, a level's nodes are compared only under nodes that differ.
+    From the shards' roots down, a level's nodes are compared only under nodes
+    that differ.  Below the lowest of these, records are held against each other
+    by id and hash, in whatever shard they are, so that one lost, put in, longer
+    or shorter record doesn't make those after it differ.  Equal records are
+    counted; of those that are too many, the last ones are given.
     """
     spark = ours[0].sparkSession
-    schema = "shard string, place long, start long, end long"
-    if archive_root(ours) == archive_root(theirs):
-        return spark.createDataFrame([], schema)
+    if len(ours) == len(theirs) and archive_root(ours) == archive_root(theirs):
+        return spark.createDataFrame([], "shard string, place long, start long, end long, record_id string, replica int")
     depth = max(len(ours), len(theirs))
-    levels = [[t[k] if k < len(t) else t[-1] for k in range(depth)] for t in (ours, theirs)]
+    levels = [[t[min(k, len(t) - 1)] for k in range(depth)] for t in (ours, theirs)]
     suspects = None
-    for a, b in zip(reversed(levels[0]), reversed(levels[1]), strict=True):
-        under = [x if suspects is None else x.withColumn("up", F.floor(F.col("place") / FAN_OUT)).join(suspects, ["shard", "up"], "left_semi") for x in (a, b)]
-        a, b = under[0].alias("a"), under[1].alias("b")
-        both = a.join(b, (F.col("a.shard") == F.col("b.shard")) & (F.col("a.place") == F.col("b.place")), "full")
-        pick = lambda c: F.coalesce(f"a.{c}", f"b.{c}").alias(c)
-        differ = staged(both.where(~F.col("a.hash").eqNullSafe(F.col("b.hash"))).select(*[pick(c) for c in ("shard", "place", "start", "end")]), "suspects")
-        suspects = differ.select("shard", F.col("place").alias("up"))
-    return differ
+    for k in range(depth - 1, -1, -1):
+        under = [x if suspects is None else x.withColumn("up", F.floor(F.col("place") / FAN_OUT)).join(suspects, ["shard", "up"], "left_semi") for x in (levels[0][k], levels[1][k])]
+        if k:
+            a, b = (x.select("shard", "place", F.col("hash").alias(f"hash{n}")) for n, x in enumerate(under))
+            suspects = staged(a.join(b, ["shard", "place"], "full").where(~F.col("hash0").eqNullSafe(F.col("hash1"))).select("shard", F.col("place").alias("up")), "suspects")
+    leaves = under[0].withColumn("replica", F.lit(0)).unionByName(under[1].withColumn("replica", F.lit(1)))
+    side = lambda n: F.sum((F.col("replica") == n).cast("long"))
+    uneven = leaves.groupBy("record_id", "hash").agg(side(0).alias("n0"), side(1).alias("n1")).where("n0 <> n1")
+    uneven = uneven.select("record_id", "hash", F.least("n0", "n1").alias("even"))
+    copy = F.row_number().over(Window.partitionBy("record_id", "hash", "replica").orderBy("shard", "place"))
+    left = leaves.join(uneven, ["record_id", "hash"]).withColumn("copy", copy).where(F.col("copy") > F.col("even"))
+    return left.select("shard", "place", "start", "end", "record_id", "replica")
 
 
 def audit(spark: SparkSession, ours: str, theirs: str) -> DataFrame:
     """Each record of replica ``ours``: shard, ordinal, offset, n_bytes, record_id, uri, sha256, and ``intact``: equal in ``theirs``.
 
-    Records of ``theirs`` beyond the end of a shard of ``ours`` have null values and are not intact.
+    Records that only ``theirs`` has come with null in all but shard and
+    record_id and aren't intact.  A changed record is one row, that of ``ours``;
+    repeated record ids are told apart by their order.  Two empty archives give
+    no row.  Both trees are stored, so a later comparison of either replica reads
+    its tree alone (:func:`read_tree`, :func:`locate_damage`).
     """
-    a, b = staged(read_warc(spark, ours), "records"), read_warc(spark, theirs)
-    bad = locate_damage(hash_tree(a), hash_tree(b)).select("shard", F.col("place").alias("ordinal"), F.lit(False).alias("sound"))
-    return a.join(bad, ["shard", "ordinal"], "full").withColumn("intact", F.coalesce("sound", F.lit(True))).drop("sound")
+    records, trees = staged(read_warc(spark, ours), "records"), []
+    for own in (records, read_warc(spark, theirs)):
+        path = shared_dir(spark, "tree")
+        write_tree(own, path)
+        trees.append(read_tree(spark, path))
+    nth = F.row_number().over(Window.partitionBy("record_id", "replica").orderBy("shard", "place"))
+    bad = staged(locate_damage(*trees).withColumn("nth", nth), "damage")
+    hurt = bad.where("replica = 0").select("shard", F.col("place").alias("ordinal"), F.lit(False).alias("sound"))
+    known = bad.where("replica = 0").select("record_id", "nth")
+    lost = bad.where("replica = 1").select("shard", "record_id", "nth").join(known, ["record_id", "nth"], "left_anti")
+    rows = records.join(hurt, ["shard", "ordinal"], "left").withColumn("intact", F.coalesce("sound", F.lit(True))).drop("sound")
+    return rows.unionByName(lost.select("shard", "record_id", F.lit(False).alias("intact")), allowMissingColumns=True)

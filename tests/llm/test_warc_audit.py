@@ -1,12 +1,13 @@
 import hashlib
 
+import duckdb
 import pyarrow.parquet as pq
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from docketry.llm import warc_audit as w
 from docketry.llm.common import shared_dir
-from docketry.llm.queries import DAMAGED, op3_warc_audit
+from docketry.llm.queries import DAMAGED, ORACLE_SQL, op3_warc_audit
 
 ODD = [(1, "http://a", "<p>x</p>"), (2, None, None), (3, "http://b\r\nX: y", "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nb"), (None, "u", ""), (5, "http://é", "ü" * 5000), (5, "http://é", "ü" * 5000)]
 
@@ -18,6 +19,12 @@ def written(spark, rows, name, per_file=1000):
     return path
 
 
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    assert set(con.sql(ORACLE_SQL["op3_warc_audit"]).fetchall()) == {tuple(r) for r in op3_warc_audit(spark, DATA).collect()}
+
+
 def test_query_against_hashlib(spark):
     pages = pq.read_table(f"{DATA}/pages.parquet").to_pylist()
     want = {}
@@ -35,21 +42,38 @@ def test_round_trip_of_odd_pages(spark):
     assert w.read_warc(spark, written(spark, [], "none")).count() == 0
 
 
-def test_damage_is_located_without_reading_sound_branches(spark):
+def hurt(spark, a, b):
+    return sorted((r["record_id"], r["sha256"] is None) for r in w.audit(spark, a, b).where("not intact").collect())
+
+
+def test_only_damaged_records_are_located(spark):
+    rows = [(i, f"http://{i}", "z" * (i % 50)) for i in range(9000)]
+    a, c = written(spark, rows, "a", 5000), written(spark, rows[:-1], "c", 5000)
+    name = lambda i: f"<urn:page:{i}>"
+    for change in (lambda t: t + "!", lambda t: "é" + t[1:]):
+        bad = [(i, u, change(t) if i in (70, 8191) else t) for i, u, t in rows]
+        assert hurt(spark, a, written(spark, bad, "b", 5000)) == [(name(70), False), (name(8191), False)]
+    without = [r for r in rows if r[0] != 100]
+    assert hurt(spark, a, written(spark, without[:8000] + [(-1, "", "new")] + without[8000:], "d", 5000)) == [(name(-1), True), (name(100), False)]
+    assert hurt(spark, a, a) == []
+    assert hurt(spark, a, c) == [(name(8999), False)]
+    assert hurt(spark, c, a) == [(name(8999), True)]
+    empty = written(spark, [], "none")
+    assert w.audit(spark, empty, empty).count() == 0
+
+
+def test_stored_tree_and_repeated_records(spark):
     rows = [(i, f"http://{i}", "z" * (i % 50)) for i in range(9000)]
-    bad = [(i, u, t + "!" if i in (70, 8191) else t) for i, u, t in rows]
-    a, b, c = (written(spark, x, n, 5000) for x, n in ((rows, "a"), (bad, "b"), (rows[:-1], "c")))
-    found = w.audit(spark, a, b).where("not intact").collect()
-    # A longer record moves every later offset of its shard; the hash of a leaf has its offset.
-    assert min(int(r["record_id"][10:-1]) for r in found) == 70
-    same = [(i, u, t.replace("z", "y", 1) if i in (70, 8191) else t) for i, u, t in rows]
-    d = written(spark, same, "d", 5000)
-    assert sorted(r["record_id"] for r in w.audit(spark, a, d).where("not intact").collect()) == ["<urn:page:70>", "<urn:page:8191>"]
-    assert w.audit(spark, a, a).where("not intact").count() == 0
-    assert [r["record_id"] for r in w.audit(spark, a, c).where("not intact").collect()] == ["<urn:page:8999>"]
-    assert [r["record_id"] for r in w.audit(spark, c, a).where("not intact").collect()] == [None]
-    tree = w.hash_tree(w.read_warc(spark, a))
+    path = shared_dir(spark, "tree")
+    w.write_tree(w.read_warc(spark, written(spark, rows, "a", 5000)), path)
+    tree = w.read_tree(spark, path)
     assert [t.count() for t in tree] == [9000, 79 + 63, 2 + 1, 2][: len(tree)] and tree[-1].select(F.max("place")).first()[0] == 0
+    same = [(1, "u", "x")] * 5 + [(1, "u", "y")] * 2
+    assert hurt(spark, written(spark, same, "s"), written(spark, same[1:], "t")) == [("<urn:page:1>", False)]
+    big = [(1, "u", "x"), (2, "u", "é" * 100_000), (3, "u", "z" * 3_000_000), (4, "u", "y" * 70_000)]
+    path = written(spark, big, "big")
+    assert w.read_warc(spark, path).select("shard").distinct().count() == 3
+    assert hurt(spark, path, written(spark, [*big[:2], (3, "u", "z"), big[3]], "less")) == [("<urn:page:3>", False)]
 
 
 def test_damaged_header_keeps_later_records():
