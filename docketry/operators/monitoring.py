@@ -70,14 +70,23 @@ def arrivals(runs: DataFrame, since: Column) -> DataFrame:
     return runs.groupBy("source", F.to_date("started_at").alias("day")).agg(F.min("started_at").alias("at"), F.count("*").alias("n")).where(F.col("at") >= since)
 
 
-def learned_tolerance(arrived: DataFrame, configured: float, least_gaps: int = 8, floor_hours: float = 12.0) -> DataFrame:
-    """The 95th percentile of a source's gaps in hours, not under the floor; with few gaps the configured one."""
+def learned_tolerance(arrived: DataFrame, configured: float, least_gaps: int = 8, floor_hours: float = 12.0, first_runs: DataFrame | None = None, now: Column | None = None, least_days: int = 28) -> DataFrame:
+    """The 95th percentile of a source's gaps in hours, not under the floor; with few gaps or a short history the configured one.
+
+    ``first_runs`` (source, first_at): with it a source counts as known from
+    ``least_days`` whole days before ``now``.  Gaps are whole seconds, and hours
+    are rounded once, at the end.
+    """
     before = F.lag("at").over(Window.partitionBy("source").orderBy("at"))
-    gaps = arrived.withColumn("gap", _seconds(F.col("at"), before) / 3600)
+    gaps = arrived.withColumn("gap", _seconds(F.col("at"), before))
     positive = F.when(F.col("gap") > 0, F.col("gap"))
-    learned = F.greatest(F.percentile(positive, 0.95), F.lit(floor_hours))
-    enough = F.count(positive) >= least_gaps
-    return gaps.groupBy("source").agg(F.count(positive).alias("gaps"), F.round(F.when(enough, learned).otherwise(F.lit(configured)), 3).alias("tolerance"))
+    found = gaps.groupBy("source").agg(F.count(positive).alias("gaps"), F.floor(F.percentile(positive, 0.95) + 1e-6).alias("p95"))
+    enough = F.col("gaps") >= least_gaps
+    if first_runs is not None:
+        found = found.join(first_runs, "source", "left")
+        enough = enough & (F.floor(_seconds(now, F.col("first_at")) / 86400) >= least_days)
+    tolerance = F.when(enough, F.greatest(F.col("p95") / 3600, F.lit(floor_hours))).otherwise(F.lit(configured))
+    return found.select("source", "gaps", F.round(tolerance, 6).alias("tolerance"))
 
 
 def weekly_volume(rows: DataFrame, now: Column, weeks: int = 3, low: float = 0.2, sigmas: float = 3.0) -> DataFrame:

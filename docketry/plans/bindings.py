@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Every "now" of the queries.
@@ -114,3 +114,53 @@ JUDGED = """item AS (
         (doc_id * 37) % 100 / 100.0 AS score, doc_id % 23 = 0 AS uncertain, n_chars >= 200 AS has_text,
         CAST(doc_id % 5 AS INTEGER) AS severity, CAST((doc_id + toxic) % 5 AS INTEGER) AS severity_expected
     FROM documents JOIN labels USING (doc_id))"""
+
+
+def publication_id() -> Column:
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+
+
+PUBLICATION_ID = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey"
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publications of the records: lineitem."""
+    k, doc = F.col("l_suppkey") % 12, publication_id()
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("reg_id"),
+        doc.alias("doc_id"),
+        F.concat(F.lit("s"), k.cast("string")).alias("source"),
+        F.when(F.col("l_returnflag") == "R", "attachment").otherwise("main").alias("role"),
+        (k == 3).alias("gazette"),
+        F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("https://s"), k.cast("string"), F.lit(".example/d/"), (F.col("l_partkey") % 90).cast("string"))).alias("url"),
+        F.concat(F.lit("doc "), (F.col("l_partkey") % 50).cast("string")).alias("title"),
+        F.when(F.col("l_linestatus") == "F", (F.col("l_quantity") * 20).cast("long")).otherwise(F.lit(0)).cast("long").alias("n_text"),
+    )
+
+
+LINKS = f"""lnk AS (
+    SELECT l_orderkey AS reg_id, {PUBLICATION_ID} AS doc_id, 's' || l_suppkey % 12 AS source,
+        CASE WHEN l_returnflag = 'R' THEN 'attachment' ELSE 'main' END AS role, l_suppkey % 12 = 3 AS gazette,
+        CASE WHEN l_partkey % 4 <> 0 THEN 'https://s' || l_suppkey % 12 || '.example/d/' || l_partkey % 90 END AS url,
+        'doc ' || l_partkey % 50 AS title, CAST(CASE WHEN l_linestatus = 'F' THEN trunc(l_quantity * 20) ELSE 0 END AS BIGINT) AS n_text
+    FROM lineitem)"""
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users did to records: events."""
+    kind = F.when(F.col("event_type") == "view", "viewed").when(F.col("event_type") == "purchase", "decided").when(F.col("event_type") == "signup", "content_edited").when(F.col("event_type") == "click", "units_changed")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        (F.col("event_id") % 400).alias("reg_id"),
+        kind.otherwise("reopened").alias("kind"),
+        F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("actor"),
+        F.col("ts").alias("at"),
+        F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("value"),
+    )
+
+
+HISTORY = """his AS (
+    SELECT event_id, event_id % 400 AS reg_id, CASE event_type WHEN 'view' THEN 'viewed' WHEN 'purchase' THEN 'decided'
+        WHEN 'signup' THEN 'content_edited' WHEN 'click' THEN 'units_changed' ELSE 'reopened' END AS kind,
+        'u' || user_id % 20 AS actor, ts AS moment, 'v' || user_id % 3 AS value
+    FROM events)"""

@@ -228,12 +228,14 @@ def arrivals_having(spark, sf):
     return found.select("source", F.col("day").cast("string").alias("day"), "n")
 
 
-@query(f"""WITH {RUNS}, {ARRIVED}, g AS (SELECT source, (epoch(date_trunc('second', came)) - epoch(date_trunc('second', lag(came) OVER (PARTITION BY source ORDER BY came)))) / 3600 AS gap FROM arrived)
-    SELECT source, count(*) FILTER (WHERE gap > 0) AS gaps,
-        round(CASE WHEN count(*) FILTER (WHERE gap > 0) >= 8 THEN greatest(quantile_cont(gap, 0.95) FILTER (WHERE gap > 0), 12.0) ELSE 48.0 END, 3) AS tolerance
-    FROM g GROUP BY source""")
+@query(f"""WITH {RUNS}, {ARRIVED}, g AS (SELECT source, CAST(epoch(date_trunc('second', came)) - epoch(date_trunc('second', lag(came) OVER (PARTITION BY source ORDER BY came))) AS BIGINT) AS gap FROM arrived),
+    t AS (SELECT source, count(*) FILTER (WHERE gap > 0) AS gaps, floor(quantile_cont(gap, 0.95) FILTER (WHERE gap > 0) + 1e-6) AS p95 FROM g GROUP BY source)
+    SELECT source, gaps, round(CASE WHEN gaps >= 8 AND (SELECT floor((epoch({NOW}) - epoch(date_trunc('second', min(started_at)))) / 86400) FROM run WHERE run.source = t.source) >= 28
+        THEN greatest(p95 / 3600, 12.0) ELSE 48.0 END, 6) AS tolerance FROM t""")
 def gap_tolerance(spark, sf):
-    return monitoring.learned_tolerance(monitoring.arrivals(b.runs(spark, sf), now() - F.expr("interval 90 days")), 48.0)
+    runs = b.runs(spark, sf)
+    first = runs.groupBy("source").agg(F.min("started_at").alias("first_at"))
+    return monitoring.learned_tolerance(monitoring.arrivals(runs, now() - F.expr("interval 90 days")), 48.0, first_runs=first, now=now())
 
 
 @query(f"""WITH {RUNS}, w AS (SELECT source, CAST(floor((epoch({NOW}) - epoch(date_trunc('second', started_at)) - 1) / 604800) AS INTEGER) AS week FROM run WHERE started_at < {NOW}),
@@ -373,9 +375,9 @@ def text_quality(spark, sf):
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(translate(t, 'Iİ', 'ıi')), 'âîû’''`´', 'aiu'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key
-    FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(substr(text, 1, 120), ''), '\s+', ' ', 'g')), '^["“”]+|["“”]+$', '', 'g'), '^[\s\-–—−•·]+', ''), '^\d{1,2}[./]\d{1,2}[./]\d{4}\s*', '')) AS t FROM documents)""")
+    FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '^["“”]+|["“”]+$', '', 'g'), '^[\s\-–—−•·]+', ''), '^\d{1,2}[./]\d{1,2}[./]\d{4}\s*', '')) AS t FROM documents)""")
 def title_key(spark, sf):
-    return b.table(spark, sf, "documents").select("doc_id", text.title_key(F.substring("text", 1, 120)).alias("key"))
+    return b.table(spark, sf, "documents").select("doc_id", text.title_key("text").alias("key"))
 
 
 @query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')
@@ -470,12 +472,15 @@ def fuzzy_candidates(spark, sf):
     return linking.fuzzy_candidates(_titled(spark, sf))
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT o_orderkey AS reg_id, o_orderkey // 3 AS into_id FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderkey > 2),
-    walk AS (SELECT reg_id, into_id AS stop FROM p UNION ALL SELECT walk.reg_id, p.into_id FROM walk JOIN p ON p.reg_id = walk.stop)
-    SELECT reg_id, min(stop) AS "into" FROM walk GROUP BY reg_id""")
+@query(f"""WITH RECURSIVE p AS (SELECT o_orderkey AS reg_id, CASE o_orderkey WHEN 5 THEN 17 WHEN 6 THEN 20 ELSE o_orderkey // 3 END AS into_id FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderkey > 2 OR o_orderkey IN (5, 20)),
+    walk AS (SELECT reg_id, into_id AS stop, [reg_id, into_id] AS met, reg_id = into_id AS again FROM p
+        UNION ALL SELECT walk.reg_id, p.into_id, list_append(met, p.into_id), list_contains(met, p.into_id) FROM walk JOIN p ON p.reg_id = walk.stop WHERE NOT again)
+    SELECT reg_id, max_by(stop, len(met)) AS "into" FROM walk GROUP BY reg_id""")
 def merge_pointer_closure(spark, sf):
+    """Chains, and a circle of 6 and 20 with chains into it."""
     i = F.col("o_orderkey")
-    return linking.follow_merges(b.table(spark, sf, "orders").where((i % 3 != 2) & (i > 2)).select(i.alias("reg_id"), F.floor(i / 3).alias("into")))
+    into = F.when(i == 5, 17).when(i == 6, 20).otherwise(F.floor(i / 3))
+    return linking.follow_merges(b.table(spark, sf, "orders").where((i % 3 != 2) & (i > 2) | i.isin(5, 20)).select(i.alias("reg_id"), into.alias("into")))
 
 
 @query("SELECT item_id, doc_id, CAST(position(b.text IN d.text) AS BIGINT) AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -494,8 +499,8 @@ def quote_ladder(spark, sf):
 
 @query()
 def similarity_kernels(spark, sf):
-    """Neighbouring documents' first lines by all measures."""
-    docs = b.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 120).alias("t"))
+    """Neighbouring records' titles by all measures."""
+    docs = b.records(spark, sf).select(F.col("reg_id").alias("doc_id"), F.col("title").alias("t"))
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     t, u = F.col("t"), F.col("u")
     return docs.join(other, "doc_id").select("doc_id", ratio_of(t, u).alias("ratio"), token_set_of(t, u).alias("token_set"), partial_of(t, u).alias("partial"))

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Read by ``session``: adaptive plans split skewed joins, and civil days need a fixed zone.
 SETTINGS = {
@@ -34,3 +34,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; a local one only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", "") or _local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: its lineage ends there, and a lost executor costs a reread."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
