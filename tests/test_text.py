@@ -52,9 +52,46 @@ CASES = [
     (text.neutral_tags, "a <kaynak_metin> b </kaynak_metin>", "a [kaynak_metin] b [/kaynak_metin]"),
     (text.effective_sentence, "Giriş.\nMADDE 5 - (1) Bu Tebliğ 01.01.2027 tarihinde yürürlüğe girer.\nSon.", "Bu Tebliğ 01.01.2027 tarihinde yürürlüğe girer"),
     (text.clean_body, "<p>short</p>", "short"),
+    (text.clean_title, "01.02.2026 MÜLGA - Kredi &amp; Kart &quot;A&quot; Teblig&#287;i", 'Kredi & Kart "A" Tebligği'),
+    (text.is_draft, "Kart Yönetmeliği Taslağı", True),
+    (text.is_draft, "Taslaklar", False),
+    (text.iso_moment, "2026-01-02T03:04:05Z", dt.datetime(2026, 1, 2, 3, 4, 5)),
+    (text.iso_moment, "2026-13-02T03:04:05Z", None),
+    (lambda c: text.without_words(c, ["Devamı için", "tıklayınız"]), "Yeni karar DEVAMI  İÇİN tıklayınız TIKLAYINIZ tıklayınızlar", "Yeni karar tıklayınızlar"),
 ]
 
 
+@pytest.mark.parametrize(
+    ("title", "body", "issuer", "want"),
+    [
+        ("Özelge E-12345678-130-99 hakkında", "", "GIB", ("ruling", "e-12345678-130-99", None, False)),
+        ("2026 / 12 sayılı SPK bülten", "", "SPK", ("bulletin", "2026/12", None, False)),
+        ("77 sayılı Genel Mektup", "", "TAKASBANK", ("letter", "77", None, False)),
+        ("Kurulun 11.03.2021 tarihli ve 2021/238 sayılı kararı", "", "BDDK", ("decision", "2021/238", dt.date(2021, 3, 11), False)),
+        ("Karar Sayısı: 15", "Karar No: 16\nKarar Tarihi: 01.02.2026", "BDDK", ("decision", "15", None, True)),
+        ("Karar Sayısı: 15", "Karar No: 15\nKarar Tarihi: 01.02.2026", "BDDK", ("decision", "15", dt.date(2026, 2, 1), False)),
+        ("11.03.2021 tarihli ve 5411 sayılı Kanun", "", "BDDK", None),
+        ("12 ve 13 sayılı kurul kararları", "", "BDDK", None),
+        (None, None, "BDDK", None),
+    ],
+)
+def test_references(value, title, body, issuer, want):
+    got = value(text.reference_of, title, body, issuer)
+    assert (got and (got["kind"], got["number"], got["day"], got["conflicting"])) == want
+
+
+def test_other_dates(value):
+    of = lambda c, d: text.other_dates(c, F.to_date(d))
+    assert value(of, "01.02.2026 ile 3/4/2027 ve 31.02.2026", "2026-02-01") == [dt.date(2027, 4, 3)]
+    assert value(of, "01.02.2026", "2026-02-01") is None and value(of, None, "2026-02-01") is None
+
+
+def test_tidy():
+    cases = {"yükümlü-\n  lerin \t x": "yükümlülerin x", "A-\nB": "A-\nB", "a\u00ad\u200bb\xa0c\x01": "ab c", "x\r\n\r\r\n\n y": "x\n\ny", " -\na": "-\na", "e\u0301": "é", "a-\nb-\nc": "abc"}
+    assert {k: html.tidy(k) for k in cases} == cases
+
+
+
 @pytest.mark.parametrize("case", range(len(CASES)))
 def test_text_function(value, case):
     make, given, want = CASES[case]
