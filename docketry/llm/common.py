@@ -25,9 +25,12 @@ def _local_folder() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a local folder is used.
+    Only where a session of one machine names none (local tests) a local folder is used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or _local_folder()
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or _local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

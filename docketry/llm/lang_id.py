@@ -125,14 +125,17 @@ def train(docs: DataFrame, train_docs: int = 300) -> CostTable | None:
     """From rows with text and lang.
 
     ``train_docs``: whole documents of each language that are learned from, by
-    lowest hash of the text: the documented bound of the sample.  Rows without
-    lang are ignored.  None if nothing remains.
+    lowest hash: the documented bound of the sample.  Rows without lang or text
+    are ignored.  Equal rows share a hash and may all be in the sample or, but for
+    a language's lowest hash, all out of it, so every language is learned.  None
+    if nothing remains.
     """
-    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
-    sizes = rows.groupBy("lang").count()
+    key = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", key.alias("_h"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min("_h").alias("_least"))
     # Thin out by hash first, so that no language is sorted whole in one task.
     share = F.least(F.lit(1.0), 2.0 * train_docs / F.col("count"))
-    thin = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.col("_h"), F.lit(1 << 20)) <= share * (1 << 20))
+    thin = rows.join(F.broadcast(sizes), "lang").where((F.pmod(F.col("_h"), F.lit(1 << 20)) <= share * (1 << 20)) | (F.col("_h") == F.col("_least")))
     first = Window.partitionBy("lang").orderBy("_h", "text")
     sample = thin.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= train_docs)
 

@@ -82,7 +82,12 @@ def fit(rows: list[tuple[np.ndarray, int]], setup: Ftrl) -> tuple[np.ndarray, fl
 
 def train(docs: DataFrame, labels: DataFrame, setup: Ftrl = Ftrl()) -> tuple[np.ndarray, float]:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic (1 or 0; others and null ids are ignored,
-    of several labels of an id the highest counts).  All weights are 0 without labels."""
+    of several labels of an id the highest counts).
+
+    ``train_docs`` labelled ids are learned from at most, by hash of the id: the
+    documented bound of the sample.  Several documents of one id are all learned
+    from.  Without labels, or documents, all weights are 0.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # At most train_docs pairs of an id and a label.
     picked = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(setup.train_docs)

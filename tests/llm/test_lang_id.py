@@ -73,3 +73,48 @@ def test_odd_rows(spark):
     assert lang_id.train(learn.limit(0)) is None
     assert {r["lang_pred"] for r in lang_id.predict_languages(docs, None).collect()} == {"und"}
     assert lang_id.predict_languages(docs.limit(0), lang_id.train(learn)).count() == 0
+
+
+def test_query_is_the_definition(spark):
+    docs = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    pools = {}
+    for d in docs:
+        if zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2 and d["lang"] and d["text"] is not None:
+            own, x = pools.setdefault(d["lang"], [{}, {}, {}, {}]), b"\0\0\0" + d["text"].encode()
+            for i in range(3, len(x)):
+                for k in range(4):
+                    pool = own[k].setdefault(x[i - k : i], {})
+                    pool[x[i]] = pool.get(x[i], 0) + 1
+    own = [p for p in pools.values()]
+    assert all(len(p[0][b""]) for p in own)
+
+    def bits(text, pool):
+        total, x = 0.0, b"\0\0\0" + text
+        for i in range(3, len(x)):
+            share, at = 1.0, 1 / 257
+            for k in range(3, -1, -1):
+                seen = pool[k].get(x[i - k : i])
+                if seen:
+                    size = sum(seen.values()) + len(seen)
+                    if x[i] in seen:
+                        at = seen[x[i]] / size
+                        break
+                    share *= len(seen) / size
+            total -= math.log2(share * at)
+        return total
+
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op5_language_id(spark, DATA).collect()}
+    some = [d for d in docs if 50 < len(d["text"] or "") < 1500][:60]
+    assert len(some) > 20
+    for d in some:
+        lengths = {k: bits(d["text"].encode(), p) for k, p in pools.items()}
+        least = min(lengths.values())
+        if any(c.isalpha() for c in d["text"]):
+            assert got[d["doc_id"]][0] == min(lengths, key=lambda k: (lengths[k], k))
+            assert got[d["doc_id"]][1] == pytest.approx(1 / sum(2 ** -min(v - least, 1000) for v in lengths.values()), rel=1e-3)
+
+
+def test_no_language_is_lost_to_equal_rows(spark):
+    rows = [(None, f"words of tongue{k} all alike", f"l{k}") for k in range(13) for _ in range(1000)] + [(1, "few words", "zz")]
+    costs = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(costs.languages) == 14

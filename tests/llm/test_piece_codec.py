@@ -1,7 +1,9 @@
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from conftest import DATA
 
 from docketry.llm.piece_codec import SPACE, Codec, encode_pieces
@@ -47,6 +49,16 @@ def test_portions_are_committed_early():
     assert len(portions) > 20 and max(map(len, portions)) < 100
 
 
+def test_query_is_the_whole_search_for_every_text(spark):
+    codec, texts = Codec(FILE), pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    got = {r["doc_id"]: (r["n_ids"], r["ids_crc32"]) for r in op10_piece_codec(spark, DATA).collect()}
+    short = [d for d in texts if len(d["text"] or "") < 3000]
+    assert len(short) > 100
+    for d in short:
+        ids = np.array(brute(codec, d["text"] or ""), "<u4")
+        assert got[d["doc_id"]] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_query_restores_every_text(spark):
     rows = op10_piece_codec(spark, DATA).collect()
     assert len(rows) == 200 and all(r["restored"] and r["n_id_bytes"] == 4 * r["n_ids"] for r in rows)
