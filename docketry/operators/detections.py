@@ -17,7 +17,7 @@ LEAST_TITLE, LEAST_TEXT, WINDOW, NEEDLE, HAYSTACK = 85.0, 65.0, 7, 400, 20_000
 def normal_rows(rows: DataFrame) -> DataFrame:
     """Imported rows (row, day, units as text) with day as a date and units as a list."""
     day = F.coalesce(F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).cast("date"), parse_date("day"))
-    units = F.filter(F.transform(F.split(F.translate(F.coalesce("units", F.lit("")), ",", ";"), ";"), F.trim), lambda u: u != "")
+    units = F.filter(F.split(F.coalesce("units", F.lit("")), r"\s*[;,]\s*"), lambda u: u != "")
     return rows.select("row", day.alias("day"), units.alias("units"))
 
 

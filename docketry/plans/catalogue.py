@@ -443,9 +443,10 @@ def exact_duplicate_clusters(spark, sf):
 
 
 def _publications(spark, sf):
-    """Pages as publications with keys."""
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return b.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url", title.alias("title"), F.lit(None).cast("string").alias("issuer"), F.lit(None).cast("string").alias("kind"), text.decision_no(title).alias("decision_no"), text.sequence_no(title).alias("sequence_no"), text.title_key(title).alias("title_key"))
+    """Pages as publications with keys; the host is the source."""
+    title = text.plain_entities(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 28).cast("int"))
+    return b.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url", F.regexp_extract("url", r"^\w+://(?:www\.)?([^/]+)", 1).alias("source"), title.alias("title"), text.match_issuer(title).alias("issuer"), text.guess_type(title).alias("kind"), text.decision_no(title).alias("decision_no"), text.sequence_no(title).alias("sequence_no"), text.title_key(title).alias("title_key"), F.when(F.col("page_id") % 9 != 0, day).alias("day"), F.lit("").alias("text"))
 
 
 @query()
@@ -455,10 +456,16 @@ def document_keys(spark, sf):
 
 @query()
 def linked_records(spark, sf):
+    """Every rung: keys, titles of several sources, and pairs of like titles."""
+    docs = _publications(spark, sf)
+    return linking.link_ladder(linking.document_keys(docs), linking.fuzzy_candidates(docs), docs)
+
+
+@query()
+def golden_records(spark, sf):
     docs = _publications(spark, sf)
-    keys = linking.document_keys(docs)
-    none = docs.sparkSession.createDataFrame([], "a long, b long, score double")
-    return linking.link_ladder(keys, none, docs)
+    links = linking.link_ladder(linking.document_keys(docs), linking.fuzzy_candidates(docs), docs)
+    return linking.golden_records(docs, links)
 
 
 def _titled(spark, sf):
