@@ -29,8 +29,8 @@ from .common import shared_dir, text_of
 BITS = 16
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 19
-#: Pieces that a worker remembers at most, and documents taken at a time.
-_CACHED, _DOCUMENTS = 300_000, 256
+#: Pieces that a worker remembers at most, and documents in a batch.
+_CACHED, _DOCUMENTS = 250_000, 256
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 _CUT = re.compile(r"(?<=[\w!-~])(?=[ \n])")
@@ -153,18 +153,25 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Remember words that stand behind a space, line end in front included, and pieces marked by a zero byte."""
-        known = self.known
-        core = {w: w.rstrip(_MARKS) for w in new}
-        marked = {w: c for w, c in core.items() if c is not w and c[-1:].isalpha()}
-        alone = [w for w in new if w not in marked] + [c for c in set(marked.values()) if c not in new and c not in known]
-        some, merge, shown = [w for w in alone if not w.isalpha()], self.tokenizer.model.tokenize, self.shown
-        for w in alone:
+        known, merge, shown, some, marked = self.known, self.tokenizer.model.tokenize, self.shown, [], []
+
+        def learn(w: str) -> None:
             if w.isalpha():  # one word of the pre-tokenizer, which needs only the merges
                 known[w] = array("H", [x.id for x in merge("\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(shown)))]).tobytes()
+            else:
+                some.append(w)
+
+        for w in new:
+            if w[-1:] in _MARKS and (core := w.rstrip(_MARKS))[-1:].isalpha():
+                marked.append((w, core))
+                if core not in known and core not in new:
+                    learn(core)
+            else:
+                learn(w)
         for low in range(0, len(some), 4096):
             part = some[low : low + 4096]
             known.update(zip(part, self._whole([w if w[:1] == "\n" else w[1:] if w[:1] == "\0" else " " + w for w in part]), strict=True))
-        for w, c in marked.items():
+        for w, c in marked:
             marks = "\0" + w[len(c) :]
             if marks not in known:
                 known[marks] = self._whole([marks[1:]])[0]
@@ -214,21 +221,26 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -
             return pa.RecordBatch.from_pydict({k: pa.array([v], types[k]) for k, v in values.items()})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _DOCUMENTS):
-                few = batch.slice(at, _DOCUMENTS)
-                for name, coded in zip(few.column("doc_id").to_pylist(), encoder.encode(few.column("text").to_pylist()), strict=True):
-                    ids.append(name)
-                    parts.append(coded + end)
-                    size += len(coded) // 2 + 1
-                    if size >= SEGMENT_TOKENS:
-                        yield row()
-                        segment, ids, parts, size = segment + 1, [], [], 0
+            for name, coded in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+                ids.append(name)
+                parts.append(coded + end)
+                size += len(coded) // 2 + 1
+                if size >= SEGMENT_TOKENS:
+                    yield row()
+                    segment, ids, parts, size = segment + 1, [], [], 0
         if parts:
             yield row()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shards = ordered.mapInArrow(encode, f"shard int, segment int, n_tokens long, doc_ids array<{id_type}>, lengths array<long>, zeros array<long>, planes array<binary>, ones array<binary>")
-    shards.write.option("compression", "zstd").parquet(path)
+    # Small batches keep whole texts from piling up beside the pieces that a worker remembers.
+    size, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession
+    before = spark.conf.get(size)
+    spark.conf.set(size, _DOCUMENTS)
+    try:
+        shards.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(size, before)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
