@@ -31,7 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that stand elsewhere too are cut out, in whole characters."""
+    """Passages of 200 bytes or more that stand elsewhere too are cut out, in whole characters.
+
+    Null and empty texts stay as they are.  Equal rows lose their texts, all but
+    what is shorter; an empty table stays empty, and other columns pass through.
+    """
     found = suffix_dedup.remove_repeats(docs, whole_characters=True)
     text = F.when(F.size("spans") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     cut = found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -39,7 +43,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go.
+
+    Rows are told apart by id and text, so of several rows of one id only those
+    that hold an item go, and rows without id are judged by their text.  Null and
+    empty texts stay; an empty benchmark takes nothing out.
+    """
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
     keyed = docs.withColumn("_key", key)
     leaks = decontaminate.find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
@@ -47,7 +56,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every whole text as ids of the piece vocabulary."""
+    """Every whole text as ids of the piece vocabulary, a row a document.
+
+    Null texts count as empty and have no ids; repeated rows are coded one by
+    one.  Columns of the documents that are named like a result are replaced.
+    """
     return piece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
