@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import archive, decisions, detections, monitoring, publications, queues
+from docketry.operators import archive, channels, decisions, detections, monitoring, publications, queues
 
 from . import bindings as b
 from .bindings import HISTORY, LINKS, RECORDS, RUNS, SUGGESTIONS
@@ -574,3 +574,70 @@ def stratum_counts(spark, sf):
     count(*) FILTER (WHERE expected = a) AS right_a, count(*) FILTER (WHERE expected = b) AS right_b FROM item""")
 def experiment_summary(spark, sf):
     return detections.experiment_summary(b.judged(spark, sf).withColumn("cached", F.col("doc_id") % 3 == 0))
+
+
+# ---------------------------------------------------------------- channels of runs
+
+
+@query("""WITH r AS (SELECT event_id // 3 AS run_id, 'c' || event_id % 3 AS channel, CASE WHEN event_id % 11 = 0 THEN 'timeout' END AS error, event_id % 5 AS failed, event_id % 7 // 6 AS gave_up,
+        event_id % 13 = 0 AS incomplete, 0 AS conflicts, event_id % 4 // 3 AS pending FROM events),
+    t AS (SELECT run_id, channel, concat_ws('; ', channel || ': ' || error, CASE WHEN failed > 0 THEN channel || ': ' || failed || ' failed for now' END, CASE WHEN gave_up > 0 THEN channel || ': ' || gave_up || ' given up' END,
+        CASE WHEN incomplete THEN channel || ': list incomplete' END, CASE WHEN pending > 0 THEN channel || ': ' || pending || ' attachments pending' END) AS said FROM r)
+    SELECT run_id, coalesce(string_agg(said, '; ' ORDER BY channel) FILTER (WHERE said <> ''), '') AS issues FROM t GROUP BY 1""")
+def run_issues(spark, sf):
+    i = F.col("event_id")
+    part = lambda m, d: F.floor(i % m / d)
+    columns = {"run_id": F.floor(i / 3), "channel": F.concat(F.lit("c"), (i % 3).cast("string")), "error": F.when(i % 11 == 0, "timeout"), "failed": i % 5, "gave_up": part(7, 6), "incomplete": i % 13 == 0, "conflicts": F.lit(0), "pending": part(4, 3)}
+    return channels.run_issues(b.table(spark, sf, "events").select(*[v.alias(k) for k, v in columns.items()]))
+
+
+@query("""WITH r AS (SELECT user_id AS channel, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type = 'error' AS empty, event_id % 3 <> 0 AS open FROM events),
+    g AS (SELECT *, n - row_number() OVER (PARTITION BY channel, empty ORDER BY n) AS grp FROM r), k AS (SELECT *, CASE WHEN empty THEN row_number() OVER (PARTITION BY channel, empty, grp ORDER BY n) ELSE 0 END AS blank FROM g),
+    d AS (SELECT *, NOT open AND (NOT empty OR blank >= 3) AS done FROM k), c AS (SELECT channel, count(*) AS runs, min(n) FILTER (WHERE done OR n >= 48) AS closed_at FROM d GROUP BY 1)
+    SELECT c.channel, CAST(runs AS INTEGER) AS runs, CAST(closed_at AS INTEGER) AS closed_at, coalesce(NOT done, false) AS forced FROM c LEFT JOIN d ON d.channel = c.channel AND d.n = closed_at""")
+def baseline_gates(spark, sf):
+    rows = b.table(spark, sf, "events").select(F.col("user_id").alias("channel"), F.struct("ts", "event_id").alias("place"), (F.col("event_type") == "error").alias("empty"), (F.col("event_id") % 3 != 0).alias("open"))
+    return channels.baselines(rows)
+
+
+@query("SELECT event_id AS run_id, 'list' AS channel, user_id AS \"new\", 0 AS failed FROM events UNION ALL SELECT event_id, 'detail', 0, event_id % 4 FROM events")
+def channel_rows(spark, sf):
+    new, none, failed = F.col("user_id"), F.lit(None).cast("long"), F.col("event_id") % 4
+    cell = lambda n, f: F.struct(n.alias("new"), f.alias("failed"))
+    rows = b.table(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.create_map(F.lit("list"), cell(new, none), F.lit("detail"), cell(none, failed)).alias("channels"))
+    return channels.channel_rows(rows)
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'n' || doc_id ELSE md5(text) END AS hash, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS title, CAST(CASE WHEN doc_id % 3 = 0 THEN {NOW} END AS VARCHAR) AS checked_at FROM documents""")
+def touched_unchanged(spark, sf):
+    stored = b.table(spark, sf, "documents").select("doc_id", F.md5("text").alias("hash"), F.col("lang").alias("title"), F.lit(None).cast("timestamp").alias("checked_at"))
+    seen = stored.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("hash"), F.lit("new").alias("title"), now().alias("at"))
+    return channels.touched(stored, seen).withColumn("checked_at", F.col("checked_at").cast("string"))
+
+
+@query("""SELECT event_id AS item, CAST(event_id % 6 + 1 AS INTEGER) AS attempts, event_type = 'error' OR event_id % 6 + 1 >= 5 AS permanent,
+    CASE WHEN NOT (event_type = 'error' OR event_id % 6 + 1 >= 5) THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 900 * CAST(pow(2, event_id % 6) AS BIGINT) END AS next_try FROM events""")
+def retry_entries(spark, sf):
+    rows = b.table(spark, sf, "events").select(F.col("event_id").alias("item"), (F.col("event_id") % 6).cast("int").alias("attempts"), (F.col("event_type") == "error").alias("fatal"), F.col("ts").alias("at"))
+    return channels.retry_entries(rows).withColumn("next_try", F.unix_timestamp("next_try_at")).drop("next_try_at")
+
+
+CLAIMS = """cl AS (SELECT l_orderkey AS reg_id, l_linenumber AS place, l_orderkey % 9 = 0 AS manual, CASE WHEN l_returnflag <> 'R' THEN l_partkey % 40 END AS doc_id,
+    CASE WHEN l_returnflag <> 'R' THEN 'q' || l_suppkey % 6 END AS quote, 'c' || l_linenumber AS claim FROM lineitem)"""
+
+
+def _claims(spark, sf):
+    held = F.col("l_returnflag") != "R"
+    columns = {"reg_id": F.col("l_orderkey"), "place": F.col("l_linenumber"), "manual": F.col("l_orderkey") % 9 == 0, "doc_id": F.when(held, F.col("l_partkey") % 40), "quote": F.when(held, F.concat(F.lit("q"), (F.col("l_suppkey") % 6).cast("string"))), "claim": F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))}
+    return b.table(spark, sf, "lineitem").select(*[v.alias(k) for k, v in columns.items()])
+
+
+@query(f"""WITH {CLAIMS}, o AS (SELECT reg_id, doc_id, quote, min(place) AS place FROM cl WHERE NOT manual AND quote IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT reg_id, CAST(row_number() OVER (PARTITION BY reg_id ORDER BY place, doc_id, quote) AS INTEGER) AS number, doc_id, quote FROM o""")
+def summary_citations(spark, sf):
+    return channels.citations(_claims(spark, sf).where("quote IS NOT NULL"))
+
+
+@query(f"WITH {CLAIMS} SELECT reg_id, count(quote) AS verified, count(*) AS claims, round(count(quote) / count(*), 4) AS score FROM cl GROUP BY 1")
+def grounding_scores(spark, sf):
+    return channels.grounding(_claims(spark, sf))
