@@ -111,4 +111,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, CAST(octet_length(encode(record)) AS BIGINT) AS n_bytes, sha256(record) AS sha256,
             NOT (page_id % {DAMAGED[0]} = {DAMAGED[1]} AND coalesce(html, '') <> '') AS intact
         FROM records""",
+    # Windows of 200 bytes by their digests, runs of what they cover, and what stands between the runs.
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        s AS (SELECT doc_id, unnest(range(0, octet_length(b) - 199)) AS p, b FROM d),
+        h AS (SELECT doc_id, p, md5(b[p + 1:p + 200]) AS h FROM s),
+        twice AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+        hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM h JOIN twice USING (h)),
+        run AS (SELECT doc_id, p, sum(CAST(before IS NULL OR p > before + 200 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit),
+        span AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM run GROUP BY doc_id, r),
+        bound AS (SELECT doc_id, a, z FROM span UNION ALL SELECT doc_id, octet_length(b), octet_length(b) FROM d),
+        gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 0) AS start FROM bound),
+        kept AS (SELECT doc_id, string_agg(hex(b[start + 1:a]), '' ORDER BY a, z) AS k, sum(z - a) AS removed, count(*) - 1 AS spans FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, octet_length(b) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept JOIN d USING (doc_id)""",
+    # All pairs that share a shingle, and what each document reaches.
+    "op8_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+        pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
+        SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n""",
 }
