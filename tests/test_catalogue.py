@@ -2,7 +2,7 @@ import pytest
 from compare import connect, duck_rows, spark_rows
 from conftest import DATA
 
-from docketry.plans import portal  # noqa: F401
+from docketry.plans import portal, stages  # noqa: F401
 from docketry.plans.catalogue import ORACLE_SQL, QUERIES
 
 
