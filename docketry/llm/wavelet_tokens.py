@@ -29,8 +29,8 @@ from .common import shared_dir, text_of
 BITS = 16
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 19
-#: Pieces that a worker remembers at most, and documents in a batch.
-_CACHED, _DOCUMENTS = 250_000, 256
+#: Pieces in each of the two generations that a worker remembers, and documents in a batch.
+_CACHED, _DOCUMENTS = 60_000, 256
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 _CUT = re.compile(r"(?<=[\w!-~])(?=[ \n])")
@@ -120,16 +120,17 @@ class WaveletMatrix:
         return at
 
 
-#: The pieces known to this worker: kept from task to task, by tokenizer file.
-_KNOWN: dict[str, dict[str, bytes]] = {}
+#: The pieces known to this worker, younger and older generation: kept from task to task, by tokenizer file.
+_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 class Encoder:
     """Ids of whole texts by a tokenizers file, as bytes of unsigned 16-bit integers.
 
     The pre-tokenizer never joins what stands before white space with what
-    follows, so a text is cut there and each piece encoded once and remembered,
-    in a cache of bounded size.  Where all white space is single spaces and line
+    follows, so a text is cut there and each piece encoded once and remembered.
+    When a generation of pieces is full it becomes the older one, and those of it
+    that are met again move to the new one, so frequent pieces stay.  Where all white space is single spaces and line
     ends between words, a piece is a word, with its space unless a line end is
     in front; other texts are cut before spaces and line ends after a visible
     character.  Nor is a letter joined with a mark after it, so a word's marks
@@ -142,7 +143,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         if self.tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"ids of more than {BITS} bits")
-        self.known = _KNOWN.setdefault(tokenizer_file, {})
+        self.known, self.older = _KNOWN.setdefault(tokenizer_file, ({}, {}))
+        self.file = tokenizer_file
         #: How the vocabulary writes bytes: those without a visible Latin-1 character get the numbers from 256, in order.
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.shown = {b: 256 + n for n, b in enumerate(hidden)}
@@ -177,6 +179,16 @@ class Encoder:
                 known[marks] = self._whole([marks[1:]])[0]
             known[w] = known[c] + known[marks]
 
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """Those that neither generation knows; all others are in the younger one afterwards."""
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > _CACHED:
+            self.known, self.older = _KNOWN[self.file] = {}, self.known
+            new = pieces
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        return new - again
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.remember:
             return self._whole(texts)
@@ -190,11 +202,7 @@ class Encoder:
                 words = t.replace("\n", " \n").split(" ")
                 words[0] = "\0" + words[0]
                 pieces.append(words)
-        new = {w for w in set(chain.from_iterable(pieces)) if w not in self.known}
-        if len(self.known) + len(new) > _CACHED:
-            self.known.clear()
-            new = set(chain.from_iterable(pieces))
-        self._learn(new)
+        self._learn(self._unknown(set(chain.from_iterable(pieces))))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) if words else self._whole([t])[0] for words, t in zip(pieces, texts, strict=True)]
 

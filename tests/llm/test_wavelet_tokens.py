@@ -69,3 +69,15 @@ def test_counts_places_and_tokens_of_shards(spark):
     places = [(i, p) for i in (0, 7, 39, 77) for p in (0, 3, 10, 500, -1)] + [(1000, 0), (None, 0)]
     got = {(r["doc_id"], r["place"]): r["token_id"] for r in tokens_at(shards, spark.createDataFrame(places, "doc_id long, place int")).collect()}
     assert got == {(i, p): ids[i][p] if 0 <= p < len(ids[i]) else None for i, p in places if i in ids and i is not None}
+
+
+def test_generations_of_remembered_words(monkeypatch):
+    from docketry.llm import wavelet_tokens
+
+    monkeypatch.setattr(wavelet_tokens, "_CACHED", 8)
+    monkeypatch.setattr(wavelet_tokens, "_KNOWN", {})
+    encoder, plain = Encoder(FILE), Encoder(FILE, remember=False)
+    for k in range(12):
+        texts = [f"the word{k % 5} and, more{k}!\nlines the", f"  odd  {k} the", "the " * 30 + "end."]
+        assert encoder.encode(texts) == plain.encode(texts)
+        assert len(encoder.older) <= 30
