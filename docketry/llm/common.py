@@ -49,6 +49,44 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def vector_rows(vectors: DataFrame) -> DataFrame:
+    """vec_id, label (as text, null where there is none) and vector (doubles) of the rows whose vector has no null or non-finite component."""
+    label = F.col("label").cast("string") if "label" in vectors.columns else F.lit(None).cast("string")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return rows.where(F.col("vector").isNotNull() & ~F.exists("vector", odd))
+
+
+def most_common_size(rows: DataFrame, column: str, divisor: int = 1) -> DataFrame:
+    """Of rows with lists of several lengths those of the most frequent length that ``divisor`` divides; of several the longest."""
+    sizes = rows.where(F.size(column) % divisor == 0).groupBy(F.size(column).alias("size")).count()
+    most = sizes.orderBy(F.desc("count"), F.desc("size")).first()
+    return rows.where(F.size(column) == (most["size"] if most else 0))
+
+
+#: Bytes of a side that is broadcast at most, and copies of its rows where it is larger.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
+
+
+def attach(rows: DataFrame, totals: DataFrame, keys: list[str], salt: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` with the columns of ``totals`` (one row a key); null keys are equal.
+
+    A small ``totals``, as measured, is broadcast.  Of a larger one every key is
+    copied for each salt, and the rows of a hot key are dealt out by the hash of ``salt``.
+    """
+    totals = staged(totals, "totals")
+    size = totals.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32).alias("s")).first()["s"] or 0
+    renamed = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in totals.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    if size <= most:
+        joined = rows.join(F.broadcast(renamed), same, "left")
+    else:
+        copies = renamed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("_row_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(copies, [*same, F.col("_row_salt") == F.col("_salt")], "left").drop("_salt", "_row_salt")
+    return joined.drop(*[f"_{k}" for k in keys])
+
+
 def fold_of(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

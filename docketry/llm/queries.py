@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_entropy, decontaminate, lang_id, near_dedup, piece_codec, quality_rules, suffix_dedup, toxicity, warc_audit, wavelet_tokens
+from . import cross_entropy, decontaminate, lang_id, near_dedup, piece_codec, quality_rules, redirect_filter, suffix_dedup, toxicity, vector_codes, warc_audit, wavelet_tokens, whitening
 from .common import fold_of, shared_dir, table
 
 
@@ -84,6 +84,22 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.octet_length("ids").cast("long").alias("n_id_bytes"), "n_ids", "ids_crc32", "restored")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+#: The rules of the query's contract: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirect_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,8 +111,71 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_piece_codec": op10_piece_codec,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_redirect_filter": op12_redirect_filter,
+    "op13_whitening": op13_whitening,
 }
 
+def _codes_sql(rounds: int = 4) -> str:
+    """All distances to all entries, round by round; whole numbers of these sizes are exact in doubles."""
+    far = "list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v)"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT p.vec_id, p.part, any_value(p.v) AS v, min(struct_pack(d := {far}, e := c.entry)) AS best FROM p JOIN c{k} c USING (part) GROUP BY 1, 2)")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT part, entry, list(m ORDER BY pos) AS v FROM (
+                SELECT part, best.e AS entry, pos, floor(sum(v[pos]) / count(*)) AS m FROM a{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM p))) AS pos) GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (part, entry))")
+    return f"""
+        WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, label, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS v FROM k, (SELECT unnest(range(4)) AS part)),
+        c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < 256),
+        {", ".join(steps)},
+        out AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+        lab AS (SELECT k.label, CAST(sum(error) AS BIGINT) AS label_error FROM out JOIN k USING (vec_id) GROUP BY k.label),
+        book AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+        SELECT out.vec_id, code, error, label_error, codebooks_sha256 FROM out JOIN k USING (vec_id) JOIN lab ON lab.label IS NOT DISTINCT FROM k.label, book"""
+
+
+def _filter_sql() -> str:
+    """Rules by their longest text, links by the markup, and everything that a url reaches."""
+    parts = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    part = lambda u, n: f"regexp_extract({u}, '{parts}', {n})"
+    host = lambda u: f"translate({part(u, 2)}, '{up}', '{low}')"
+
+    def plain(u: str) -> str:
+        path = f"regexp_replace(regexp_replace({part(u, 3)}, '/index\\.html?$', '/'), '/+$', '')"
+        query = f"regexp_replace(regexp_replace({part(u, 4)}, '([?&])utm_[^&]*', '\\1', 'g'), '&+', '&', 'g')"
+        query = f"regexp_replace(regexp_replace({query}, '^\\?&', '?'), '[?&]$', '')"
+        return f"CASE WHEN {host(u)} <> '' THEN regexp_replace(regexp_replace({host(u)}, '^(www\\.|m\\.)+', ''), ':(80|443)$', '') || {path} || {query} END"
+
+    def resolved(link: str, base: str) -> str:
+        site = f"{part(base, 1)} || '://' || {host(base)}"
+        return f"""CASE WHEN regexp_matches({link}, '(?i)^https?://') THEN {link} WHEN regexp_matches({link}, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL
+            WHEN starts_with({link}, '//') THEN {part(base, 1)} || ':' || {link} WHEN starts_with({link}, '/') THEN {site} || {link}
+            WHEN {link} = '' OR starts_with({link}, '#') THEN NULL WHEN starts_with({link}, '?') THEN {site} || {part(base, 3)} || {link}
+            ELSE {site} || CASE WHEN regexp_extract({part(base, 3)}, '(?s)^(.*/)', 1) = '' THEN '/' ELSE regexp_extract({part(base, 3)}, '(?s)^(.*/)', 1) END || {link} END"""
+
+    value = lambda name: f"""regexp_replace(regexp_extract(tag, '(?is)[\\s"'']{name}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1), '^["'']|["'']$', '', 'g')"""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""
+        WITH RECURSIVE rules(rh, rp, v) AS (VALUES {rules}),
+        pg AS (SELECT row_number() OVER () AS n, page_id, url, coalesce({host("url")}, '') AS host, coalesce({part("url", 3)}, '') AS path, {plain("url")} AS plain, html FROM pages),
+        tag AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)(<(?:link|meta)\\b[^>]*>)', 1)) AS tag
+            FROM pages WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|http-equiv')),
+        said AS (SELECT url, replace(trim(CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(lower({value("rel")}), '(^|\\s)canonical(\\s|$)') THEN {value("href")}
+            WHEN regexp_matches(tag, '(?i)^<meta') AND lower({value("http-equiv")}) = 'refresh' THEN regexp_extract({value("content")}, '(?is)url\\s*=\\s*["'']?([^"''>]*)', 1) END), '&amp;', '&') AS link FROM tag),
+        decl AS (SELECT url, {resolved("link", "url")} AS target FROM said),
+        url AS (SELECT url FROM pg UNION SELECT url FROM decl WHERE target IS NOT NULL UNION SELECT target FROM decl),
+        fit AS (SELECT url, arg_max(v, (length(rh || rp), length(rh))) AS v, arg_max(rh || rp, (length(rh || rp), length(rh))) AS rule
+            FROM url JOIN rules ON ({host("url")} = rh OR ends_with({host("url")}, '.' || rh)) AND starts_with({part("url", 3)}, rp) GROUP BY url),
+        edge AS (SELECT {plain("url")} AS a, {plain("target")} AS b FROM decl WHERE target IS NOT NULL),
+        bad AS (SELECT {plain("url")} AS node FROM fit WHERE v = 'block' UNION SELECT CASE WHEN edge.a = bad.node THEN edge.b ELSE edge.a END FROM bad JOIN edge ON bad.node IN (edge.a, edge.b))
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN plain IN (SELECT node FROM bad WHERE node IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict FROM pg LEFT JOIN fit ON fit.url = pg.url"""
+
+
 #: DuckDB SQL for the queries' rows; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_audit": f"""
@@ -133,4 +212,6 @@ ORACLE_SQL: dict[str, str] = {
         link AS (SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
         reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
         SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n""",
+    "op11_vector_codes": _codes_sql(),
+    "op12_redirect_filter": _filter_sql(),
 }
