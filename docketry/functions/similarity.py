@@ -7,6 +7,7 @@ common subsequence over both lengths (insertions and deletions only); Spark's
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,29 @@ def common(a: str, b: str) -> int:
     return len(a) - rest.bit_count()
 
 
+class Subsequence:
+    """A text that many others are held against: its letters' places are noted once."""
+
+    def __init__(self, text: str):
+        self.text, self.masks = text, {}
+        for i, c in enumerate(text):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+    def common(self, other: str) -> int:
+        full = rest = (1 << len(self.text)) - 1
+        for mask in map(self.masks.get, other):
+            if mask is not None:
+                hit = rest & mask
+                if hit:
+                    rest = (rest + hit | rest - hit) & full
+        return len(self.text) - rest.bit_count()
+
+    def ratio(self, other: str) -> float:
+        if self.text == other:
+            return 100.0
+        return 100.0 * 2 * self.common(other) / (len(self.text) + len(other))
+
+
 def ratio(a: str, b: str) -> float:
     return 100.0 * 2 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
 
@@ -46,26 +70,85 @@ def token_set(a: str, b: str) -> float:
     return max(best, ratio(both, one), ratio(both, two)) if both else best
 
 
-def partial(a: str, b: str, least: float = 0.0) -> tuple[float, int, int]:
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _triples(codes: np.ndarray) -> np.ndarray:
+    return (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+
+
+class Searched:
+    """A text in which parts like others are looked for: its letters and triples of letters are numbered once."""
+
+    def __init__(self, text: str):
+        self.text, codes = text, _codes(text)
+        self.letters, self.letter_at = np.unique(codes, return_inverse=True)
+        self.triples, self.triple_at = np.unique(_triples(codes), return_inverse=True) if len(codes) > 2 else (codes[:0], codes[:0])
+
+    def windows(self, short: str, least: float) -> list[tuple[int, int]]:
+        """The parts that can be ``least`` like ``short``, in order: none longer, shorter ones only at the ends.
+
+        A part of length w that is t percent like a text of length n has at least
+        t (n + w) / 200 letters of it in order, so (t / 40 - 2) (n + w) - 2 of its
+        triples of letters: taking a letter out breaks three of them, putting one
+        in two.  Parts with fewer positions whose triple the text has anywhere
+        can't be.
+        """
+        n, size, own = len(short), len(self.text), _codes(short)
+        share, have = least / 40 - 2, None
+        if share > 0 and n > 2 and size > 2:
+            have = np.concatenate([[0], np.cumsum(np.isin(self.triples, _triples(own))[self.triple_at])])
+            # A part is at least so long as its letters in common.
+            if have[-1] < share * n * 200 / (200 - least) - 2 - 1e-9:
+                return []
+        starts = np.arange(1 - n, size)
+        low, high = np.maximum(starts, 0), np.minimum(starts + n, size)
+        fit = 200 * np.minimum(n, high - low) >= least * (n + high - low)
+        letters = np.isin(self.letters, own)[self.letter_at]
+        # A part that ends in a letter the shorter text hasn't is no better than the one before it, and at the end one that starts so than the one after.
+        fit &= np.where(high < size, letters[high - 1], letters[low] | (low == 0))
+        if have is not None:
+            count = have[np.maximum(high - 2, low).clip(0, size - 2)] - have[low.clip(0, size - 2)]
+            fit &= count >= share * (n + high - low) - 2 - 1e-9
+        return list(zip(low[fit].tolist(), high[fit].tolist()))
+
+
+def _promising(finder: Subsequence, long: str, windows: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+    """Windows in stretches that hold enough of the shorter text's letters in order; a stretch holds all of its windows' letters."""
+    n = len(finder.text)
+    step = max(8, n // 8)
+    stretches: dict[int, list[tuple[int, int]]] = {}
+    for w in windows:
+        stretches.setdefault(w[0] // step, []).append(w)
+    out = []
+    for some in stretches.values():
+        if len(some) > 2:
+            most = finder.common(long[some[0][0] : max(high for _, high in some)])
+            some = [w for w in some if 200 * min(most, w[1] - w[0]) >= least * (n + w[1] - w[0]) - 1e-9]
+        out += some
+    return out
+
+
+def partial(a: str, b: str, least: float = 0.0, searched: Searched | None = None) -> tuple[float, int, int]:
     """The best ratio of the shorter text to a part of the longer one not longer than it, and that part's ends in b.
 
-    Parts that start at the longer text's front or stop at its end may be shorter.
+    Parts that start at the longer text's front or stop at its end may be
+    shorter.  Of parts as good the first counts; below ``least`` nothing is found.
+    ``searched`` spares numbering b again for each a.
     """
     if not a or not b:
         return (100.0 if a == b else 0.0), 0, 0
     short, long, turned = (a, b, False) if len(a) <= len(b) else (b, a, True)
-    n, letters = len(short), set(short)
-    best = (0.0, 0, n)
-    for start in range(1 - n, len(long)):
-        low, high = max(start, 0), min(start + n, len(long))
-        # A best part ends and starts with a letter of the shorter text.
-        if long[high - 1] not in letters and high < len(long) or long[low] not in letters and low > 0:
-            continue
-        found = ratio(short, long[low:high])
-        if found > best[0]:
-            best = found, low, high
-            if found == 100.0:
-                break
+    at = long.find(short)
+    best = (100.0, at, at + len(short)) if at >= 0 else (0.0, 0, len(short))
+    if at < 0:
+        windows = (searched if searched and searched.text == long else Searched(long)).windows(short, least)
+        finder = Subsequence(short if windows else "")
+        for low, high in _promising(finder, long, windows, least) if least else windows:
+            found = finder.ratio(long[low:high])
+            if found > best[0]:
+                best = found, low, high
     if best[0] < least:
         return 0.0, 0, 0
     return (best[0], 0, len(b)) if turned else best
@@ -102,5 +185,6 @@ def token_set_of(a: Column, b: Column) -> Column:
     return F.when(empty, 0.0).when(inside, 100.0).otherwise(_TOKEN_SET(F.when(~inside, a), F.when(~inside, b)))
 
 
-def partial_of(a: Column, b: Column) -> Column:
-    return _PARTIAL(a, b)
+def partial_of(a: Column, b: Column, least: float = 0.0) -> Column:
+    """The partial ratio, 0 below ``least``, which spares most of the work."""
+    return _pairs(lambda x, y: partial(x, y, least)[0])(a, b) if least else _PARTIAL(a, b)

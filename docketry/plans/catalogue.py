@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import grounding, html, text
 from docketry.functions.similarity import partial_of, ratio_of, token_set_of
-from docketry.operators import audit, changes, evaluation, inbox, linking, monitoring, scoring, statistics
+from docketry.operators import audit, candidates, changes, evaluation, inbox, ladder, linking, monitoring, scoring, statistics
 from docketry.operators.inbox import ListQuery
 from docketry.session import shared_path
 from docketry.sources import files, listings
@@ -454,17 +454,33 @@ def document_keys(spark, sf):
     return linking.document_keys(_publications(spark, sf))
 
 
+def _linked(spark, sf):
+    """Publications, their keys, and where each ended up: every fifth comes as a new version of the one ten before."""
+    docs = _publications(spark, sf)
+    i = F.col("doc_id")
+    docs = docs.withColumn("item", F.when((i % 5 == 0) & (i >= 10), i - 10).otherwise(i).cast("string"))
+    keys = linking.document_keys(docs)
+    never = docs.where(i % 31 == 7).select((i - 7).alias("a"), i.alias("b"))
+    pairs = candidates.fuzzy_candidates(docs)
+    answers = pairs.where("score < 0.90 AND (a + b) % 3 < 2").select("a", "b", (F.expr("(a + b) % 3") == 0).alias("same"))
+    return docs, keys, ladder.link_ladder(docs, keys, pairs, answers, never)
+
+
 @query()
 def linked_records(spark, sf):
-    """Every rung: keys, titles of several sources, and pairs of like titles."""
-    docs = _publications(spark, sf)
-    return linking.link_ladder(linking.document_keys(docs), linking.fuzzy_candidates(docs), docs)
+    """Every rung: versions, keys, titles of other sources, like titles, answers, and pairs that never join."""
+    return _linked(spark, sf)[2]
+
+
+@query()
+def key_conflicts(spark, sf):
+    docs, keys, links = _linked(spark, sf)
+    return ladder.key_conflicts(keys, links)
 
 
 @query()
 def golden_records(spark, sf):
-    docs = _publications(spark, sf)
-    links = linking.link_ladder(linking.document_keys(docs), linking.fuzzy_candidates(docs), docs)
+    docs, _, links = _linked(spark, sf)
     return linking.golden_records(docs, links)
 
 
@@ -476,7 +492,8 @@ def _titled(spark, sf):
 
 @query()
 def fuzzy_candidates(spark, sf):
-    return linking.fuzzy_candidates(_titled(spark, sf))
+    """All pairs of documents by whole first lines and texts."""
+    return candidates.fuzzy_candidates(_titled(spark, sf)).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT o_orderkey AS reg_id, CASE o_orderkey WHEN 5 THEN 17 WHEN 6 THEN 20 ELSE o_orderkey // 3 END AS into_id FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderkey > 2 OR o_orderkey IN (5, 20)),
@@ -495,13 +512,34 @@ def quote_exact(spark, sf):
     return grounding.exact_quotes(b.table(spark, sf, "benchmark"), b.table(spark, sf, "documents"))
 
 
+def _altered(words, key):
+    """A text's words as somebody may quote them: as they are, in capitals with other marks, with a word in nine left out, or both ends of it."""
+    joined = lambda w: F.array_join(w, " ")
+    third = F.greatest(F.lit(1), F.floor(F.size(words) / 3).cast("int"))
+    ends = F.concat(joined(F.slice(words, 1, third)), F.lit(" [...] "), joined(F.slice(words, F.greatest(F.lit(1), F.size(words) - third + 1), third)))
+    marked = F.concat_ws(", ", F.transform(words, lambda w: F.upper(F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))))
+    dropped = joined(F.filter(words, lambda w, k: k % 9 != 4))
+    return F.when(key % 4 == 0, joined(words)).when(key % 4 == 1, marked).when(key % 4 == 2, dropped).otherwise(ends)
+
+
 @query()
 def quote_ladder(spark, sf):
-    """Every quote against the texts that its exact search named, in other letters and with a part left out."""
-    found = quote_exact(spark, sf).select("item_id", "doc_id")
-    quote = F.concat(F.upper(F.substring("quote", 1, 40)), F.lit(" ... "), F.expr("right(quote, 30)"))
-    pairs = found.join(b.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id").join(b.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return pairs.select("item_id", "doc_id", grounding.quote_in(quote, "text").alias("e")).select("item_id", "doc_id", "e.*")
+    """Every whole quote of the benchmark, altered, against all documents: one row a quote that any of them has."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    return grounding.find_quotes(b.table(spark, sf, "benchmark").select("item_id", _altered(words, F.col("item_id")).alias("quote")), b.table(spark, sf, "documents"))
+
+
+def _claims(spark, sf):
+    """A claim a document that quotes words of its text, altered; eight documents make a record."""
+    docs = b.table(spark, sf, "documents").withColumn("record", F.floor(F.col("doc_id") / 8))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    return docs.select(F.col("doc_id").alias("item_id"), "record", _altered(F.slice(words, 4, 20), F.col("doc_id")).alias("quote")), docs.select("record", "doc_id", "text")
+
+
+@query()
+def claim_evidence(spark, sf):
+    """Each claim's best evidence among all sources of its record."""
+    return grounding.quote_evidence(*_claims(spark, sf))
 
 
 @query()
@@ -535,12 +573,12 @@ def ensemble_decision(spark, sf):
 SEVERITY_RULES = scoring.SeverityRules(critical=("the on",), immediate=("of the",), addressed=("reth",), cap_by_type={"de": 1}, cap_by_title={"^the": 2})
 
 
-@query(r"""WITH d AS (SELECT doc_id, lang, CAST(doc_id % 5 AS INTEGER) AS s, lower(translate(text, 'Iİ', 'ıi')) AS low, lower(translate(substr(text, 1, 40), 'Iİ', 'ıi')) AS head FROM documents),
+@query(r"""WITH d AS (SELECT doc_id, lang, CAST(doc_id % 5 AS INTEGER) AS s, lower(translate(text, 'Iİ', 'ıi')) AS low, lower(translate(split_part(text, chr(10), 1), 'Iİ', 'ıi')) AS head FROM documents),
     r AS (SELECT *, CASE WHEN regexp_matches(low, 'the\s+on') OR (regexp_matches(low, 'of\s+the') AND regexp_matches(low, '\breth\b')) THEN greatest(s, 3) ELSE s END AS raised FROM d)
     SELECT doc_id, least(raised, CASE WHEN lang = 'de' THEN 1 END, CASE WHEN regexp_matches(head, '^the') THEN 2 END) AS severity FROM r""")
 def severity_caps(spark, sf):
     docs = b.table(spark, sf, "documents")
-    return docs.select("doc_id", scoring.ruled_severity((F.col("doc_id") % 5).cast("int"), F.col("lang"), F.col("text"), F.substring("text", 1, 40), SEVERITY_RULES).alias("severity"))
+    return docs.select("doc_id", scoring.ruled_severity((F.col("doc_id") % 5).cast("int"), F.col("lang"), F.col("text"), F.substring_index("text", "\n", 1), SEVERITY_RULES).alias("severity"))
 
 
 @query()

@@ -1,51 +1,15 @@
 import datetime as dt
-import random
 
 from pyspark.sql import functions as F
 
-from docketry.functions.similarity import token_set
 from docketry.operators import detections, linking
 
 
-def documents(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, source string, issuer string, day date, title_key string, text string")
-
-
-def test_candidates_are_those_of_all_pairs(spark):
-    rng, base = random.Random(3), dt.date(2024, 1, 1)
-    words = ["".join(rng.choice("abcdefghijklmnoprstuvyz") for _ in range(rng.randint(4, 11))) for _ in range(80)]
-    rows = []
-    for n in range(120):
-        title = rng.sample(words, rng.randint(3, 8)) if n % 3 or not rows else rng.choice(rows)[4].split() + rng.sample(words, rng.randint(0, 6))
-        rows.append((n, f"s{n % 4}", [None, "GIB", "HMB", "SPK"][n % 4], None if n % 11 == 0 else base + dt.timedelta(rng.randint(0, 20)), " ".join(title), ""))
-    got = {(r["a"], r["b"]): r["score"] for r in linking.fuzzy_candidates(documents(spark, rows)).collect()}
-    want = {}
-    fits = lambda x, y: x is None or y is None or x == y or {x, y} == {"GIB", "HMB"}
-    for a in rows:
-        for b in rows:
-            near = a[3] is None or b[3] is None or abs((a[3] - b[3]).days) <= 7
-            if a[0] < b[0] and a[1] != b[1] and near and fits(a[2], b[2]):
-                score = round(0.85 * token_set(a[4], b[4]) / 100 + 0.15 * (1.0 if a[2] and b[2] else 0.5), 4)
-                if score >= 0.70:
-                    want[a[0], b[0]] = score
-    assert all(abs(want[p] - s) < 2e-4 for p, s in got.items()), [(p, s, want.get(p)) for p, s in got.items() if abs(want.get(p, 0) - s) > 2e-4][:5]
-    assert len(got) >= 0.9 * len(want), [(p, s) for p, s in want.items() if p not in got][:5]
-    assert {p for p, s in want.items() if s >= 0.90} <= got.keys()
-
-
 def test_texts_are_compared_in_lower_case_and_related_issuers_count_whole(spark):
     row = spark.range(1).select(linking.pair_score(F.lit("a b"), F.lit("a b"), F.lit("IŞIK TEXT"), F.lit("ışık text"), F.lit("GIB"), F.lit("HMB")).alias("s")).first()
     assert abs(row["s"] - 1) < 1e-9
 
 
-def test_titles_merge_across_sources_only(spark):
-    keys = spark.createDataFrame([(1, "title:x", False), (2, "title:x", False), (3, "title:x", False), (4, "url:y", True), (3, "url:y", True)], "doc_id long, key string, strong boolean")
-    docs = spark.createDataFrame([(1, "s1"), (2, "s1"), (3, "s2"), (4, "s2"), (5, "s9")], "doc_id long, source string")
-    none = spark.createDataFrame([(4, 5, 0.8)], "a long, b long, score double")
-    got = {r["doc_id"]: (r["record"], r["method"], r["review"]) for r in linking.link_ladder(keys, none, docs).collect()}
-    assert got == {1: (1, "new", False), 2: (2, "new", False), 3: (1, "key", False), 4: (1, "key", False), 5: (5, "new", True)}
-
-
 def test_rows_are_matched_rung_by_rung(spark):
     d = dt.date(2024, 3, 1)
     kinds = "row long, url string, issuer string, number string, day date, title_key string, text string"

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from docketry.operators import changes, inbox, linking, monitoring
+from docketry.operators import candidates, changes, inbox, ladder, linking, monitoring
 from docketry.sources import files, listings
 
 
@@ -74,8 +74,7 @@ def test_four_copies_become_one_record(spark):
         (4, "other", "http://o.org/z", "SPK", None, None, None, "sermaye piyasası araçları tebliği metni", "2026-09-19"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, source string, url string, issuer string, kind string, decision_no string, sequence_no string, title_key string, day string").withColumn("day", F.to_date("day")).withColumn("text", F.lit("")).withColumn("title", F.col("title_key"))
-    pairs = linking.fuzzy_candidates(docs)
-    links = linking.link_ladder(linking.document_keys(docs), pairs, docs)
+    links = ladder.link_ladder(docs, linking.document_keys(docs), candidates.fuzzy_candidates(docs))
     assert {r["doc_id"]: r["record"] for r in links.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
     golden = {r["record"]: r["sources"] for r in linking.golden_records(docs, links).collect()}
     assert golden == {1: "agency,gazette,union", 4: "other"}
