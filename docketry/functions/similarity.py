@@ -114,20 +114,34 @@ class Searched:
         return list(zip(low[fit].tolist(), high[fit].tolist()))
 
 
-def _promising(finder: Subsequence, long: str, windows: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
-    """Windows in stretches that hold enough of the shorter text's letters in order; a stretch holds all of its windows' letters."""
-    n = len(finder.text)
-    step = max(8, n // 8)
-    stretches: dict[int, list[tuple[int, int]]] = {}
+def _best_window(finder: Subsequence, long: str, windows: list[tuple[int, int]], least: float) -> tuple[float, int, int]:
+    """The first of the best windows, by halving runs of them.
+
+    No window has more letters in order than the stretch that holds a run of
+    them, so a run whose stretch has too few is left out as a whole.
+    """
+    n, step = len(finder.text), max(8, len(finder.text) // 8)
+    best = (0.0, 0, n)
+    runs: list[list[tuple[int, int]]] = []
     for w in windows:
-        stretches.setdefault(w[0] // step, []).append(w)
-    out = []
-    for some in stretches.values():
-        if len(some) > 2:
-            most = finder.common(long[some[0][0] : max(high for _, high in some)])
-            some = [w for w in some if 200 * min(most, w[1] - w[0]) >= least * (n + w[1] - w[0]) - 1e-9]
-        out += some
-    return out
+        if not runs or w[0] >= runs[-1][0][0] + step:
+            runs.append([])
+        runs[-1].append(w)
+    runs.reverse()
+    while runs:
+        run = runs.pop()
+        if len(run) == 1:
+            low, high = run[0]
+            found = finder.ratio(long[low:high])
+            if found > best[0] and found >= least:
+                best = found, low, high
+            continue
+        most = finder.common(long[run[0][0] : max(high for _, high in run)])
+        reach = max(100.0 * 2 * min(most, high - low) / (n + high - low) for low, high in run)
+        if reach >= least and reach > best[0]:
+            half = len(run) // 2
+            runs += [run[half:], run[:half]]
+    return best
 
 
 def partial(a: str, b: str, least: float = 0.0, searched: Searched | None = None) -> tuple[float, int, int]:
@@ -144,11 +158,8 @@ def partial(a: str, b: str, least: float = 0.0, searched: Searched | None = None
     best = (100.0, at, at + len(short)) if at >= 0 else (0.0, 0, len(short))
     if at < 0:
         windows = (searched if searched and searched.text == long else Searched(long)).windows(short, least)
-        finder = Subsequence(short if windows else "")
-        for low, high in _promising(finder, long, windows, least) if least else windows:
-            found = finder.ratio(long[low:high])
-            if found > best[0]:
-                best = found, low, high
+        if windows:
+            best = _best_window(Subsequence(short), long, windows, least)
     if best[0] < least:
         return 0.0, 0, 0
     return (best[0], 0, len(b)) if turned else best

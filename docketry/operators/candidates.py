@@ -14,13 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.similarity import Subsequence, token_set
 from docketry.functions.text import ISSUER_PARENT, tr_lower
-from docketry.session import staged
+
+from . import tiles
 
 #: The shares of title, text and issuer with and without texts, what an unknown issuer counts, and the part of a text that is compared.
 WITH_TEXT, WITHOUT_TEXT, UNKNOWN_ISSUER, HEAD = (0.6, 0.3, 0.1), (0.85, 0.15), 0.5, 2000
@@ -46,19 +46,24 @@ def score(title: float, text: float | None, issuer: float) -> float:
     return WITH_TEXT[0] * title + WITH_TEXT[1] * text + WITH_TEXT[2] * issuer
 
 
-class _Side:
-    """A chunk's columns, with what the bounds are made of."""
+class Titles:
+    """A chunk's titles, with what the bounds are made of."""
 
     def __init__(self, chunk: list):
         self.ids = np.array([r["doc_id"] for r in chunk], np.int64)
         self.days = np.array([np.nan if r["day"] is None else r["day"] for r in chunk])
-        self.sources = [r["source"] for r in chunk]
         self.issuers = [r["issuer"] for r in chunk]
         self.titles = [r["title"] or "" for r in chunk]
-        self.heads = [r["head"] or "" for r in chunk]
         self.words = [sorted(set(t.split())) for t in self.titles]
         self.joined = [" ".join(w) for w in self.words]
         self.title_counts, self.title_sizes = _counts(self.joined)
+
+
+class _Side(Titles):
+    def __init__(self, chunk: list):
+        super().__init__(chunk)
+        self.sources = [r["source"] for r in chunk]
+        self.heads = [r["head"] or "" for r in chunk]
         self.head_counts, self.head_sizes = _counts(self.heads)
 
 
@@ -82,7 +87,18 @@ def _share(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * common / np.maximum(a[:, None] + b[None], 1)
 
 
-def _title_bound(a: _Side, b: _Side) -> np.ndarray:
+def issuers_fit(a: Titles, b: Titles) -> tuple[np.ndarray, np.ndarray]:
+    """Which two issuers are compatible, and which of them are both known."""
+    fit, known = np.ones((len(a.ids), len(b.ids)), bool), np.zeros((len(a.ids), len(b.ids)), bool)
+    names_a, names_b = ({n: [k for k, x in enumerate(side.issuers) if x == n] for n in set(side.issuers)} for side in (a, b))
+    for x, rows in names_a.items():
+        for y, columns in names_b.items():
+            fit[np.ix_(rows, columns)] = compatible(x, y)
+            known[np.ix_(rows, columns)] = bool(x and y)
+    return fit, known
+
+
+def title_bound(a: Titles, b: Titles) -> np.ndarray:
     """No title share is above it: letters in common of the distinct words, or the words that both have against either title."""
     shared = np.zeros((len(a.ids), len(b.ids)))
     places: dict[str, list[int]] = {}
@@ -107,20 +123,14 @@ def pairs_of_tile(left: list, right: list, same: bool, rules: PairRules) -> Iter
     fit = (of(a)[:, None] != of(b)[None]) & (a.ids[:, None] != b.ids[None]) & (np.isnan(near) | (near <= rules.days))
     if same:
         fit &= np.triu(np.ones(fit.shape, bool), 1)
-    names_a, names_b = ({n: [k for k, x in enumerate(side.issuers) if x == n] for n in set(side.issuers)} for side in (a, b))
-    issuer = np.full(fit.shape, UNKNOWN_ISSUER)
-    for x, rows in names_a.items():
-        for y, columns in names_b.items():
-            if not compatible(x, y):
-                fit[np.ix_(rows, columns)] = False
-            elif x and y:
-                issuer[np.ix_(rows, columns)] = 1.0
+    match, known = issuers_fit(a, b)
+    fit &= match
+    issuer = np.where(known, 1.0, UNKNOWN_ISSUER)
     texts = (a.head_sizes[:, None] > 0) & (b.head_sizes[None] > 0)
     text_bound = _share(_letters_in_common(a.head_counts, b.head_counts), a.head_sizes, b.head_sizes)
-    title_bound = _title_bound(a, b)
-    bound = lambda title: np.where(texts, score(title, text_bound, issuer), score(title, None, issuer))
+    most = title_bound(a, b)
     # What rounding may add to a bound is far below this.
-    fit &= bound(title_bound) >= rules.review - 1e-9
+    fit &= np.where(texts, score(most, text_bound, issuer), score(most, None, issuer)) >= rules.review - 1e-9
     titles: dict[tuple[str, str], float] = {}
     heads: dict[tuple[str, str], float] = {}
     for i in np.flatnonzero(fit.any(1)).tolist():
@@ -152,42 +162,8 @@ def fuzzy_candidates(docs: DataFrame, rules: PairRules = PairRules()) -> DataFra
     spread over tiles of ``chunk`` x ``chunk`` pairs; copies are scored once a tile.
     """
     day = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    window = F.floor(day / rules.days)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), window.alias("w"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "issuer", day.alias("day"), F.col("title_key").alias("title"), tr_lower(F.substring("text", 1, HEAD)).alias("head")).alias("r"))
-    rows = staged(rows.where("doc_id is not null"), "rows")
-    # A row a window: how many chunks it has.
-    sizes = staged(rows.groupBy("w").agg(F.ceil(F.count("*") / rules.chunk).cast("int").alias("chunks")), "windows")
-    same_window = F.col("rows.w").eqNullSafe(F.col("sizes.w"))
-    dealt = rows.alias("rows").join(F.broadcast(sizes.alias("sizes")), same_window).select("rows.w", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("k"), "r")
-    chunk_id = lambda w, k: F.concat_ws("/", F.coalesce(w.cast("string"), F.lit("any")), k.cast("string"))
-    chunks = staged(dealt.groupBy(chunk_id(F.col("w"), F.col("k")).alias("chunk")).agg(F.collect_list("r").alias("rows")), "chunks")
-    tiles = _tiles(sizes, chunk_id)
-    n = tiles.count()
-    if not n:
-        return docs.sparkSession.createDataFrame([], "a long, b long, score double")
-    sides = [chunks.select(F.col("chunk").alias(s), F.col("rows").alias(f"{s}_rows")) for s in ("left", "right")]
-    spark = docs.sparkSession
-    tasks = min(n, 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    # Dealt out by number, so that adaptive plans don't put dear tiles into few tasks.
-    loaded = tiles.join(sides[0], "left").join(sides[1], "right").repartition(tasks, "left", "right")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for t in batch.itertuples(index=False):
-                yield pd.DataFrame(pairs_of_tile(t.left_rows, t.right_rows, t.left == t.right, rules), columns=["a", "b", "score"])
-
-    return loaded.select("left", "right", "left_rows", "right_rows").mapInPandas(run, "a long, b long, score double")
-
-
-def _tiles(sizes: DataFrame, chunk_id) -> DataFrame:
-    """left and right: every two chunks of one window, of a window and the next, and of the undated and any; each two once."""
-    chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    each = sizes.select("w", chunk.alias("k"))
-    a, b = each.alias("a"), each.alias("b")
-    k_a, k_b, w_a, w_b = (F.col(c) for c in ("a.k", "b.k", "a.w", "b.w"))
-    within = a.join(b, w_a.eqNullSafe(w_b) & (k_a <= k_b))
-    onward = a.join(b, w_b == w_a + 1)
-    # The undated meet everything by definition; a row a tile, and no rows of documents yet.
-    open_ = a.where("w is null").withColumn("any", F.lit(1)).join(b.where("w is not null").withColumn("any", F.lit(1)), "any")
-    found = [x.select(chunk_id(w_a, k_a).alias("left"), chunk_id(w_b, k_b).alias("right")) for x in (within, onward, open_)]
-    return staged(found[0].union(found[1]).union(found[2]), "tiles")
+    doc = F.col("doc_id").cast("long")
+    facts = F.struct(doc.alias("doc_id"), F.col("source").cast("string").alias("source"), "issuer", day.alias("day"), F.col("title_key").alias("title"), tr_lower(F.substring("text", 1, HEAD)).alias("head"))
+    rows = docs.where("doc_id is not null").select(tiles.window_of(F.col("day"), rules.days).alias("w"), doc.alias("key"), facts.alias("r"))
+    side = tiles.Side(rows, "docs", rules.chunk)
+    return tiles.compare(side, side, range(2), lambda a, b, same: pairs_of_tile(a, b, same, rules), "a long, b long, score double")

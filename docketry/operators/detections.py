@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.similarity import partial_of, token_set_of
-from docketry.functions.text import canonical_url, issuers_compatible, parse_date
+from docketry.functions.similarity import Searched, partial, token_set
+from docketry.functions.text import canonical_url, parse_date, punctuation_fold
+from docketry.session import staged
 
-#: Least likeness of titles and of texts, days around a detection, and the parts of texts that are compared.
-LEAST_TITLE, LEAST_TEXT, WINDOW, NEEDLE, HAYSTACK = 85.0, 65.0, 7, 400, 20_000
+from . import candidates, tiles
+
+#: Least likeness of titles and of texts, days around a detection, words of a title that says little.
+LEAST_TITLE, LEAST_TEXT, WINDOW, GENERIC_WORDS = 85.0, 65.0, 7, 4
+#: The parts of texts that are compared, the least of it, and the days that a publication may lie from a detection.
+NEEDLE, HAYSTACK, LEAST_NEEDLE, EARLIEST, LATEST = 400, 20_000, 60, -14, 2
 
 
 def normal_rows(rows: DataFrame) -> DataFrame:
@@ -40,49 +47,96 @@ def _one(found: DataFrame, method: str) -> DataFrame:
     return found.groupBy("row").agg(best.alias("x")).select("row", F.col("x.doc_id").alias("doc_id"), F.col("x.reg_id").alias("reg_id"), F.round(-F.col("x.worse"), 2).alias("score"), F.lit(method).alias("method"))
 
 
-def near_titles(rows: DataFrame, publications: DataFrame, least: float = LEAST_TITLE, window: int = WINDOW) -> DataFrame:
+def _title_tile(least: float, window: int):
+    def pairs(left: list, right: list, same: bool) -> Iterator[tuple[int, int, int | None, float]]:
+        a, b = candidates.Titles(left), candidates.Titles(right)
+        near = np.abs(a.days[:, None] - b.days[None]) <= window
+        fit = near & candidates.issuers_fit(a, b)[0] & (100 * candidates.title_bound(a, b) >= least - 1e-9)
+        known: dict[tuple[str, str], float] = {}
+        for i, j in zip(*(x.tolist() for x in np.nonzero(fit)), strict=True):
+            key = a.joined[i], b.joined[j]
+            if key not in known:
+                known[key] = token_set(a.titles[i], b.titles[j])
+            if known[key] >= least:
+                yield int(a.ids[i]), int(b.ids[j]), right[j]["reg_id"], known[key]
+
+    return pairs
+
+
+def _sides(rows: DataFrame, publications: DataFrame, width: int, chunk: int, **facts: Column) -> tuple[tiles.Side, tiles.Side]:
+    """Dated rows and publications in chunks: the id (row or doc_id), day, issuer, reg_id, and ``facts``."""
+    day = F.datediff("day", F.lit("1970-01-01").cast("date")).alias("day")
+    found = []
+    for df, own, name in ((rows, "row", "rows"), (publications, "doc_id", "pubs")):
+        reg = F.col("reg_id") if "reg_id" in df.columns else F.lit(None).cast("long")
+        r = F.struct(F.col(own).cast("long").alias("doc_id"), reg.alias("reg_id"), day, "issuer", *[c.alias(k) for k, c in facts.items()])
+        found.append(tiles.Side(df.where("day is not null").select(tiles.window_of(F.col("day"), width).alias("w"), F.col(own).cast("long").alias("key"), r.alias("r")), name, chunk))
+    return found[0], found[1]
+
+
+def near_titles(rows: DataFrame, publications: DataFrame, least: float = LEAST_TITLE, window: int = WINDOW, chunk: int = 512) -> DataFrame:
     """(row, doc_id, reg_id, score) of rows and publications of compatible issuers within ``window`` days, titles at least ``least`` alike.
 
-    Days are cut into blocks of the window and salted by the title's shared
-    words, so only rows with a word in common meet: titles without one are alike
-    by less than any threshold in use.
+    All such pairs, compared tile by tile; rows and publications without a day or a title have none.
+    """
+    titled = [df.where("length(title_key) > 0") for df in (rows, publications)]
+    left, right = _sides(*titled, width=window, chunk=chunk, title=F.col("title_key"))
+    return tiles.compare(left, right, range(-1, 2), _title_tile(least, window), "row long, doc_id long, reg_id long, score double")
+
+
+def _text_tile(least: float):
+    def pairs(left: list, right: list, same: bool) -> Iterator[tuple[int, int, int | None, float]]:
+        known: dict[tuple[str, str], float] = {}
+        bodies = [Searched(r["body"]) for r in right]
+        for a in left:
+            for b, body in zip(right, bodies, strict=True):
+                if EARLIEST <= b["day"] - a["day"] <= LATEST and candidates.compatible(a["issuer"], b["issuer"]):
+                    key = a["needle"], b["body"]
+                    if key not in known:
+                        known[key] = partial(*key, least, body)[0]
+                    if known[key] >= least:
+                        yield a["doc_id"], b["doc_id"], b["reg_id"], known[key]
+
+    return pairs
+
+
+def near_texts(rows: DataFrame, publications: DataFrame, least: float = LEAST_TEXT, chunk: int = 128) -> DataFrame:
+    """(row, doc_id, reg_id, score): a row's text inside a publication's, from 14 days before to 2 after, at least ``least`` alike.
+
+    Texts are compared as words in lower case without marks: the first 400
+    letters of a row's, which have to be 60 at least, with the first 20,000 of a
+    publication's.  All pairs within the days are compared, tile by tile; equal
+    texts once a tile.
     """
-    cut = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / window)
-    words = lambda: F.explode(F.array_distinct(F.split("title_key", " "))).alias("word")
-    left = rows.where("day is not null").withColumn("block", F.explode(F.array(*[cut("day") + k for k in (-1, 0, 1)]))).select("row", "day", "issuer", "block", words())
-    right = publications.where("day is not null").select("doc_id", F.col("day").alias("r_day"), F.col("issuer").alias("r_issuer"), cut("day").alias("block"), words())
-    meet = left.join(right, ["block", "word"]).where((F.abs(F.datediff("day", "r_day")) <= window) & issuers_compatible("issuer", "r_issuer"))
-    pairs = meet.select("row", "doc_id").distinct()
-    both = pairs.join(rows.select("row", "title_key"), "row").join(publications.select("doc_id", "reg_id", F.col("title_key").alias("t")), "doc_id")
-    return both.select("row", "doc_id", "reg_id", token_set_of(F.col("title_key"), F.col("t")).alias("score")).where(F.col("score") >= least)
-
-
-def near_texts(rows: DataFrame, publications: DataFrame, least: float = LEAST_TEXT) -> DataFrame:
-    """(row, doc_id, reg_id, score): a row's text inside a publication's, from 14 days before to 2 after."""
-    near = issuers_compatible("issuer", "r_issuer") & F.datediff("r_day", "day").between(-14, 2)
-    right = publications.where("length(text) > 0").select("doc_id", "reg_id", F.col("issuer").alias("r_issuer"), F.col("day").alias("r_day"), F.substring("text", 1, HAYSTACK).alias("body"))
-    week = lambda c, k=0: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / 16) + k
-    left = rows.where("length(text) > 0").select("row", "day", "issuer", F.substring("text", 1, NEEDLE).alias("needle"), F.explode(F.array(week("day", -1), week("day"), week("day", 1))).alias("w"))
-    met = left.join(right.withColumn("w", week("r_day")), "w").where(near)
-    return met.select("row", "doc_id", "reg_id", partial_of(F.col("needle"), F.col("body")).alias("score")).where(F.col("score") >= least)
-
-
-def match_rows(rows: DataFrame, publications: DataFrame, titles: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    fold = lambda most: F.substring(punctuation_fold(F.substring("text", 1, most)), 1, most)
+    needle = F.substring(punctuation_fold("text"), 1, NEEDLE)
+    rows = rows.withColumn("_needle", needle).where(F.length("_needle") >= LEAST_NEEDLE).withColumn("_body", F.lit(None).cast("string"))
+    publications = publications.withColumn("_body", fold(HAYSTACK)).where("length(_body) > 0").withColumn("_needle", F.lit(None).cast("string"))
+    left, right = _sides(rows, publications, width=LATEST - EARLIEST, chunk=chunk, needle=F.col("_needle"), body=F.col("_body"))
+    return tiles.compare(left, right, range(-1, 2), _text_tile(least), "row long, doc_id long, reg_id long, score double")
+
+
+def match_rows(rows: DataFrame, publications: DataFrame) -> DataFrame:
     """Each row's publication: by address, by number of decision, by title, by text; every rung sees what those before left.
 
     ``rows``: row, url, issuer, number, day, title_key, text; ``publications``:
     doc_id, reg_id (null if not linked), url, issuer, number, day, title_key,
-    text.  ``titles`` and ``texts`` replace the pairs of both last rungs.
+    text.  A title of few words stands in many others, so where a text of another
+    record is alike as well, that one counts.
     """
     pubs = publications.where("url is not null").withColumn("key", canonical_url("url"))
-    by_url = _one(rows.where("url is not null").withColumn("key", canonical_url("url")).join(pubs.select("key", "doc_id", "reg_id"), "key").withColumn("score", F.lit(100.0)), "url")
-    rest = _rest(rows, by_url)
-    by_key = _one(rest.join(publications.select("issuer", "number", "doc_id", "reg_id"), ["issuer", "number"]).withColumn("score", F.lit(100.0)), "number")
-    rest = _rest(rest, by_key)
-    by_title = _one(near_titles(rest, publications) if titles is None else titles.join(rest.select("row"), "row", "left_semi"), "title")
-    rest = _rest(rest, by_title)
-    by_text = _one(near_texts(rest, publications) if texts is None else texts.join(rest.select("row"), "row", "left_semi"), "text")
-    found = reduce(DataFrame.unionByName, (by_url, by_key, by_title, by_text))
+    by_url = staged(_one(rows.where("url is not null").withColumn("key", canonical_url("url")).join(pubs.select("key", "doc_id", "reg_id"), "key").withColumn("score", F.lit(100.0)), "url"), "by-url")
+    rest = staged(_rest(rows, by_url), "rest")
+    by_key = staged(_one(rest.join(publications.select("issuer", "number", "doc_id", "reg_id"), ["issuer", "number"]).withColumn("score", F.lit(100.0)), "number"), "by-number")
+    rest = staged(_rest(rest, by_key), "rest")
+    by_title = staged(_one(near_titles(rest, publications), "title"), "by-title")
+    short = by_title.join(publications.select("doc_id", "title_key"), "doc_id").where(F.size(F.split("title_key", " ")) <= GENERIC_WORDS).select("row")
+    unsure = _rest(rest, by_title).unionByName(rest.join(short.distinct(), "row", "left_semi"))
+    by_text = staged(_one(near_texts(unsure, publications), "text"), "by-text")
+    # A text replaces a title only by another record.
+    other = by_text.join(by_title.select("row", F.col("reg_id").alias("own"), F.lit(True).alias("titled")), "row", "left")
+    by_text = other.where(F.col("titled").isNull() | (F.col("reg_id").isNotNull() & ~F.col("reg_id").eqNullSafe(F.col("own")))).select(*by_text.columns)
+    found = reduce(DataFrame.unionByName, (by_url, by_key, _rest(by_title, by_text), by_text))
     return rows.select("row").join(found, "row", "left")
 
 

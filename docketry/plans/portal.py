@@ -428,42 +428,70 @@ def unavailable_strikes(spark, sf):
 # ---------------------------------------------------------------- detections
 
 
+def _words(number):
+    """A title of four words that are alike only where the number is the same."""
+    return F.concat_ws(" ", *[F.substring(F.md5(number.cast("string")), k, 8) for k in (1, 9, 17, 25)])
+
+
 def _detected(spark, sf):
-    """Rows found by hand: orders, some with an address of a publication, some with its number, on another day."""
+    """Rows found by hand: orders, some with an address of a publication, some with its number, on another day, some with a title only."""
     i = F.col("o_orderkey")
     url = F.when(i % 3 == 0, F.concat(F.lit("HTTPS://www.s"), (i % 12).cast("string"), F.lit(".example/d/"), (i % 90).cast("string"), F.lit("/")))
     number = F.when(i % 3 == 1, (i % 700).cast("string"))
-    return b.table(spark, sf, "orders").where(i % 4 == 0).select(i.alias("row"), url.alias("url"), F.concat(F.lit("I"), (i % 5).cast("string")).alias("issuer"), number.alias("number"), F.to_date("o_orderdate").alias("day"))
+    return b.table(spark, sf, "orders").where(i % 4 == 0).select(i.alias("row"), url.alias("url"), F.concat(F.lit("I"), (i % 5).cast("string")).alias("issuer"), number.alias("number"), F.to_date("o_orderdate").alias("day"), F.when(i % 3 == 2, _words(i % 900)).alias("title_key"), F.lit(None).cast("string").alias("text"))
 
 
 def _published(spark, sf):
     k, key, doc = F.col("l_suppkey"), F.col("l_orderkey"), b.publication_id()
     url = F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("https://s"), (k % 12).cast("string"), F.lit(".example/d/"), (F.col("l_partkey") % 90).cast("string")))
     number, issuer = (F.col("l_partkey") % 700).cast("string"), F.concat(F.lit("I"), (k % 5).cast("string"))
-    return b.table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") % 4 != 0, key).alias("reg_id"), doc.alias("doc_id"), url.alias("url"), number.alias("number"), issuer.alias("issuer"), F.to_date("l_shipdate").alias("day"))
+    return b.table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") % 4 != 0, key).alias("reg_id"), doc.alias("doc_id"), url.alias("url"), number.alias("number"), issuer.alias("issuer"), F.to_date("l_shipdate").alias("day"), _words(F.col("l_partkey") % 900).alias("title_key"), F.lit(None).cast("string").alias("text"))
 
 
 DETECTED = """det AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 3 = 0 THEN 'https://s' || o_orderkey % 12 || '.example/d/' || o_orderkey % 90 END AS url, 'I' || o_orderkey % 5 AS issuer,
-        CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey % 700 AS VARCHAR) END AS number, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 4 = 0)"""
+        CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey % 700 AS VARCHAR) END AS number, CAST(o_orderdate AS DATE) AS day,
+        CASE WHEN o_orderkey % 3 = 2 THEN md5(CAST(o_orderkey % 900 AS VARCHAR)) END AS title FROM orders WHERE o_orderkey % 4 = 0)"""
 PUBLISHED = f"""pub AS (SELECT CASE WHEN l_linenumber % 4 <> 0 THEN l_orderkey END AS reg_id, {b.PUBLICATION_ID} AS doc_id,
         CASE WHEN l_partkey % 4 <> 0 THEN 'https://s' || l_suppkey % 12 || '.example/d/' || l_partkey % 90 END AS url, CAST(l_partkey % 700 AS VARCHAR) AS number,
-        'I' || l_suppkey % 5 AS issuer, CAST(l_shipdate AS DATE) AS day FROM lineitem)"""
+        'I' || l_suppkey % 5 AS issuer, CAST(l_shipdate AS DATE) AS day, md5(CAST(l_partkey % 900 AS VARCHAR)) AS title FROM lineitem)"""
 MATCHES = f"""{DETECTED}, {PUBLISHED}, m1 AS (SELECT row, doc_id, reg_id, 'url' AS method, row_number() OVER (PARTITION BY row ORDER BY reg_id IS NULL, doc_id) AS n FROM det JOIN pub USING (url)),
     m2 AS (SELECT row, doc_id, reg_id, 'number' AS method, row_number() OVER (PARTITION BY row ORDER BY reg_id IS NULL, doc_id) AS n FROM det JOIN pub USING (issuer, number) WHERE row NOT IN (SELECT row FROM m1)),
-    mat AS (SELECT det.row, doc_id, reg_id, method FROM det LEFT JOIN (SELECT * FROM m1 WHERE n = 1 UNION ALL SELECT * FROM m2 WHERE n = 1) f USING (row))"""
+    m3 AS (SELECT row, doc_id, reg_id, 'title' AS method, row_number() OVER (PARTITION BY row ORDER BY reg_id IS NULL, doc_id) AS n FROM det JOIN pub USING (issuer, title)
+        WHERE abs(date_diff('day', det.day, pub.day)) <= 7 AND row NOT IN (SELECT row FROM m1) AND row NOT IN (SELECT row FROM m2)),
+    mat AS (SELECT det.row, doc_id, reg_id, method FROM det LEFT JOIN (SELECT * FROM m1 WHERE n = 1 UNION ALL SELECT * FROM m2 WHERE n = 1 UNION ALL SELECT * FROM m3 WHERE n = 1) f USING (row))"""
 
 
 def _matches(spark, sf):
-    none = spark.createDataFrame([], "row long, doc_id long, reg_id long, score double")
-    return detections.match_rows(_detected(spark, sf), _published(spark, sf), none, none)
+    return detections.match_rows(_detected(spark, sf), _published(spark, sf))
 
 
 @query(f"WITH {MATCHES} SELECT row, doc_id, reg_id, method FROM mat")
 def detection_matches(spark, sf):
-    """Addresses and numbers alone; the rungs of titles and texts are tested by literal cases."""
+    """Addresses, numbers and titles; no row or publication here has a text."""
     return _matches(spark, sf).select("row", "doc_id", "reg_id", "method")
 
 
+def _passages(spark, sf):
+    """Rows found by hand: benchmark passages without address, number or title; and documents as publications, some of them linked."""
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), (F.col(c) % 28).cast("int")).alias("day")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    rows = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("row"), none("url"), none("issuer"), none("number"), day("item_id"), none("title_key"), "text")
+    i = F.col("doc_id")
+    pubs = b.table(spark, sf, "documents").select(F.when(i % 3 != 0, i).alias("reg_id"), "doc_id", none("url"), F.col("lang").alias("issuer"), none("number"), day("doc_id"), none("title_key"), "text")
+    return rows, pubs
+
+
+@query()
+def text_pairs(spark, sf):
+    """Every passage and every document of its days that holds something like it."""
+    return detections.near_texts(*_passages(spark, sf)).select("row", "doc_id", "reg_id", F.round("score", 2).alias("score"))
+
+
+@query()
+def passage_matches(spark, sf):
+    return detections.match_rows(*_passages(spark, sf)).select("row", "doc_id", "reg_id", "score", "method")
+
+
 OUTCOMES = f"""{STG}, {MATCHES}, own AS (SELECT reg_id, status, is_relevant, is_relevant AND status IN ('READY', 'SUMMARIZED', 'RELEVANT', 'AI_FAILED') AS visible FROM stg),
     ends AS (SELECT reg_id, reg_id // 2 AS "into" FROM stg WHERE status = 'MERGED'),
     oc AS (SELECT mat.row, CASE WHEN f.reg_id IS NULL THEN CASE WHEN doc_id IS NOT NULL THEN 'not_processed' ELSE 'not_collected' END WHEN l.visible THEN 'detected' WHEN f.status = 'MERGED' THEN 'dedupe_lost'
