@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import byte_texts, runs_of_bytes, text_of
 
 ORDER = 3
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that aren't decimal digits.
+_LETTER_LIKE = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 19
 
 
@@ -150,8 +151,10 @@ def train(docs: DataFrame, train_docs: int = 300) -> CostTable | None:
 def predict_languages(docs: DataFrame, costs: CostTable | None) -> DataFrame:
     """All columns of ``docs`` but text, ``lang_pred`` and ``score``.
 
-    A null text, or one without a letter, is ``und`` with score 0; so is every
-    text if no language was learned.  ``score`` is the posterior probability of
+    A null text, or one without a letter, is ``und`` with score 0 (signs such as
+    a half or a Roman eight are numbers, not letters); so is every text if no
+    language was learned.  Texts of any length are judged whole, long ones piece
+    by piece; repeated rows are judged one by one.  ``score`` is the posterior probability of
     the winner under equal priors; on a tie the first language by name wins.
     """
     spark = docs.sparkSession
@@ -171,7 +174,7 @@ def predict_languages(docs: DataFrame, costs: CostTable | None) -> DataFrame:
                 win = bits.argmin(1)
                 odds = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000))
                 names, best = np.array(table.languages, object)[win], 1 / odds.sum(1)
-                silent = [i for i, x in enumerate(texts) if not _LETTER.search(x.decode("utf-8", "replace"))]
+                silent = [i for i, x in enumerate(texts) if not any(m[0].isalpha() for m in _LETTER_LIKE.finditer(x.decode("utf-8", "replace")))]
                 names[silent], best[silent] = "und", 0.0
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(best)], [*rest, "lang_pred", "score"])
 

@@ -118,3 +118,11 @@ def test_no_language_is_lost_to_equal_rows(spark):
     rows = [(None, f"words of tongue{k} all alike", f"l{k}") for k in range(13) for _ in range(1000)] + [(1, "few words", "zz")]
     costs = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(costs.languages) == 14
+
+
+def test_signs_of_numbers_are_no_letters(spark):
+    costs = lang_id.train(spark.createDataFrame([(1, "en", "the quick brown fox"), (2, "fr", "le renard brun")], "doc_id long, lang string, text string"))
+    signs = ["½", "² ³", "Ⅷ ⅷ 12", "①", "½a", "ª", "字"]
+    docs = spark.createDataFrame(list(enumerate(signs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] == "und" for r in lang_id.predict_languages(docs, costs).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
