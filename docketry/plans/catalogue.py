@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions import grounding, html, text
+from docketry.functions import grounding, html, text, tree
 from docketry.functions.similarity import partial_of, ratio_of, token_set_of
 from docketry.operators import audit, candidates, changes, evaluation, inbox, ladder, linking, monitoring, scoring, statistics
 from docketry.operators.inbox import ListQuery
@@ -725,6 +725,33 @@ def link_listing(spark, sf):
     return listings.link_items(b.table(spark, sf, "pages"), r"https?://[^/]+/([^?#]+)", r"\.(?:css|js|png)$")
 
 
+MENU = tree.CssListing("nav > ul > li", frame=True)
+
+
+@query(r"""WITH m AS (SELECT page_id, url AS base, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages),
+    l AS (SELECT page_id, base, unnest(regexp_extract_all(nav, '<li><a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS title, generate_subscripts(regexp_extract_all(nav, '<li><a href="([^"]*)">', 1), 1) - 1 AS place FROM m),
+    u AS (SELECT page_id, place, regexp_extract(base, '^(\w+://[^/?#]*)', 1) || href AS url, trim(title, ' –-—') AS title FROM l),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY place) AS turn FROM u)
+    SELECT page_id, CAST(place AS INTEGER) AS place, url, title FROM o WHERE turn = 1""")
+def css_listing(spark, sf):
+    """The menus of pages as listings."""
+    return listings.selected_items(b.table(spark, sf, "pages"), MENU).select("page_id", "place", "url", "title")
+
+
+@query()
+def css_fields(spark, sf):
+    """Every third link of a menu, its title from the whole menu where it says nothing, with fields by patterns."""
+    rules = listings.ItemRules(date=r"\d{4}-\d{2}-\d{2}", fields={"first": r"^\S+", "letters": r"[^\W\d_]+"}, strip=(r"[.,]+$",), prefix="M: ", id_pattern=r"//[^/]+/(.*)", id_prefix="menu:")
+    return listings.selected_items(b.table(spark, sf, "pages"), tree.CssListing("li:nth-child(3n+1) a[href^='/'], footer a", frame=True, around=True), rules)
+
+
+@query()
+def main_content(spark, sf):
+    """The content of every page by its tree: letters outside of menus, advertisements and footers."""
+    found = tree.content_of(F.col("html")).alias("c")
+    return b.table(spark, sf, "pages").select("page_id", found).select("page_id", "c.method", F.length("c.text").alias("n_chars"), F.md5("c.text").alias("digest"))
+
+
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
 def blob_store(spark, sf):
     """Every text stored once under its digest, and the key of each document."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.html import page_links, unescaped
 from docketry.functions.text import collapse, parse_date
+from docketry.functions.tree import CssListing, css_items
 from docketry.operators.changes import canonical_link, stable_id
 
 
@@ -65,6 +67,57 @@ def link_items(pages: DataFrame, include: str, exclude: str | None = None) -> Da
     return kept.dropDuplicates(["page_id", "url"]).withColumn("external_id", stable_id(F.col("url"), include))
 
 
+@dataclass(frozen=True)
+class ItemRules:
+    """What becomes of an item's texts: patterns for its date and for further fields, what is taken off titles or put before them, and its id."""
+
+    date: str | None = None
+    fields: dict[str, str] = field(default_factory=dict)
+    strip: tuple[str, ...] = ()
+    prefix: str = ""
+    id_pattern: str | None = None
+    id_prefix: str = ""
+
+
+def selected_items(pages: DataFrame, listing: CssListing, rules: ItemRules = ItemRules()) -> DataFrame:
+    """page_id, place, url, external_id, title, day, summary and the rules' fields of the items of pages (page_id, url, html).
+
+    An address that a page names twice counts once, where it stands first.  The
+    day is that of the item's date, else of what a pattern finds in its text.
+    """
+    found = pages.select("page_id", F.posexplode(css_items(F.col("html"), F.col("url"), listing)).alias("n", "i")).select("page_id", "i.*")
+    place = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("place"))
+    once = found.withColumn("turn", place).where("turn = 1")
+    # The first group of a pattern, or all of it if it has none.
+    part = lambda pattern: F.nullif(F.regexp_extract("text", f"({pattern})", min(2, 1 + re.compile(pattern).groups)), F.lit(""))
+    title = F.col("title")
+    for pattern in rules.strip:
+        title = F.regexp_replace(title, pattern, "")
+    title = collapse(title)
+    title = F.when(title != "", F.concat(F.lit(rules.prefix), title)).otherwise(title)
+    day = parse_date("date") if listing.date else F.lit(None).cast("date")
+    if rules.date:
+        day = F.coalesce(day, parse_date(part(rules.date)))
+    name = F.coalesce(F.nullif(F.regexp_extract("url", rules.id_pattern, 1), F.lit("")) if rules.id_pattern else F.lit(None), stable_id(F.col("url"), "^()$"))
+    name = F.concat(F.lit(rules.id_prefix), name)
+    more = [collapse(part(p)).alias(k) for k, p in rules.fields.items()]
+    return once.select("page_id", "place", "url", name.alias("external_id"), title.alias("title"), day.alias("day"), "summary", *more)
+
+
+def listed_until(items: DataFrame, pages: DataFrame, until: Column) -> tuple[DataFrame, DataFrame]:
+    """Items of listings read backwards page by page to a day, and whether each listing got there.
+
+    ``pages``: listing, page_id, number.  A listing ends with its first page that
+    has an item from before ``until``, or that has no item at all; later pages are
+    left out.  The second frame (listing, incomplete) says where neither happened.
+    """
+    oldest = items.groupBy("page_id").agg(F.min("day").alias("oldest"), F.count("*").alias("n"))
+    told = pages.join(oldest, "page_id", "left").withColumn("ends", F.coalesce(F.col("oldest") < until, F.lit(False)) | F.col("n").isNull())
+    last = told.groupBy("listing").agg(F.min(F.when(F.col("ends"), F.col("number"))).alias("last"))
+    within = pages.join(last, "listing").where(F.col("last").isNull() | (F.col("number") <= F.col("last")))
+    return items.join(within.select("page_id", "listing", "number"), "page_id"), last.select("listing", F.col("last").isNull().alias("incomplete"))
+
+
 def expand_urls(templates: DataFrame, today: Column, overlap_days: int = 15) -> DataFrame:
     """``{year}`` in url as this year, and early in January as the last one too."""
     year = F.year(today)
