@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def listing_fingerprint(title: Column, published: Column, version_key: Column, url: Column) -> Column:
     """Changes whenever what a listing shows of an item does."""
@@ -27,9 +29,9 @@ def upsert_actions(listed: DataFrame, archived: DataFrame, budget: int, now: Col
     wish = F.when(conflict, "conflict").when(F.col("old_fingerprint").isNull(), "new")
     wish = wish.when(F.col("old_fingerprint") != F.col("fingerprint"), "changed").when(due, "refresh").otherwise("unchanged")
     needs = F.col("wish").isin("new", "changed", "refresh")
-    order = Window.partitionBy("source", needs).orderBy("place", "external_id")
-    ranked = both.withColumn("wish", wish).withColumn("turn", F.row_number().over(order))
-    return ranked.select("source", "external_id", F.when(needs & (F.col("turn") > budget), "deferred").otherwise(F.col("wish")).alias("action"))
+    wished = both.withColumn("wish", wish).select("source", "external_id", "place", "wish")
+    turns = running(wished, ["source"], [F.col("place"), F.col("external_id")], counts={"turn": needs})
+    return turns.select("source", "external_id", F.when(needs & (F.col("turn") > budget), "deferred").otherwise(F.col("wish")).alias("action"))
 
 
 def versions(documents: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -80,8 +82,9 @@ def run_status(channels: DataFrame) -> DataFrame:
 
 def carry_forward(rows: DataFrame, key: str, order: list[str], value: str, within: int = 50) -> DataFrame:
     """Fill gaps of ``value`` with the last one that a key had within so many rows."""
-    back = Window.partitionBy(key).orderBy(*order).rowsBetween(-within, 0)
-    return rows.withColumn(value, F.last(value, ignorenulls=True).over(back))
+    found = running(rows, [key], [F.col(c) for c in order], lasts={"_last": F.col(value)})
+    near = F.when(F.col("_n") - F.col("_last.at") <= within, F.col("_last.value"))
+    return found.withColumn(value, near).select(*rows.columns)
 
 
 def date_chunks(spans: DataFrame, days: int = 62) -> DataFrame:

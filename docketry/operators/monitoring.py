@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import percentiles
+
 
 def _seconds(later: Column, earlier: Column) -> Column:
     return F.unix_timestamp(later) - F.unix_timestamp(earlier)
@@ -24,13 +26,18 @@ def _spine(rows: DataFrame, n: int) -> DataFrame:
 
 def latency_series(calls: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """Calls, failures and the 95th percentile of each hour, null for hours without calls."""
-    binned = hour_bins(calls, "started_at", now, hours).groupBy("bin").agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.percentile("latency", 0.95), 4).alias("p95"))
+    inside = hour_bins(calls, "started_at", now, hours)
+    binned = inside.groupBy("bin").agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "failed").alias("failed"))
+    binned = binned.join(percentiles(inside, ["bin"], "latency", {"p95": 0.95}), "bin", "left").withColumn("p95", F.round("p95", 4))
     return _spine(calls, hours).join(binned, "bin", "left").select("bin", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("failed", F.lit(0)).alias("failed"), "p95")
 
 
 def latency_summary(calls: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     inside = hour_bins(calls, "started_at", now, hours)
-    return inside.agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.percentile("latency", 0.5), 3).alias("p50"), F.round(F.percentile("latency", 0.95), 3).alias("p95"))
+    counts = inside.agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "failed").alias("failed"))
+    found = percentiles(inside, [], "latency", {"p50": 0.5, "p95": 0.95})
+    # One row each, also where there is no call.
+    return counts.join(found, F.lit(True), "left").select("calls", "failed", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"))
 
 
 def last_samples(rows: DataFrame, now: Column, hours: int = 24) -> DataFrame:
@@ -80,7 +87,9 @@ def learned_tolerance(arrived: DataFrame, configured: float, least_gaps: int = 8
     before = F.lag("at").over(Window.partitionBy("source").orderBy("at"))
     gaps = arrived.withColumn("gap", _seconds(F.col("at"), before))
     positive = F.when(F.col("gap") > 0, F.col("gap"))
-    found = gaps.groupBy("source").agg(F.count(positive).alias("gaps"), F.floor(F.percentile(positive, 0.95) + 1e-6).alias("p95"))
+    found = gaps.groupBy("source").agg(F.count(positive).alias("gaps"))
+    ranked = percentiles(gaps.select("source", positive.alias("gap")), ["source"], "gap", {"p95": 0.95})
+    found = found.join(ranked, "source", "left").withColumn("p95", F.floor(F.col("p95") + 1e-6))
     enough = F.col("gaps") >= least_gaps
     if first_runs is not None:
         found = found.join(first_runs, "source", "left")
@@ -125,9 +134,10 @@ def business_hours(spans: DataFrame, holidays: DataFrame, zone: str = "Europe/Is
 
 def interrupted_streak(jobs: DataFrame) -> DataFrame:
     """How many of a source's newest runs in a row aren't successes."""
-    newest = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("run_id")).rowsBetween(Window.unboundedPreceding, 0)
-    ended = F.sum((F.col("status") == "success").cast("int")).over(newest)
-    return jobs.withColumn("ended", ended).groupBy("source").agg(F.count_if(F.col("ended") == 0).alias("streak"))
+    at = F.struct("started_at", "run_id")
+    newest = jobs.groupBy("source").agg(F.max(F.when(F.col("status") == "success", at)).alias("good"))
+    later = jobs.join(newest, "source").groupBy("source").agg(F.count_if(F.col("good").isNull() | (at > F.col("good"))).alias("streak"))
+    return later
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from docketry.operators import audit, candidates, changes, evaluation, inbox, la
 from docketry.operators.inbox import ListQuery
 from docketry.session import shared_path
 from docketry.sources import files, listings
-from docketry.streaming import ingest
+from docketry.streaming import ingest, state
 
 from . import bindings as b
 from .bindings import AS_OF_DATE, AS_OF_TIME, JUDGED, RECORDS, RUNS, SUGGESTIONS
@@ -664,14 +665,27 @@ def _events(spark, sf):
     return b.table(spark, sf, "conversations").select(F.col("conv_id").alias("record"), F.col("turn").alias("place"), F.concat_ws("/", "role", "text").alias("payload"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT conv_id AS record, turn AS place, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role || '/' || text) AS k, role || '/' || text AS payload FROM conversations),
+CHAIN = """WITH RECURSIVE e AS (SELECT conv_id AS record, turn AS place, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role || '/' || text) AS k, role || '/' || text AS payload FROM conversations),
     c AS (SELECT record, place, k, payload, CAST(NULL AS VARCHAR) AS prev_hash, sha256(payload || '|') AS row_hash FROM e WHERE k = 1
         UNION ALL SELECT e.record, e.place, e.k, e.payload, c.row_hash, sha256(e.payload || '|' || c.row_hash) FROM c JOIN e ON e.record = c.record AND e.k = c.k + 1)
-    SELECT record, place, payload, prev_hash, row_hash FROM c""")
+    SELECT record, place, payload, prev_hash, row_hash FROM c"""
+
+
+@query(CHAIN)
 def audit_chain(spark, sf):
     return audit.build_chain(_events(spark, sf))
 
 
+@query(CHAIN)
+def audit_append(spark, sf):
+    """The same in three batches, each going on from the chain that is stored by then."""
+    events, path = _events(spark, sf), shared_path(spark, "chain")
+    for n, turns in enumerate(("place < 2", "place between 2 and 3", "place > 3")):
+        stored = audit.heads(spark.read.parquet(path)) if n else None
+        audit.append_chain(events.where(turns), stored).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("""SELECT conv_id AS record, turn AS place, 'changed content' AS problem FROM conversations
     WHERE (conv_id * 31 + turn) % 50 = 7""")
 def audit_chain_verify(spark, sf):
@@ -708,6 +722,43 @@ def late_children(spark, sf):
     return ready.withColumn("ready", F.lit(True)).unionByName(waiting.withColumn("ready", F.lit(False)))
 
 
+def _as_stream(spark, rows, name, files=3):
+    """Rows (with ``file`` from 0) written as files that a stream takes one by one."""
+    path = shared_path(spark, name)
+    for n in range(files):
+        rows.where(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(path)
+    return ingest.source(spark, path, rows.drop("file").schema, 1)
+
+
+def _families(spark, sf):
+    """Documents as attachments of every third one, which mostly come after them; some name a parent that doesn't exist."""
+    i = F.col("doc_id")
+    parent = F.when(i % 3 != 0, F.when(i % 17 == 0, -i).otherwise(i - i % 3))
+    at = F.lit(AS_OF_TIME).cast("timestamp") + F.make_interval(mins=(i % 1000).cast("int"))
+    return b.table(spark, sf, "documents").select(i.alias("id"), parent.alias("parent"), at.alias("at"), F.pmod(F.crc32(i.cast("string").cast("binary")), F.lit(3)).alias("file"))
+
+
+@query("""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 17 = 0 THEN -doc_id ELSE doc_id - doc_id % 3 END END AS parent FROM documents)
+    SELECT id, parent, 'ready' AS state FROM d WHERE parent IS NULL OR parent IN (SELECT id FROM d WHERE parent IS NULL)""")
+def stream_late_children(spark, sf):
+    """Three batches; children that come before their parents wait in state and go on with them."""
+    stream = state.with_parents(_as_stream(spark, _families(spark, sf), "families"), timedelta(days=30), "10 days")
+    return state.replayed(stream, spark, "late-children")
+
+
+def _observations(spark, sf):
+    kind = F.when(F.col("task") == "purchase", "ack").when(F.col("task").isin("error", "click"), "found")
+    seen = b.runs(spark, sf).select(F.concat(F.lit("k"), F.col("source").cast("string")).alias("key"), F.date_trunc("second", "started_at").alias("at"), kind.alias("kind"), (F.col("run_id") % 4).cast("int").alias("severity"), F.pmod("run_id", F.lit(3)).cast("int").alias("file"))
+    return seen.where("kind is not null")
+
+
+@query()
+def stream_alerts(spark, sf):
+    """Failed and partial runs as findings, in three batches that are out of order: openings, resolutions and what is slept over."""
+    stream = state.alert_lifecycle(_as_stream(spark, _observations(spark, sf), "observations"), timedelta(hours=2), timedelta(hours=24), "60 days")
+    return state.replayed(stream, spark, "alerts")
+
+
 @query("SELECT page_id, regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^(.*\\.org|www\\..*)$') AS allowed FROM pages")
 def host_allow_list(spark, sf):
     return b.table(spark, sf, "pages").select("page_id", listings.host_allowed(F.col("url"), ["*.org", "www.*"]).alias("allowed"))
