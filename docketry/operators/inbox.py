@@ -25,13 +25,16 @@ class ListQuery:
     status: str | None = None
     units: tuple[int, ...] = ()
     effective: tuple[str, ...] = ()
-    detected: str | None = None
+    detected: str | tuple[str, ...] | None = None
     days: int | None = None
     text: str | None = None
     metric: str | None = None
     queue: str | None = None
     needs_unit: bool = False
     unit_changed: bool = False
+    ids: tuple[int, ...] | None = None
+    sources: tuple[str, ...] = ()
+    edited: bool = False
     sort: str | None = None
     descending: bool = True
     page: int = 1
@@ -86,9 +89,38 @@ def trusted_units(suggestions: DataFrame, q: ListQuery) -> DataFrame:
     return suggestions.where(good).select("reg_id").distinct()
 
 
-def filtered(records: DataFrame, suggestions: DataFrame, q: ListQuery) -> DataFrame:
-    """The visible records that meet all criteria; facets over suggestions are semi and anti joins."""
+def _given(table: DataFrame | None, what: str) -> DataFrame:
+    if table is None:
+        raise ValueError(f"this criterion needs the table of {what}")
+    return table
+
+
+def searched(records: DataFrame, text: str, summaries: DataFrame | None = None) -> DataFrame:
+    """Records whose title, or current summary where ``summaries`` (reg_id, is_current, short_content) is given, holds a text, letter case aside.
+
+    Signs that are wild cards elsewhere stand for themselves.
+    """
+    wanted = search_fold(F.lit(text.strip()))
+    in_title = F.coalesce(search_fold("title").contains(wanted), F.lit(False))
+    if summaries is None:
+        return records.where(in_title)
+    told = summaries.where(F.col("is_current") & search_fold("short_content").contains(wanted)).select("reg_id", F.lit(True).alias("_told")).distinct()
+    return records.join(told, "reg_id", "left").where(in_title | F.col("_told").isNotNull()).select(*records.columns)
+
+
+def filtered(records: DataFrame, suggestions: DataFrame, q: ListQuery, links: DataFrame | None = None, summaries: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
+    """The visible records that meet all criteria; facets over other tables are semi and anti joins.
+
+    ``links`` (reg_id, source) is needed for ``sources``, ``history`` (reg_id,
+    kind) for ``edited``; with ``summaries`` a text is looked for in them too.
+    """
     out, today = records.where(visible()), _today(q)
+    if q.ids is not None:
+        out = out.where(F.col("reg_id").isin(*q.ids) if q.ids else F.lit(False))
+    if q.sources:
+        out = out.join(_given(links, "links").where(F.col("source").isin(*q.sources)), "reg_id", "left_semi")
+    if q.edited:
+        out = out.join(_given(history, "history").where("kind = 'content_edited'"), "reg_id", "left_semi")
     if q.queue:
         if q.queue not in ("all", "preparing"):
             raise ValueError("queue: all or preparing")
@@ -96,7 +128,11 @@ def filtered(records: DataFrame, suggestions: DataFrame, q: ListQuery) -> DataFr
         out = out.where(F.col("processing_status").isin(*PREPARING) if q.queue == "preparing" else ready)
     if q.detected:
         start = day_start(F.date_sub(today, 7), q.zone)
-        out = out.where({"recent": F.col("detected_at") >= start, "older": F.col("detected_at") < start}[q.detected])
+        periods = {"recent": F.col("detected_at") >= start, "older": F.col("detected_at") < start}
+        values = (q.detected,) if isinstance(q.detected, str) else q.detected
+        if any(v not in periods for v in values):
+            raise ValueError(f"detected: one of {sorted(periods)}")
+        out = out.where(reduce(lambda a, b: a | b, [periods[v] for v in values]))
     if q.issuers:
         out = out.where(F.col("issuer").isin(*q.issuers))
     if q.severities:
@@ -108,7 +144,7 @@ def filtered(records: DataFrame, suggestions: DataFrame, q: ListQuery) -> DataFr
     if q.days:
         out = out.where(F.col("publish_date") >= F.date_sub(today, q.days))
     if q.text and q.text.strip():
-        out = out.where(search_fold("title").contains(search_fold(F.lit(q.text.strip()))))
+        out = searched(out, q.text, summaries)
     if q.metric:
         out = out.where(metric(q.metric, q))
     if q.units:

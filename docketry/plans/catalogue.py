@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import grounding, html, text, tree
 from docketry.functions.similarity import partial_of, ratio_of, token_set_of
-from docketry.operators import audit, candidates, changes, evaluation, inbox, ladder, linking, monitoring, scoring, statistics
+from docketry.operators import audit, candidates, changes, evaluation, examples, inbox, ladder, linking, monitoring, scoring, statistics
 from docketry.operators.inbox import ListQuery
 from docketry.session import shared_path
 from docketry.sources import files, listings
@@ -92,6 +92,25 @@ def inbox_search(spark, sf):
     return inbox.decorated(inbox.page(inbox.ordered(rows, b.suggestions(spark, sf), q), q), b.suggestions(spark, sf), q)
 
 
+def _summaries(spark, sf):
+    """A summary a line of an order, current unless the line was returned."""
+    return b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("reg_id"), (F.col("l_returnflag") != "R").alias("is_current"), F.concat(F.lit("PART_"), F.col("l_partkey").cast("string"), F.lit("% İLE")).alias("short_content"))
+
+
+@query(f"""WITH {RECORDS} SELECT reg_id, title FROM rec WHERE {VISIBLE} AND (contains(lower(translate(title, 'Iı', 'ii')), 'part_17%')
+    OR reg_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R' AND contains('part_' || l_partkey || '% ile', 'part_17%')))""")
+def inbox_search_summaries(spark, sf):
+    """A text with wild cards, in titles and current summaries."""
+    return inbox.filtered(b.records(spark, sf), b.suggestions(spark, sf), ListQuery(AS_OF_DATE, text=" Part_17% "), summaries=_summaries(spark, sf)).select("reg_id", "title")
+
+
+@query(f"""WITH {RECORDS}, {b.LINKS}, {b.HISTORY} SELECT reg_id, issuer FROM rec WHERE {VISIBLE} AND reg_id IN (SELECT reg_id FROM lnk WHERE source IN ('s3', 's7'))
+    AND reg_id IN (SELECT reg_id FROM his WHERE kind = 'content_edited') AND reg_id IN ({", ".join(map(str, range(0, 400, 3)))}) AND detected_at < {DAY_START.format(day=f"({TODAY} - 7)")}""")
+def inbox_by_ids_and_sources(spark, sf):
+    q = ListQuery(AS_OF_DATE, ids=tuple(range(0, 400, 3)), sources=("s3", "s7"), edited=True, detected=("older",))
+    return inbox.filtered(b.records(spark, sf), b.suggestions(spark, sf), q, links=b.links(spark, sf), history=b.history(spark, sf)).select("reg_id", "issuer")
+
+
 @query(_listing("true", DEFAULT, page=5, size=50))
 def inbox_page5(spark, sf):
     return _list(spark, sf, page=5, page_size=50)
@@ -587,6 +606,20 @@ def stem_keywords(spark, sf):
     return scoring.keyword_units(b.table(spark, sf, "documents"), {"u1": ["the on", "thing"], "u2": ["reaux le"], "u3": ["chung der", "thing", "eninge"]})
 
 
+def _examples(spark, sf):
+    """Titles of documents, and those of pages as examples of past decisions, each third one corrected."""
+    texts = b.table(spark, sf, "documents").select(F.col("doc_id").alias("record"), text.title_key(F.substring_index("text", "\n", 1)).alias("text"))
+    title = text.plain_entities(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    i = F.col("page_id")
+    return texts, b.table(spark, sf, "pages").select(i.alias("example"), text.title_key(title).alias("text"), F.when(i % 3 == 0, 2.0).otherwise(1.0).alias("weight"))
+
+
+@query()
+def nearest_examples(spark, sf):
+    """The five examples of each record that are most like its title, corrected ones counting double."""
+    return examples.nearest(*_examples(spark, sf), 5)
+
+
 @query()
 def suggestion_gate(spark, sf):
     """Suggested units of parts by brand, against two duties a unit."""
