@@ -99,6 +99,32 @@ def rebaseline(records: DataFrame, cutoff: Column) -> DataFrame:
     return records.withColumn("processing_status", F.when(back, "NEW").otherwise(F.col("processing_status")))
 
 
+def rebaseline_plan(sources: DataFrame, records: DataFrame, archived: DataFrame, cutoff: Column, today: Column) -> DataFrame:
+    """source, action, converted, earliest, first, last: what moving the baseline to ``cutoff`` asks of each source.
+
+    ``sources``: source, deep (whether its lists can be read far back), dated
+    (whether they are asked for by days); ``records``: source, processing_status,
+    publish_date; ``archived``: source, published_at.  ``covered``: the archive
+    reaches the cutoff; ``crawl``: it is to be read back; ``crawl_shallow``: never
+    read, what the lists show will do; ``shallow``: only what is there can be
+    converted.  ``first`` and ``last`` bound the days to ask a dated source for.
+    """
+    converted = records.where((F.col("processing_status") == "BASELINE") & (F.col("publish_date") >= cutoff)).groupBy("source").agg(F.count("*").alias("n"))
+    earliest = archived.groupBy("source").agg(F.min("published_at").alias("earliest"))
+    both = sources.join(converted, "source", "left").join(earliest, "source", "left")
+    action = F.when(F.col("earliest") <= cutoff, "covered").when(F.col("deep"), "crawl").when(F.col("earliest").isNull(), "crawl_shallow").otherwise("shallow")
+    last = F.coalesce(F.least(today, F.date_sub("earliest", 1)), today)
+    asked = (action == "crawl") & F.col("dated") & (last >= cutoff)
+    return both.select("source", action.alias("action"), F.coalesce("n", F.lit(0)).alias("converted"), "earliest", F.when(asked, cutoff).alias("first"), F.when(asked, last).alias("last"))
+
+
+def version_extra(extra: Column, summary: Column, missing: Column) -> Column:
+    """What a new version's row notes: the listing's own notes, its summary if there is one, and attachments that couldn't be had."""
+    more = F.map_from_entries(F.filter(F.array(F.struct(F.lit("summary").alias("key"), F.nullif(summary, F.lit("")).alias("value")), F.struct(F.lit("missing_attachments").alias("key"), F.when(F.size(missing) > 0, F.to_json(missing)).alias("value"))), lambda e: e["value"].isNotNull()))
+    own = F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(more), k))
+    return F.map_concat(own, more)
+
+
 def canonical_link(url: Column) -> Column:
     """The id of a legal text whose site has three forms of address, else null."""
     number = lambda name: F.regexp_extract(url, rf"(?i)[?&]{name}=(\d+)", 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,3 +119,15 @@ def exclusive_quantile(values: Column, share: float, least: int = 10) -> Column:
     place = share * (n + 1)
     low = F.greatest(F.least(F.floor(place), n - 1), F.lit(1)).cast("int")
     return F.when(n >= least, F.get(values, low - 1) + (place - low) * (F.get(values, low) - F.get(values, low - 1)))
+
+
+def frozen_settings(settings: dict[str, object], keys: tuple[str, ...], knowledge: dict[str, str], version: str) -> dict[str, object]:
+    """The settings that a comparison runs under, as they are now, and the version of what the model is told (with a digest of its texts)."""
+    told = hashlib.sha256("\n".join(f"{k}:{knowledge[k]}" for k in sorted(knowledge)).encode()).hexdigest()[:8]
+    return {k: settings[k] for k in keys} | {"knowledge_version": f"{version}+{told}"}
+
+
+def context_hash(context: list[Column], frozen: dict[str, object]) -> Column:
+    """A digest of all that an answer depends on: the record's own columns in the order given, and the frozen settings; equal hashes may share an answer."""
+    values = F.struct(*context, F.lit(json.dumps(frozen, ensure_ascii=False, sort_keys=True, default=str)).alias("settings"))
+    return F.sha2(F.to_json(values, {"ignoreNullFields": "false"}), 256)

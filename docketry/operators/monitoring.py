@@ -77,15 +77,19 @@ def arrivals(runs: DataFrame, since: Column) -> DataFrame:
     return runs.groupBy("source", F.to_date("started_at").alias("day")).agg(F.min("started_at").alias("at"), F.count("*").alias("n")).where(F.col("at") >= since)
 
 
-def learned_tolerance(arrived: DataFrame, configured: float, least_gaps: int = 8, floor_hours: float = 12.0, first_runs: DataFrame | None = None, now: Column | None = None, least_days: int = 28) -> DataFrame:
+def learned_tolerance(arrived: DataFrame, configured: float, least_gaps: int = 8, floor_hours: float = 12.0, first_runs: DataFrame | None = None, now: Column | None = None, least_days: int = 28, in_business_hours: DataFrame | None = None, holidays: DataFrame | None = None) -> DataFrame:
     """The 95th percentile of a source's gaps in hours, not under the floor; with few gaps or a short history the configured one.
 
     ``first_runs`` (source, first_at): with it a source counts as known from
     ``least_days`` whole days before ``now``.  Gaps are whole seconds, and hours
-    are rounded once, at the end.
+    are rounded once, at the end.  Gaps of the sources ``in_business_hours``
+    (source) count hours of business days alone, without ``holidays`` (day).
     """
+    # A row a source and day: a window over few.
     before = F.lag("at").over(Window.partitionBy("source").orderBy("at"))
-    gaps = arrived.withColumn("gap", _seconds(F.col("at"), before))
+    gaps = arrived.withColumn("before", before).withColumn("gap", _seconds(F.col("at"), F.col("before")))
+    if in_business_hours is not None:
+        gaps = elapsed_hours(gaps, in_business_hours, holidays).withColumn("gap", F.round(F.col("hours") * 3600).cast("long"))
     positive = F.when(F.col("gap") > 0, F.col("gap"))
     found = gaps.groupBy("source").agg(F.count(positive).alias("gaps"))
     ranked = percentiles(gaps.select("source", positive.alias("gap")), ["source"], "gap", {"p95": 0.95})
@@ -132,6 +136,18 @@ def business_hours(spans: DataFrame, holidays: DataFrame, zone: str = "Europe/Is
     return spans.select("id").join(hours, "id", "left").select("id", F.round(F.coalesce("h", F.lit(0.0)), 4).alias("business_hours"))
 
 
+def elapsed_hours(spans: DataFrame, in_business_hours: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+    """Spans (source, before, at) with ``hours``: of business days for the sources named, by the clock for all others."""
+    days = spans.sparkSession.createDataFrame([], "day date") if holidays is None else holidays
+    named = in_business_hours.select("source", F.lit(True).alias("_business")).distinct()
+    both = spans.join(named, "source", "left")
+    key = F.struct("source", "before", "at")
+    own = both.where(F.col("_business") & F.col("before").isNotNull()).select(key.alias("id"), F.col("before").alias("start"), F.col("at").alias("end")).distinct()
+    worked = business_hours(own, days).select(F.col("id.source").alias("source"), F.col("id.before").alias("before"), F.col("id.at").alias("at"), "business_hours")
+    found = both.join(worked, ["source", "before", "at"], "left")
+    return found.withColumn("hours", F.when(F.col("_business"), F.col("business_hours")).otherwise(_seconds(F.col("at"), F.col("before")) / 3600)).drop("_business", "business_hours")
+
+
 def interrupted_streak(jobs: DataFrame) -> DataFrame:
     """How many of a source's newest runs in a row aren't successes."""
     at = F.struct("started_at", "run_id")

@@ -167,3 +167,21 @@ def recent_runs(runs: DataFrame, most: int = 30, gap_hours: int = 12) -> DataFra
     before = F.lag("started_at").over(Window.partitionBy("source").orderBy("started_at", "run_id"))
     gap = F.unix_timestamp("started_at") - F.unix_timestamp(before)
     return runs.withColumn("backfill", F.coalesce(gap > gap_hours * 3600, F.lit(False))).orderBy(F.desc("run_id")).limit(most).select("run_id", "source", "status", "backfill")
+
+
+def snapshot(beats: DataFrame, requests: DataFrame, now: Column, stale_minutes: int = 10, recent_hours: int = 24, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Where the crawlers and their requests stand: one row of the crawlers, and requests with ``state`` queued or recent.
+
+    ``beats``: host, at, running (a list of sources); ``requests``: request_id,
+    source, status, created_at, finished_at.  Hosts that were heard of within a
+    day count; what runs is told by live ones alone.  Of the finished requests
+    the newest ``most`` of the last hours are shown (the feature of this list).
+    """
+    heard = beats.where(F.col("at") >= now - F.expr("interval 1 day"))
+    live = F.col("at") >= now - F.expr(f"interval {stale_minutes} minutes")
+    running = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(live, F.col("running"))))))
+    state = heard.agg(F.max("at").alias("heartbeat_at"), F.count_distinct("host").alias("hosts"), F.array_join(running, ",").alias("running")).select("heartbeat_at", F.coalesce(F.col("heartbeat_at") < now - F.expr(f"interval {stale_minutes} minutes"), F.lit(True)).alias("stale"), "hosts", "running")
+    queued = requests.where(F.col("status").isin("pending", "running")).withColumn("state", F.lit("queued"))
+    done = requests.where(F.col("status").isin("done", "failed") & (F.col("finished_at") >= now - F.expr(f"interval {recent_hours} hours")))
+    recent = done.orderBy(F.desc("finished_at"), F.desc("request_id")).limit(most).withColumn("state", F.lit("recent"))
+    return state, queued.unionByName(recent).select("request_id", "source", "status", "state")

@@ -192,3 +192,38 @@ def main_text(selected: Column, main: Column, body: Column) -> Column:
     chosen, long_enough = F.coalesce(selected, F.lit("")) != "", F.length(main) >= LEAST_MAIN_TEXT
     text = F.when(chosen, selected).when(long_enough | (F.length(body) <= F.length(main)), main).otherwise(body)
     return F.struct(text.alias("text"), F.when(chosen, "html_selector").when(long_enough, "html").otherwise("html_body").alias("method"))
+
+
+def attached_links(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Links (doc_id, record, method, score, key) after further ones (with ``turn``) were attached: one a document, the last attached."""
+    old = stored.withColumn("turn", F.lit(-1).cast("long"))
+    row = F.struct("turn", "record", "method", "score", "key")
+    return old.unionByName(new.select(*old.columns)).groupBy("doc_id").agg(F.max(row).alias("r")).select("doc_id", "r.record", "r.method", "r.score", "r.key")
+
+
+def irrelevant_reviews(records: DataFrame, verdicts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, examples and events after experts looked at what was put aside.
+
+    ``records``: reg_id, title, rationale, is_relevant, processing_status,
+    detected_at, ai_attempts, reviewed; ``verdicts``: reg_id, verdict (confirm or
+    relevant), place (the first counts).  Only records put aside as irrelevant and
+    not reviewed before are touched.  ``relevant`` takes one back into the stages,
+    found now and with its attempts forgotten, and its example weighs twice.
+    """
+    first = verdicts.where(F.col("verdict").isin("confirm", "relevant")).groupBy("reg_id").agg(F.min_by("verdict", "place").alias("verdict"))
+    waiting = records.where((F.col("processing_status") == "IRRELEVANT") & ~F.col("reviewed"))
+    done = waiting.join(first, "reg_id")
+    back = F.col("verdict") == "relevant"
+    text = F.concat(F.col("title"), F.lit(" | "), F.substring(F.coalesce("rationale", F.lit("")), 1, 300))
+    examples = done.select("reg_id", text.alias("input_text"), back.alias("is_relevant"), F.when(back, "user_correction").otherwise("user_decision").alias("origin"), F.when(back, 2.0).otherwise(1.0).alias("weight"))
+    events = done.select("reg_id", F.when(back, "irrelevant_overridden").otherwise("irrelevant_confirmed").alias("event_type"))
+    all_ = records.join(done.select("reg_id", "verdict"), "reg_id", "left")
+    taken = F.coalesce(back, F.lit(False))
+    changed = {
+        "is_relevant": F.when(taken, True).otherwise(F.col("is_relevant")),
+        "processing_status": F.when(taken, "RELEVANT").otherwise(F.col("processing_status")),
+        "detected_at": F.when(taken, now).otherwise(F.col("detected_at")),
+        "ai_attempts": F.when(taken, 0).otherwise(F.col("ai_attempts")),
+        "reviewed": F.col("reviewed") | F.col("verdict").isNotNull(),
+    }
+    return all_.withColumns(changed).select(*records.columns), examples, events

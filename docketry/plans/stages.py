@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import transitions
+from docketry.operators import changes, evaluation, monitoring, queues, summaries, transitions
 from docketry.sources import posts
 
 from . import bindings as b
-from .bindings import RECORDS, SUGGESTIONS
-from .catalogue import NOW, now, query
+from .bindings import RECORDS, RUNS, SUGGESTIONS
+from .catalogue import ARRIVED, NOW, _claims, _holidays, now, query
 
 
 def _raw(spark, sf):
@@ -206,3 +206,121 @@ def wordpress_items(spark, sf):
 def listing_text(spark, sf):
     body = F.to_json(F.struct(F.col("source").alias("title"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("summary"), F.struct(F.coalesce("lang", F.lit("none")).alias("lang"), F.col("n_chars").alias("n"), F.array(F.lit(1)).alias("tags")).alias("extra")))
     return b.table(spark, sf, "documents").select("doc_id", posts.listing_text(body).alias("text"))
+
+
+def _summary_claims(spark, sf):
+    """A sentence a document with a quote of its record and one of nothing, a topic with the latter alone, and a sentence that says nothing."""
+    quotes, sources = _claims(spark, sf)
+    nothing = F.lit("no such words stand in any of these sources at all")
+    claim = lambda kind, place, said, q: F.struct(F.lit(kind).alias("kind"), F.lit(place).alias("place"), F.lit(said).alias("text"), q.alias("quotes"))
+    three = F.array(claim("sentence", 0, " It says so. ", F.array("quote", nothing)), claim("topic", 1, "A topic", F.array(nothing)), claim("sentence", 2, "  ", F.array("quote")))
+    return quotes.select("record", F.explode(three).alias("c"), F.col("item_id")).select("record", "c.kind", (F.col("item_id") * 10 + F.col("c.place")).alias("place"), "c.text", "c.quotes"), sources
+
+
+@query()
+def summary_claims(spark, sf):
+    """Each claim of the records' summaries, and whether a quote bears it out."""
+    return summaries.verified_claims(*_summary_claims(spark, sf))
+
+
+@query()
+def verified_summary(spark, sf):
+    return summaries.verified_summaries(summaries.verified_claims(*_summary_claims(spark, sf))).select("record", F.size("sentences").alias("sentences"), F.size("topics").alias("topics"), "removed", "grounding")
+
+
+@query("""WITH src AS (SELECT 's' || k AS source, k % 3 = 0 AS deep, k % 6 = 0 AS dated FROM range(14) AS r(k)),
+    rec AS (SELECT 's' || o_orderkey % 12 AS source, CAST(o_orderdate AS DATE) AS publish_date FROM orders WHERE o_orderkey % 4 = 0),
+    arc AS (SELECT 's' || l_suppkey % 12 AS source, CAST(l_shipdate AS DATE) + CAST(l_suppkey % 12 * 90 AS INTEGER) AS published_at FROM lineitem),
+    b AS (SELECT src.*, coalesce((SELECT count(*) FROM rec WHERE rec.source = src.source AND publish_date >= DATE '1996-06-01'), 0) AS converted, (SELECT min(published_at) FROM arc WHERE arc.source = src.source) AS earliest FROM src),
+    a AS (SELECT *, CASE WHEN earliest <= DATE '1996-06-01' THEN 'covered' WHEN deep THEN 'crawl' WHEN earliest IS NULL THEN 'crawl_shallow' ELSE 'shallow' END AS action FROM b)
+    SELECT source, action, converted, CAST(earliest AS VARCHAR) AS earliest, CASE WHEN action = 'crawl' AND dated THEN '1996-06-01' END AS first,
+        CASE WHEN action = 'crawl' AND dated THEN CAST(least(DATE '2001-08-01', coalesce(earliest - 1, DATE '2001-08-01')) AS VARCHAR) END AS last FROM a""")
+def rebaseline_plan(spark, sf):
+    k, day = F.col("id"), lambda c: F.to_date(c)
+    name = lambda c: F.concat(F.lit("s"), c.cast("string")).alias("source")
+    sources = spark.range(14).select(name(k), (k % 3 == 0).alias("deep"), (k % 6 == 0).alias("dated"))
+    records = b.table(spark, sf, "orders").select(name(F.col("o_orderkey") % 12), F.when(F.col("o_orderkey") % 4 == 0, "BASELINE").otherwise("READY").alias("processing_status"), day("o_orderdate").alias("publish_date"))
+    archived = b.table(spark, sf, "lineitem").select(name(F.col("l_suppkey") % 12), F.date_add(day("l_shipdate"), (F.col("l_suppkey") % 12 * 90).cast("int")).alias("published_at"))
+    plan = changes.rebaseline_plan(sources, records, archived, F.lit("1996-06-01").cast("date"), F.lit(b.AS_OF_DATE).cast("date"))
+    return plan.select("source", "action", "converted", *[F.col(c).cast("string").alias(c) for c in ("earliest", "first", "last")])
+
+
+@query("""WITH s AS (SELECT doc_id, -1 AS turn, doc_id AS record, 'new' AS method FROM documents),
+    n AS (SELECT l_partkey AS doc_id, l_linenumber * 1000000 + l_orderkey AS turn, l_orderkey AS record, 'key' AS method FROM lineitem WHERE l_linenumber < 3)
+    SELECT doc_id, arg_max(record, (turn, record)) AS record, arg_max(method, (turn, record)) AS method FROM (SELECT * FROM s UNION ALL SELECT * FROM n) GROUP BY doc_id""")
+def attached_links(spark, sf):
+    """Documents that began records, and what lines of orders attach to them afterwards."""
+    none = [F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("key")]
+    stored = b.table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("record"), F.lit("new").alias("method"), *none)
+    new = b.table(spark, sf, "lineitem").where("l_linenumber < 3").select(F.col("l_partkey").alias("doc_id"), F.col("l_orderkey").alias("record"), F.lit("key").alias("method"), *none, (F.col("l_linenumber") * 1000000 + F.col("l_orderkey")).cast("long").alias("turn"))
+    return transitions.attached_links(stored, new).select("doc_id", "record", "method")
+
+
+REVIEWED = f"""{RECORDS}, base AS (SELECT reg_id, title, is_relevant, CASE WHEN reg_id % 3 = 0 THEN 'IRRELEVANT' ELSE processing_status END AS status, reg_id % 9 = 0 AS reviewed, ai_attempts FROM rec),
+    vd AS (SELECT o_orderkey AS reg_id, CASE WHEN o_custkey % 2 = 0 THEN 'relevant' ELSE 'confirm' END AS verdict FROM orders WHERE o_custkey % 5 < 2),
+    dn AS (SELECT base.*, verdict FROM base LEFT JOIN vd ON vd.reg_id = base.reg_id AND status = 'IRRELEVANT' AND NOT reviewed)"""
+
+
+def _reviews(spark, sf):
+    i = F.col("reg_id")
+    status = F.when(i % 3 == 0, "IRRELEVANT").otherwise(F.col("processing_status"))
+    rows = b.records(spark, sf).select("reg_id", "title", F.lit("no rule applies").alias("rationale"), "is_relevant", status.alias("processing_status"), "detected_at", "ai_attempts", (i % 9 == 0).alias("reviewed"))
+    verdicts = b.table(spark, sf, "orders").where("o_custkey % 5 < 2").select(F.col("o_orderkey").alias("reg_id"), F.when(F.col("o_custkey") % 2 == 0, "relevant").otherwise("confirm").alias("verdict"), F.lit(0).alias("place"))
+    return transitions.irrelevant_reviews(rows, verdicts, now())
+
+
+@query(f"""WITH {REVIEWED} SELECT reg_id, is_relevant OR verdict IS NOT DISTINCT FROM 'relevant' AS is_relevant, CASE WHEN verdict = 'relevant' THEN 'RELEVANT' ELSE status END AS status,
+    CASE WHEN verdict = 'relevant' THEN 0 ELSE ai_attempts END AS ai_attempts, reviewed OR verdict IS NOT NULL AS reviewed FROM dn""")
+def irrelevant_reviews(spark, sf):
+    return _reviews(spark, sf)[0].select("reg_id", "is_relevant", F.col("processing_status").alias("status"), "ai_attempts", "reviewed")
+
+
+@query(f"""WITH {REVIEWED} SELECT reg_id, title || ' | no rule applies' AS input_text, verdict = 'relevant' AS is_relevant, CASE verdict WHEN 'relevant' THEN 2.0 ELSE 1.0 END AS weight FROM dn WHERE verdict IS NOT NULL""")
+def review_examples(spark, sf):
+    return _reviews(spark, sf)[1].select("reg_id", "input_text", "is_relevant", "weight")
+
+
+@query(f"""WITH {RUNS}, {ARRIVED}, g AS (SELECT source, lag(came) OVER (PARTITION BY source ORDER BY came) AS before, came FROM arrived),
+    s AS (SELECT source, came, date_trunc('second', before) + INTERVAL 3 HOUR AS s, date_trunc('second', came) + INTERVAL 3 HOUR AS e, epoch(date_trunc('second', came)) - epoch(date_trunc('second', before)) AS wall FROM g),
+    d AS (SELECT *, unnest(generate_series(CAST(s AS DATE), CAST(e AS DATE), INTERVAL 1 DAY)) AS day FROM s WHERE source < 6 AND s IS NOT NULL),
+    w AS (SELECT source, came, round(sum((epoch(least(e, day + INTERVAL 1 DAY)) - epoch(greatest(s, day))) / 3600), 4) AS hours FROM d WHERE isodow(day) < 6 AND CAST(day AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-11', DATE '2024-01-12') GROUP BY 1, 2),
+    x AS (SELECT s.source, CASE WHEN s.source < 6 AND s.s IS NOT NULL THEN CAST(round(coalesce(hours, 0) * 3600) AS BIGINT) ELSE CAST(wall AS BIGINT) END AS gap FROM s LEFT JOIN w USING (source, came)),
+    t AS (SELECT source, count(*) FILTER (WHERE gap > 0) AS gaps, floor(quantile_cont(gap, 0.95) FILTER (WHERE gap > 0) + 1e-6) AS p95 FROM x GROUP BY source)
+    SELECT source, gaps, round(CASE WHEN gaps >= 8 THEN greatest(p95 / 3600, 12.0) ELSE 48.0 END, 6) AS tolerance FROM t""")
+def gap_tolerance_business(spark, sf):
+    """Tolerances of which half the sources count business hours only."""
+    runs = b.runs(spark, sf)
+    found = monitoring.arrivals(runs, now() - F.expr("interval 90 days"))
+    return monitoring.learned_tolerance(found, 48.0, in_business_hours=runs.where("source < 6").select("source").distinct(), holidays=_holidays(spark))
+
+
+@query(f"""WITH q AS (SELECT event_id AS request_id, user_id % 12 AS source, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END AS status, ts + INTERVAL 2 HOUR AS finished_at FROM events),
+    r AS (SELECT *, row_number() OVER (ORDER BY finished_at DESC, request_id DESC) AS n FROM q WHERE status IN ('done', 'failed') AND finished_at >= {NOW} - INTERVAL 24 HOUR)
+    SELECT request_id, source, status, 'queued' AS state FROM q WHERE status IN ('pending', 'running') UNION ALL SELECT request_id, source, status, 'recent' FROM r WHERE n <= 20""")
+def queue_requests(spark, sf):
+    return _snapshot(spark, sf)[1]
+
+
+def _snapshot(spark, sf):
+    events, hour = b.table(spark, sf, "events"), F.expr("interval 2 hours")
+    status = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "error", "failed").otherwise("done")
+    requests = events.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 12).alias("source"), status.alias("status"), F.col("ts").alias("created_at"), (F.col("ts") + hour).alias("finished_at"))
+    beats = events.groupBy((F.col("user_id") % 5).alias("host")).agg(F.max("ts").alias("at"), F.array_distinct(F.collect_list(F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")))).alias("running"))
+    return queues.snapshot(beats, requests, now(), 24 * 60)
+
+
+@query(f"""WITH h AS (SELECT user_id % 5 AS host, max(ts) AS moment FROM events GROUP BY 1), f AS (SELECT * FROM h WHERE moment >= {NOW} - INTERVAL 1 DAY)
+    SELECT max(moment) AS heartbeat_at, coalesce(max(moment) < {NOW} - INTERVAL 1 DAY, true) AS stale, count(DISTINCT host) AS hosts,
+        coalesce((SELECT string_agg(DISTINCT 's' || user_id % 3, ',' ORDER BY 's' || user_id % 3) FROM events WHERE user_id % 5 IN (SELECT host FROM f)), '') AS running FROM f""")
+def crawler_state(spark, sf):
+    return _snapshot(spark, sf)[0]
+
+
+FROZEN = evaluation.frozen_settings({"model": "m1", "relevance_threshold": 0.4, "other": 1}, ("model", "relevance_threshold"), {"guide": "what counts", "rules": "b, a"}, "3")
+
+
+@query()
+def context_hashes(spark, sf):
+    """A digest a document of what an answer about it depends on."""
+    docs = b.table(spark, sf, "documents")
+    return docs.select("doc_id", evaluation.context_hash([F.col("text"), F.col("lang"), F.col("source")], FROZEN).alias("digest"))
