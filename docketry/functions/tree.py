@@ -342,6 +342,40 @@ def css_items(page: Column, base: Column, listing: CssListing) -> Column:
     return run(page, base)
 
 
+def outline(page: str | None, base: str | None, kinds: tuple[tuple[str, str], ...], within: str | None = None) -> list[dict]:
+    """What of several kinds (name, selector) stands in a page, in order: kind, text, and address and text of the first link."""
+    root, rule = parse(page), compiled("a[href]")
+    top = next(iter(select(root, compiled(within))), None) if within else root
+    if top is None:
+        return []
+    kind_of: dict[Node, str] = {}
+    for name, selector in kinds:
+        for node in select(top, compiled(selector)):
+            kind_of.setdefault(node, name)
+    out = []
+    for place, node in enumerate(n for n in top.walk() if n in kind_of):
+        link = node if node.tag == "a" and "href" in node.attrs else next(iter(select(node, rule)), None)
+        try:
+            url = urldefrag(urljoin(base or "", link.attrs["href"].strip()))[0] if link else None
+        except ValueError:
+            url = None
+        out.append({"place": place, "kind": kind_of[node], "text": node.text(), "url": url, "title": link.text() if link else None})
+    return out
+
+
+_LINE = StructType([StructField("place", IntegerType()), *[StructField(c, StringType()) for c in ("kind", "text", "url", "title")]])
+
+
+def outlines(page: Column, base: Column, kinds: tuple[tuple[str, str], ...], within: str | None = None) -> Column:
+    """An array of what :func:`outline` finds in a page."""
+
+    @pandas_udf(ArrayType(_LINE))
+    def run(pages: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([outline(p, b, kinds, within) for p, b in zip(pages, bases, strict=True)])
+
+    return run(page, base)
+
+
 # ---------------------------------------------------------------- main content
 
 #: What a letter of a link takes from a stretch's worth, what every element takes, and the share of a page that is followed down.

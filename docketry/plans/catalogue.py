@@ -829,6 +829,25 @@ def css_fields(spark, sf):
     return listings.selected_items(b.table(spark, sf, "pages"), tree.CssListing("li:nth-child(3n+1) a[href^='/'], footer a", frame=True, around=True), rules)
 
 
+def _issues(spark, sf):
+    """Index pages of a gazette made of the orders: an issue a day, one supplement where there are several orders, sections by priority."""
+    orders = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 2).cast("int").alias("supplement"), F.substring("o_orderpriority", 3, 20).alias("name"))
+    issue = F.concat(F.date_format("day", "yyyyMMdd"), F.when(F.col("supplement") > 0, "M1").otherwise(""))
+    section = F.when(F.col("name") == "LOW", "İlân  Bölümü").otherwise(F.col("name"))
+    item = F.concat(F.lit("<div class='html-title'>"), section, F.lit("</div>"), F.when(F.col("k") % 3 == 0, "<p class='html-subtitle'>Sub</p>").otherwise(""), F.lit("<div class='fihrist-item x'>– <a href='/eskiler/2001/01/"), issue, F.lit("-"), F.col("k").cast("string"), F.lit(".htm'>Order "), F.col("k").cast("string"), F.lit("</a></div>"))
+    html = F.concat(F.lit("<div id=html-content>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("h")))), lambda x: x["h"]), "<div class=fihrist-item><a href=/other/20000101-1.htm>of another day</a></div>"), F.lit("</div>"))
+    pages = orders.groupBy("day", "supplement").agg(html.alias("html"))
+    return pages.withColumn("url", F.lit("https://g.example/fihrist"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_orderkey % 2 AS sup, substr(o_orderpriority, 3, 20) AS name FROM orders)
+    SELECT strftime(day, '%Y%m%d') || CASE WHEN sup > 0 THEN 'M1' ELSE '' END AS issue, 'Order ' || k AS title, strftime(day, '%Y%m%d') || CASE WHEN sup > 0 THEN 'M1' ELSE '' END || '-' || k AS external_id,
+        CASE WHEN k % 3 = 0 THEN 'Sub' ELSE name END AS category FROM o WHERE name <> 'LOW'""")
+def gazette_index(spark, sf):
+    """Texts of all issues, with their sections, but the notices."""
+    return listings.gazette_items(_issues(spark, sf)).select("issue", "title", "external_id", "category")
+
+
 @query()
 def main_content(spark, sf):
     """The content of every page by its tree: letters outside of menus, advertisements and footers."""

@@ -33,7 +33,7 @@ def _local_folder() -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; where a session of one machine names none, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+    if not root and spark.conf.get("spark.master", "local").split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = root or _local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

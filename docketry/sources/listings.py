@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.html import page_links, unescaped
-from docketry.functions.text import collapse, parse_date
-from docketry.functions.tree import CssListing, css_items
+from docketry.functions.text import collapse, parse_date, tr_lower
+from docketry.functions.tree import CssListing, css_items, outlines
 from docketry.operators.changes import canonical_link, stable_id
 
 
@@ -149,3 +149,64 @@ def carried_sections(rows: DataFrame) -> DataFrame:
     """Each item of an index (page_id, place, header, title) with the last header before it."""
     section = F.last("header", ignorenulls=True).over(Window.partitionBy("page_id").orderBy("place"))
     return rows.withColumn("section", section).where("header is null").drop("header")
+
+
+#: Where an issue of the gazette has its index, and what stands in it.
+GAZETTE_WITHIN, GAZETTE_KINDS = "#html-content", (("section", ".html-title"), ("subtitle", ".html-subtitle"), ("item", ".fihrist-item"))
+#: How an issue's texts and notices are addressed, and the section that isn't law.
+GAZETTE_ITEM, NOTICES = r"/(?:eskiler|ilanlar/eskiilanlar)/\d{4}/\d{2}/(\d{8}(?:M\d+)?(?:-[\w-]+)?)\.\w+$", "İLÂN BÖLÜMÜ"
+
+
+def _plain_section(text: Column) -> Column:
+    return F.translate(tr_lower(collapse(text)), "â", "a")
+
+
+def gazette_items(pages: DataFrame, excluded: tuple[str, ...] = (NOTICES,), indexes: tuple[str, ...] = ()) -> DataFrame:
+    """issue, place, url, external_id, title, day, category, section, subtitle, role of the texts that issues of the gazette list.
+
+    ``pages``: day, supplement (0: the day's own issue), url, html.  An item
+    belongs to the section and subtitle before it.  Items of another issue, as a
+    missing supplement shows them, are none; nothing counts after a day's first
+    supplement without items.  Of the excluded sections only lists of notices
+    named in ``indexes`` are kept, as role ``index``; all others have role ``item``.
+    """
+    issue = F.concat(F.date_format("day", "yyyyMMdd"), F.when(F.col("supplement") > 0, F.concat(F.lit("M"), F.col("supplement").cast("string"))).otherwise(""))
+    lines = pages.select("day", "supplement", issue.alias("issue"), F.explode(outlines(F.col("html"), F.col("url"), GAZETTE_KINDS, GAZETTE_WITHIN)).alias("x")).select("day", "supplement", "issue", "x.*")
+    # The window is one page's.
+    before = Window.partitionBy("issue").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.when(F.col("kind") != "item", F.struct("kind", "text"))
+    last = F.last(header, ignorenulls=True).over(before)
+    lines = lines.withColumn("section", F.last(F.when(F.col("kind") == "section", collapse("text")), ignorenulls=True).over(before)).withColumn("_last", last)
+    lines = lines.withColumn("subtitle", F.when(F.col("_last.kind") == "subtitle", collapse("_last.text")))
+    own = F.concat(F.lit("/"), F.col("issue"))
+    found = lines.where((F.col("kind") == "item") & F.col("url").isNotNull() & F.regexp_extract("url", r"(/\d{8}(?:M\d+)?)(?:-[\w-]+)?\.\w+$", 1).eqNullSafe(own))
+    # Supplements are numbered on, so one that is empty ends the day.
+    there = found.select("day", "supplement").distinct()
+    empty = pages.select("day", "supplement").join(there, ["day", "supplement"], "left_anti").groupBy("day").agg(F.min("supplement").alias("_end"))
+    found = found.join(empty, "day", "left").where(F.col("_end").isNull() | (F.col("supplement") < F.col("_end")))
+    put_out = _plain_section(F.col("section")).isin(*[F.translate(tr_lower(F.lit(x)), "â", "a") for x in excluded]) if excluded else F.lit(False)
+    title = collapse("title")
+    listed = F.lit(False)
+    for name in indexes:
+        listed = listed | _plain_section(title).contains(_plain_section(F.lit(name)))
+    role = F.when(~F.coalesce(put_out, F.lit(False)), "item").when(listed, "index")
+    ident = F.coalesce(F.nullif(F.regexp_extract("url", GAZETTE_ITEM, 1), F.lit("")), "url")
+    return found.select("issue", "place", "url", ident.alias("external_id"), title.alias("title"), "day", F.coalesce("subtitle", "section").alias("category"), "section", "subtitle", role.alias("role")).where("role is not null")
+
+
+def gazette_notices(indexes: DataFrame, pages: DataFrame, issuers: list[str]) -> DataFrame:
+    """issue, url, external_id, title, day, issuer: the notices of ``indexes`` (of :func:`gazette_items`) whose issuer fits one of the patterns, in lower case.
+
+    ``pages``: url, html of the lists of notices; an address that a list names twice counts once.
+    """
+    lists = indexes.where("role = 'index'").select("issue", "day", F.col("title").alias("index_title"), F.col("url").alias("of"))
+    both = lists.join(pages.select(F.col("url").alias("of"), "html"), "of")
+    links = both.select("issue", "day", "index_title", "of", F.explode(outlines(F.col("html"), F.col("of"), (("a", "a[href]"),))).alias("x")).select("issue", "day", "index_title", "of", "x.*")
+    ident, who = F.regexp_extract("url", GAZETTE_ITEM, 1), collapse("text")
+    fits = F.lit(False)
+    for pattern in issuers:
+        fits = fits | tr_lower(who).rlike(f"(?U){pattern}")
+    kept = links.where((ident != "") & (who != "") & fits)
+    first = F.row_number().over(Window.partitionBy("issue", "of", "url").orderBy("place"))
+    kept = kept.withColumn("turn", first).where("turn = 1").withColumn("issuer", F.trim(F.regexp_replace(who, ":+$", "")))
+    return kept.select("issue", "url", ident.alias("external_id"), F.concat("issuer", F.lit(" — "), "index_title").alias("title"), "day", "issuer")

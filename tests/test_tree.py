@@ -149,3 +149,17 @@ def test_fields_of_menus(spark):
         mine = sorted(x["external_id"] for x in rows if x["page_id"] == r["page_id"])
         assert mine == sorted({f"menu:{html.unescape(m)[1:]}" for m in menu}), r["page_id"]
     assert all(x["title"].startswith("M: ") and x["day"] is None for x in rows)
+
+
+def test_the_gazette_and_its_notices(spark):
+    day = dt.date(2024, 3, 5)
+    item = lambda key, n, text: f"<div class='fihrist-item'>— <a href='/eskiler/2024/03/{key}-{n}.htm'>– {text}</a></div>"
+    main = "<div id='html-content'><div class='html-title'>YÜRÜTME</div><div class='html-subtitle'>TEBLİĞLER</div>" + item("20240305", 1, "One") + "<div class='html-title'>YARGI</div>" + item("20240305", 2, "Two") + item("20240304", 9, "of yesterday") + "<div class='html-title'>İLÂN BÖLÜMÜ</div>" + item("20240305", 3, "Çeşitli İlânlar") + item("20240305", 4, "Artırma") + "</div>"
+    pages = [(day, 0, "http://g/f", main), (day, 1, "http://g/f", "<div id=html-content>" + item("20240305M1", 1, "Extra") + "</div>"), (day, 2, "http://g/f", main), (day, 3, "http://g/f", "<div id=html-content>" + item("20240305M3", 1, "never") + "</div>"), (dt.date(2024, 3, 6), 0, "http://g/f", None)]
+    found = listings.gazette_items(spark.createDataFrame(pages, "day date, supplement int, url string, html string"), indexes=("çeşitli ilan",))
+    rows = {(r["external_id"], r["title"], r["category"], r["role"]) for r in found.collect()}
+    assert rows == {("20240305-1", "One", "TEBLİĞLER", "item"), ("20240305-2", "Two", "YARGI", "item"), ("20240305-3", "Çeşitli İlânlar", "İLÂN BÖLÜMÜ", "index"), ("20240305M1-1", "Extra", None, "item")}
+    notices = "<a href='/ilanlar/eskiilanlar/2024/03/20240305-7.htm'>BANKACILIK Kurumundan:</a><a href='/ilanlar/eskiilanlar/2024/03/20240305-7.htm'>Bankacılık again</a><a href='/ilanlar/eskiilanlar/2024/03/20240305-8.htm'>Belediye</a><a href='/x.htm'>Bankacılık</a>"
+    lists = spark.createDataFrame([("http://g/eskiler/2024/03/20240305-3.htm", notices)], "url string, html string")
+    got = listings.gazette_notices(found, lists, [r"bankacılık\b", "sermaye"]).collect()
+    assert [(r["issue"], r["external_id"], r["title"], r["issuer"], r["day"]) for r in got] == [("20240305", "20240305-7", "BANKACILIK Kurumundan — Çeşitli İlânlar", "BANKACILIK Kurumundan", day)]
