@@ -231,3 +231,16 @@ def experiment_summary(items: DataFrame) -> DataFrame:
     """One row: items, answers that changed, calls answered from the cache, and answers right on either side."""
     right = lambda c: F.count_if(F.col("expected").eqNullSafe(F.col(c)) & F.col("expected").isNotNull())
     return items.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.count_if("cached").alias("cached"), right("a").alias("right_a"), right("b").alias("right_b"))
+
+
+def comparison_sheets(rows: DataFrame, outcomes: DataFrame, extra: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of a comparison: how many rows came out how, every row with its outcome, and visible records that no row names."""
+    summary = outcomes.groupBy("outcome").agg(F.count("*").alias("n")).union(extra.agg(F.lit("extra").alias("outcome"), F.count("*").alias("n")))
+    return {"summary": summary, "rows": rows.join(outcomes, "row", "left"), "extra": extra}
+
+
+def experiment_sheets(items: DataFrame, strata: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of an experiment: its summary, its strata, and every item with those first whose answers differ."""
+    changed = ~F.col("a").eqNullSafe(F.col("b"))
+    ordered = items.withColumn("changed", changed).orderBy(F.desc("changed"), "doc_id")
+    return {"summary": experiment_summary(items), "strata": strata, "items": ordered}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import archive, channels, decisions, detections, monitoring, publications, queues
+from docketry.operators import archive, channels, decisions, detections, evaluation, monitoring, publications, queues
+from docketry.session import shared_path
+from docketry.sources import files
 
 from . import bindings as b
-from .bindings import HISTORY, LINKS, RECORDS, RUNS, SUGGESTIONS
+from .bindings import HISTORY, JUDGED, LINKS, RECORDS, RUNS, SUGGESTIONS
 from .catalogue import NOW, now, query
 
 # ---------------------------------------------------------------- publications of a record
@@ -669,3 +671,26 @@ def summary_citations(spark, sf):
 @query(f"WITH {CLAIMS} SELECT reg_id, count(quote) AS verified, count(*) AS claims, round(count(quote) / count(*), 4) AS score FROM cl GROUP BY 1")
 def grounding_scores(spark, sf):
     return channels.grounding(_claims(spark, sf))
+
+
+@query(f"""WITH {OUTCOMES}, ex AS (SELECT reg_id FROM stg JOIN own USING (reg_id) WHERE visible AND publish_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND reg_id NOT IN (SELECT final FROM oc WHERE final IS NOT NULL))
+    SELECT 'summary' AS sheet, outcome AS name, CAST(count(*) AS VARCHAR) AS value FROM oc GROUP BY outcome UNION ALL SELECT 'summary', 'extra', CAST(count(*) AS VARCHAR) FROM ex
+    UNION ALL SELECT 'rows', outcome, CAST(row AS VARCHAR) FROM oc UNION ALL SELECT 'extra', NULL, CAST(reg_id AS VARCHAR) FROM ex""")
+def comparison_workbook(spark, sf):
+    """The comparison's three sheets, written and read again."""
+    rows, found = _outcomes(spark, sf)
+    extra = detections.extra_alerts(rows, found, "1997-01-01", "1997-12-31").select("reg_id", "publish_date")
+    path = shared_path(spark, "comparison")
+    files.write_workbook(detections.comparison_sheets(_detected(spark, sf).select("row", "issuer", "title_key"), found, extra), path)
+    sheet = lambda place, name, a, b: files.read_sheet(spark, path, place, name).select(F.lit(name).alias("sheet"), a.cast("string").alias("name"), F.col(b).alias("value"))
+    return sheet(1, "summary", F.col("outcome"), "n").union(sheet(2, "rows", F.col("outcome"), "row")).union(sheet(3, "extra", F.lit(None), "reg_id"))
+
+
+@query(f"""WITH {JUDGED} SELECT doc_id, CASE WHEN a IS NULL THEN '' ELSE CAST(a AS VARCHAR) END AS a, CASE WHEN b IS NULL THEN '' ELSE CAST(b AS VARCHAR) END AS b, a IS DISTINCT FROM b AS changed FROM item""")
+def experiment_workbook(spark, sf):
+    """The experiment's sheets, written; the items as they are read again."""
+    items, path = b.judged(spark, sf), shared_path(spark, "experiment")
+    files.write_workbook(detections.experiment_sheets(items.select("doc_id", "a", "b", "expected", F.lit(False).alias("cached")), evaluation.strata_summary(items)), path)
+    again = files.read_sheet(spark, path, 3, "items")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return again.select(F.col("doc_id").cast("long").alias("doc_id"), empty("a"), empty("b"), F.col("changed").cast("boolean").alias("changed"))

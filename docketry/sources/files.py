@@ -60,6 +60,18 @@ def write_sheet(rows: DataFrame, path: str) -> None:
     rows.select(*cells).write.option("header", True).option("sep", ";").mode("overwrite").csv(path)
 
 
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """Sheets side by side, each a folder of CSV files named by its place and name; written by all tasks, whatever their size."""
+    for place, (name, rows) in enumerate(sheets.items(), 1):
+        write_sheet(rows, f"{path}/{place:02d}-{name}")
+
+
+def read_sheet(spark: SparkSession, path: str, place: int, name: str) -> DataFrame:
+    """A written sheet's cells as texts, those that were marked as no formulas without the mark."""
+    rows = spark.read.option("header", True).option("sep", ";").csv(f"{path}/{place:02d}-{name}")
+    return rows.select(*[F.regexp_replace(c, "^'(?=[=+@\\t\\r-])", "").alias(c) for c in rows.columns])
+
+
 def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One text: nodes (id, label, n) and edges (a, b, label) as a flow chart; ways back are dashed.
 
