@@ -835,7 +835,7 @@ def _issues(spark, sf):
     issue = F.concat(F.date_format("day", "yyyyMMdd"), F.when(F.col("supplement") > 0, "M1").otherwise(""))
     section = F.when(F.col("name") == "LOW", "İlân  Bölümü").otherwise(F.col("name"))
     item = F.concat(F.lit("<div class='html-title'>"), section, F.lit("</div>"), F.when(F.col("k") % 3 == 0, "<p class='html-subtitle'>Sub</p>").otherwise(""), F.lit("<div class='fihrist-item x'>– <a href='/eskiler/2001/01/"), issue, F.lit("-"), F.col("k").cast("string"), F.lit(".htm'>Order "), F.col("k").cast("string"), F.lit("</a></div>"))
-    html = F.concat(F.lit("<div id=html-content>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("h")))), lambda x: x["h"]), "<div class=fihrist-item><a href=/other/20000101-1.htm>of another day</a></div>"), F.lit("</div>"))
+    html = F.concat(F.lit("<div id=html-content>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("h")))), lambda x: x["h"]), "<div class=fihrist-item><a href=/other/19000101-1.htm>of another day</a></div>"), F.lit("</div>"))
     pages = orders.groupBy("day", "supplement").agg(html.alias("html"))
     return pages.withColumn("url", F.lit("https://g.example/fihrist"))
 
