@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,6 +104,30 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def trim_memory() -> None:
+    """Hand freed memory back to the system, where Arrow and the C library can.
+
+    Python workers live on after a task, and what each stage leaves with them adds up.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that ends by :func:`trim_memory`."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim_memory()
+
+    return task
+
+
 def runs_of_bytes(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts holding about ``limit`` bytes each."""
     start = size = 0

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_of
+from .common import giving_back, text_of
 
 _EDGES = re.compile(r"^\W+|\W+$")
 _COINS = 256
@@ -388,6 +388,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, setup: Leaks = Leaks()) ->
                 rows = [(name, *x) for name, own in zip(batch.column("doc_id").to_pylist(), found, strict=True) for x in own]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-        found = docs.select("doc_id", text_of().alias("text")).mapInArrow(search, schema)
+        found = docs.select("doc_id", text_of().alias("text")).mapInArrow(giving_back(search), schema)
         out = found if out is None else out.union(found)
     return out

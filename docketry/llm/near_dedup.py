@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, runs_of_bytes, staged, text_of
+from .common import byte_texts, giving_back, runs_of_bytes, staged, text_of
 from .components import components
 
 _BLOCK = 1 << 16
@@ -142,7 +142,7 @@ def _sketched(docs: DataFrame, setup: Sketches) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), *halves, registers], ["doc_id", "n_shingles", "s1", "s2", "registers"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {id_type}, n_shingles long, s1 long, s2 long, registers binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(giving_back(run), f"doc_id {id_type}, n_shingles long, s1 long, s2 long, registers binary")
 
 
 def _banded(nodes: DataFrame, setup: Sketches) -> DataFrame:
@@ -159,7 +159,7 @@ def _banded(nodes: DataFrame, setup: Sketches) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(key)), setup.bands))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(at), pa.array(key.ravel().view(np.int64))], ["node", "key"])
 
-    return nodes.select("node", "registers").mapInArrow(run, f"node {nodes.schema['node'].dataType.simpleString()}, key long")
+    return nodes.select("node", "registers").mapInArrow(giving_back(run), f"node {nodes.schema['node'].dataType.simpleString()}, key long")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, setup: Sketches) -> DataFrame:
@@ -175,7 +175,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, setup: Sketches) -> DataFrame:
             near = [estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m, setup) >= least for x, y, n, m in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return sized.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, pairs.select("a", "b").schema)
+    return sized.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(giving_back(run), pairs.select("a", "b").schema)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, setup: Sketches, cells: int = 0) -> DataFrame:
@@ -199,7 +199,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, setup: Sketches, cells: int = 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64()), pa.array(unlike, pa.list_(pa.int32())), pa.array(linked, pa.bool_())], ["a", "b", "apart", "unlike", "linked"])
 
     id_type = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {id_type}, b {id_type}, apart long, unlike array<int>, linked boolean")
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(giving_back(run), f"a {id_type}, b {id_type}, apart long, unlike array<int>, linked boolean")
 
 
 def _own_shingles(sets: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(at), pa.array(np.concatenate(each) if each else np.empty(0, np.int64))], ["node", "shingle"])
 
-    shingles = sets.mapInArrow(run, f"node {sets.schema['node'].dataType.simpleString()}, shingle long")
+    shingles = sets.mapInArrow(giving_back(run), f"node {sets.schema['node'].dataType.simpleString()}, shingle long")
     once = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
     own = once.groupBy("node").agg(F.count("*").alias("own"))
     sized = sets.groupBy("node").agg(F.min(F.octet_length("shingles") / 8).cast("long").alias("size"))
@@ -261,7 +261,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, setup: Sketches) -> DataFrame
 
     texts = docs.select(F.col("doc_id").alias("node"), text_of().alias("text")).join(wanted, "node")
     kind = f"node {wanted.schema['node'].dataType.simpleString()}, shingles binary"
-    return texts.select("node", "text", "s1").mapInArrow(run, kind).dropDuplicates(["node"])
+    return texts.select("node", "text", "s1").mapInArrow(giving_back(run), kind).dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, setup: Sketches = Sketches()) -> DataFrame:

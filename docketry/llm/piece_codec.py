@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
+
 SPACE = "▁"
 _CACHED, _LONGEST_CACHED = 400_000, 64
 
@@ -190,4 +192,4 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
             columns = [*(batch.column(c) for c in rest), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [*rest, *names])
 
-    return frame.mapInArrow(encode, schema)
+    return frame.mapInArrow(giving_back(encode), schema)

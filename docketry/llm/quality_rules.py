@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import staged
+from .common import staged, trim_memory
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim")
 _COUNTS = StructType([StructField(name, LongType()) for name in MEASURES])
@@ -74,6 +74,7 @@ def measure(text: str) -> tuple[int, ...]:
 @pandas_udf(_COUNTS)
 def measures(texts: pd.Series) -> pd.DataFrame:
     rows = [measure(x or "") for x in texts]
+    trim_memory()
     return pd.DataFrame(rows, columns=list(MEASURES), dtype="int64")
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, runs_of_bytes, staged, text_of
+from .common import byte_texts, giving_back, runs_of_bytes, staged, text_of
 
 GRAM = 32
 _PIECE = 1 << 20
@@ -169,7 +169,7 @@ def repeated_ranges(docs: DataFrame, length: int, most_contexts: int) -> DataFra
     long = docs.where(F.octet_length("text") >= length)
     schema = "gram long, context long, place long, first long, last long"
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = long.mapInArrow(anchors, f"{schema}, doc_id {id_type}, _h long")
+    found = long.mapInArrow(giving_back(anchors), f"{schema}, doc_id {id_type}, _h long")
     several = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
     several = several.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed"))
     repeated = staged(found.join(several, "gram"), "repeated")
@@ -184,7 +184,7 @@ def repeated_ranges(docs: DataFrame, length: int, most_contexts: int) -> DataFra
     cut = F.expr(f"transform(wanted, x -> named_struct('gram', x.gram, 'context', x.context, 'n', x.n, 'crowded', x.crowded, 'place', x.place - x.first, 'bytes', substring(cast(text as binary), cast(x.first + 1 as int), cast(x.last - x.first + {length} as int))))")
     contexts = staged(wanted.select(F.explode(cut).alias("x")).select("x.*"), "contexts")
     tree = contexts.where("not crowded").select("gram", "context", "n", "bytes").repartition("gram").sortWithinPartitions("gram", "context")
-    ranges = tree.mapInArrow(_tree_ranges(length), "gram long, context long, start long, end long")
+    ranges = tree.mapInArrow(giving_back(_tree_ranges(length)), "gram long, context long, start long, end long")
     crowded = contexts.where("crowded").select("gram", "context", "n", "place", "bytes")
     if not crowded.isEmpty():
         ranges = ranges.union(_halved(crowded, length))
@@ -228,7 +228,7 @@ def _halved(contexts: DataFrame, length: int) -> DataFrame:
     kind = "gram long, context long, n long, place long, bytes binary, block long, low long, high long, all long, shared long"
     open_blocks, out = contexts.withColumn("block", F.lit(None).cast("long")), None
     while size:
-        blocks = staged(open_blocks.mapInArrow(_blocks(size, length), kind), "blocks")
+        blocks = staged(open_blocks.mapInArrow(giving_back(_blocks(size, length)), kind), "blocks")
         whole = blocks.groupBy("gram", "low", "high", "all").agg(F.sum("n").alias("same"), F.min("context").alias("keeper")).where("same > 1")
         part = blocks.groupBy("gram", "block", "shared").agg(F.sum("n").alias("alike")).where("alike > 1")
         known = blocks.join(whole, ["gram", "low", "high", "all"], "left")
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_contexts: int = 256,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), batch.column("text"), ranges, pa.array(kept, pa.binary())], [*rest, "text", "spans", "kept"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*rest, "text").schema)
-    return both.mapInArrow(cut, f"{columns}, spans array<struct<start: long, end: long>>, kept binary")
+    return both.mapInArrow(giving_back(cut), f"{columns}, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def _inward(text: bytes, start: int, end: int) -> tuple[int, int]:
