@@ -10,6 +10,7 @@ its occurrences (:func:`locate_tokens`) without decoding the rest.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import shared_dir, text_of
+from .common import giving_back, shared_dir, text_of
 
 BITS = 16
 BLOCK = 512
@@ -37,6 +38,14 @@ _CUT = re.compile(r"(?<=[\w!-~])(?=[ \n])")
 _MARKS = ".,;:!?"
 
 
+@functools.cache
+def _tokenizer(file: str):
+    """Loaded once a worker; the library holds on to what it frees."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(file)
+
+
 class WaveletMatrix:
     """``planes[k]``: packed bits; ``zeros[k]``: zeros in the plane; ``ones[k]``: ones before each block of it."""
 
@@ -138,9 +147,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_file: str, remember: bool = True):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer = _tokenizer(tokenizer_file)
         if self.tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"ids of more than {BITS} bits")
         self.known, self.older = _KNOWN.setdefault(tokenizer_file, ({}, {}))
@@ -240,7 +247,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -
             yield row()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    shards = ordered.mapInArrow(encode, f"shard int, segment int, n_tokens long, doc_ids array<{id_type}>, lengths array<long>, zeros array<long>, planes array<binary>, ones array<binary>")
+    shards = ordered.mapInArrow(giving_back(encode), f"shard int, segment int, n_tokens long, doc_ids array<{id_type}>, lengths array<long>, zeros array<long>, planes array<binary>, ones array<binary>")
     # Small batches keep whole texts from piling up beside the pieces that a worker remembers.
     size, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession
     before = spark.conf.get(size)
@@ -275,7 +282,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
             keys = [pa.array([r[k]] * n, pa.int32()) for k in ("shard", "segment")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(r["doc_ids"], kind), pa.array(np.cumsum(r["lengths"]) - r["lengths"]), pa.array(r["lengths"], pa.int64()), pa.array(_documents(r), pa.binary())], columns)
 
-    return shards.mapInArrow(decode, f"shard int, segment int, doc_id {id_type.simpleString()}, inside long, n_tokens long, ids binary")
+    return shards.mapInArrow(giving_back(decode), f"shard int, segment int, doc_id {id_type.simpleString()}, inside long, n_tokens long, ids binary")
 
 
 def _matrix(row: dict) -> WaveletMatrix:
@@ -294,7 +301,7 @@ def count_tokens(shards: DataFrame, ids: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array([m.count(x) if x >> len(m.planes) == 0 else 0 for x in asked], pa.int64())], ["token_id", "n"])
 
     every = shards.sparkSession.createDataFrame([(x, 0) for x in asked], "token_id int, n long")
-    found = shards.select("n_tokens", "zeros", "planes", "ones").mapInArrow(run, "token_id int, n long")
+    found = shards.select("n_tokens", "zeros", "planes", "ones").mapInArrow(giving_back(run), "token_id int, n long")
     return found.union(every).groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
@@ -314,7 +321,7 @@ def locate_tokens(shards: DataFrame, ids: list[int]) -> DataFrame:
                     columns = [pa.array(np.full(len(at), x, np.int32)), pa.array([r["doc_ids"][d] for d in doc.tolist()], kind), pa.array(at - (ends - r["lengths"])[doc])]
                     yield pa.RecordBatch.from_arrays(columns, ["token_id", "doc_id", "place"])
 
-    return shards.select("n_tokens", "doc_ids", "lengths", "zeros", "planes", "ones").mapInArrow(run, f"token_id int, doc_id {id_type.simpleString()}, place long")
+    return shards.select("n_tokens", "doc_ids", "lengths", "zeros", "planes", "ones").mapInArrow(giving_back(run), f"token_id int, doc_id {id_type.simpleString()}, place long")
 
 
 def tokens_at(shards: DataFrame, places: DataFrame) -> DataFrame:
@@ -362,7 +369,7 @@ def token_table(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
             keys = [pa.array([r[k]] * n, pa.int32()) for k in ("shard", "segment")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(r["doc_ids"], kind), pa.array(np.cumsum(r["lengths"]) - r["lengths"]), pa.array(r["lengths"], pa.int64()), pa.array(crc, pa.int64())], ["shard", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    rows = shards.mapInArrow(checked, f"shard int, segment int, doc_id {id_type.simpleString()}, inside long, n_tokens long, ids_crc32 long")
+    rows = shards.mapInArrow(giving_back(checked), f"shard int, segment int, doc_id {id_type.simpleString()}, inside long, n_tokens long, ids_crc32 long")
     # A row a shard, then a row a segment of one shard: no window is over documents.
     sizes = shards.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
