@@ -74,6 +74,8 @@ def attach(rows: DataFrame, totals: DataFrame, keys: list[str], salt: str, most:
 
     A small ``totals``, as measured, is broadcast.  Of a larger one every key is
     copied for each salt, and the rows of a hot key are dealt out by the hash of ``salt``.
+    The planner knows only the size of its packed files, before the copies, so
+    it's told not to broadcast them.
     """
     totals = staged(totals, "totals")
     size = totals.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32).alias("s")).first()["s"] or 0
@@ -84,7 +86,7 @@ def attach(rows: DataFrame, totals: DataFrame, keys: list[str], salt: str, most:
     else:
         copies = renamed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         dealt = rows.withColumn("_row_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(copies, [*same, F.col("_row_salt") == F.col("_salt")], "left").drop("_salt", "_row_salt")
+        joined = dealt.join(copies.hint("merge"), [*same, F.col("_row_salt") == F.col("_salt")], "left").drop("_salt", "_row_salt")
     return joined.drop(*[f"_{k}" for k in keys])
 
 

@@ -159,7 +159,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, redirects: DataFr
 
     labels = components(links)
     of_node = labels.withColumnRenamed("node", "plain")
-    bad = blocked.join(of_node, "plain").select("comp", F.lit(True).alias("bad")).distinct()
+    bad = blocked.join(of_node.hint("merge"), "plain").select("comp", F.lit(True).alias("bad")).distinct()
     spread = attach(of_node, bad, ["comp"], salt="plain").where("bad").select("plain")
     reach = blocked.union(spread).distinct().withColumn("alias_blocked", F.lit(True))
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.llm import redirect_filter as rf
+from docketry.llm.common import attach
 from docketry.llm.queries import URL_RULES
 
 
@@ -94,3 +95,12 @@ def test_plain_forms(spark):
     urls = {"http://WWW.m.A.net:80/x/index.html?utm_a=1&b=2&utm_c=3#f": "a.net/x?b=2", "https://a.net/": "a.net", "https://a.net?utm_x": "a.net", "x": None, "http://a.net/y//?": "a.net/y"}
     frame = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r["u"]: r["p"] for r in frame.select("u", rf.plain_form(F.col("u")).alias("p")).collect()} == urls
+
+
+def test_a_side_over_the_bound_is_never_broadcast(spark):
+    """Its packed files are far smaller than its copies, which the planner doesn't see."""
+    rows = spark.range(2000).select(F.concat(F.lit("https://a.example/"), F.col("id")).alias("plain"), F.col("id").alias("page_id"))
+    totals = rows.where("page_id % 2 = 0").select("plain", F.lit(True).alias("bad"))
+    joined = attach(rows, totals, ["plain"], salt="page_id", most=1000)
+    assert joined.where("bad").count() == 1000 and joined.count() == 2000
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
