@@ -37,3 +37,31 @@ def test_the_best_title_is_the_best_of_all_pairs(spark):
     want = {tuple(r) for r in detections._one(detections.near_titles(rows, pubs), "title").collect()}
     assert {tuple(r) for r in detections.best_titles(rows, pubs, chunk=7).drop("title_key").collect()} == want and len(want) > 20
 
+
+def test_references_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    day = lambda: DAY + dt.timedelta(rng.randint(0, 90)) if rng.random() < 0.9 else None
+    rows = [(k, rng.choice(["A", "B", None]), rng.choice(["1", "2", "3", None]), day()) for k in range(120)]
+    pubs = [(k, rng.choice([None, k % 4]), rng.choice("AB"), rng.choice(["1", "2"]), day()) for k in range(14)]
+    want = set()
+    for k, issuer, number, at in rows:
+        if number is not None:
+            met = [p for p in pubs if p[2:4] == (issuer, number)]
+            near = [p for p in met if at is None or p[4] is None or abs((p[4] - at).days) <= 7]
+            regs = {p[1] for p in near} - {None}
+            status = "none" if not met else "conflict" if not near else "ambiguous" if len(regs) > 1 else "matched" if regs else "unverified"
+            want.add((k, status, *(regs if len(regs) == 1 else [None])))
+    got = detections.reference_match(spark.createDataFrame(rows, "row long, issuer string, number string, day date"), spark.createDataFrame(pubs, "doc_id long, reg_id long, issuer string, number string, day date"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert {w[1] for w in want} == {"none", "conflict", "ambiguous", "matched", "unverified"}
+    assert "doc_id" not in got.columns and "count(distinct" not in got._jdf.queryExecution().toString()
+
+
+def test_candidates_are_ranked_once_a_key(spark):
+    rows, pubs = tables(spark, 30)
+    pubs = pubs.withColumn("reg_id", F.col("doc_id") % 8).withColumn("score", F.col("doc_id") % 5)
+    pairs = rows.join(pubs.select("issuer", "number", "reg_id", "doc_id", "score"), ["issuer", "number"])
+    got = detections.key_candidates(rows, pubs, ["issuer", "number"])
+    want = detections.review_candidates(pairs.select("row", "reg_id", "doc_id", "score"))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
