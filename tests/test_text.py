@@ -160,3 +160,16 @@ def test_exact_quotes_of_any_number_of_words(spark):
     items = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
     got = {(r["item_id"], r["doc_id"], r["start"]) for r in exact_quotes(items, docs).collect()}
     assert got == {(n, 1, text.index(q) + 1) for n, q in enumerate(quotes) if q and q in text}
+
+
+def test_a_sentence_is_sought_once_and_only_where_its_verb_stands(spark):
+    from conftest import DATA
+
+    from docketry.plans.catalogue import QUERIES
+
+    plan = QUERIES["effective_clauses"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+    said = "MADDE 5 - (1) Bu Tebliğ yayımı tarihinde yürürlüğe girer."
+    rows = spark.createDataFrame([(f"{'x ' * 400}\n{said}\nSon.",), ("Giriş. tarihinden itibaren uygulanır\n",), ("yok. " * 4000,), (None,)], "text string")
+    got = rows.select(text.effective_clause("text", F.lit("2024-02-01").cast("date")).alias("c")).select("c.clause", F.col("c.value").cast("string"), "c.basis").collect()
+    assert [tuple(r) for r in got] == [("Bu Tebliğ yayımı tarihinde yürürlüğe girer", "2024-02-01", "on_publication"), ("tarihinden itibaren uygulanır", None, "none"), (None, None, "none"), (None, None, "none")]
