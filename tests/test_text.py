@@ -1,11 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import html, text
 from docketry.functions.grounding import find_quote
-from docketry.functions.similarity import partial, ratio, token_set
+from docketry.functions.similarity import partial, partials, ratio, ratios, token_set, token_sets
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +174,13 @@ def test_a_sentence_is_sought_once_and_only_where_its_verb_stands(spark):
     rows = spark.createDataFrame([(f"{'x ' * 400}\n{said}\nSon.",), ("Giriş. tarihinden itibaren uygulanır\n",), ("yok. " * 4000,), (None,)], "text string")
     got = rows.select(text.effective_clause("text", F.lit("2024-02-01").cast("date")).alias("c")).select("c.clause", F.col("c.value").cast("string"), "c.basis").collect()
     assert [tuple(r) for r in got] == [("Bu Tebliğ yayımı tarihinde yürürlüğe girer", "2024-02-01", "on_publication"), ("tarihinden itibaren uygulanır", None, "none"), (None, None, "none"), (None, None, "none")]
+
+
+def test_many_pairs_are_measured_as_each_one_is():
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("ab c") for _ in range(rng.randrange(n)))
+    pairs = [(some(70), some(rng.choice([5, 40, 90, 300]))) for _ in range(600)] + [("\0a", "a\0"), ("", ""), ("😀x", "😀"), ("a" * 63, "a" * 255), ("a" * 64, "a" * 64)]
+    assert ratios(pairs) == [float(ratio(*p)) for p in pairs]
+    assert token_sets(pairs) == [token_set(*p) for p in pairs]
+    assert partials(pairs) == [float(partial(*p)[0]) for p in pairs]
+    assert partials([]) == []
