@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from docketry.functions.html import page_links, unescaped
 from docketry.functions.text import collapse, parse_date, tr_lower
-from docketry.functions.tree import CssListing, css_items, outlines
+from docketry.functions.tree import CssListing, css_items, outlined, outlines
 from docketry.operators.changes import canonical_link, stable_id
+from docketry.session import staged
 
 
 @dataclass(frozen=True)
@@ -171,7 +172,8 @@ def gazette_items(pages: DataFrame, excluded: tuple[str, ...] = (NOTICES,), inde
     named in ``indexes`` are kept, as role ``index``; all others have role ``item``.
     """
     issue = F.concat(F.date_format("day", "yyyyMMdd"), F.when(F.col("supplement") > 0, F.concat(F.lit("M"), F.col("supplement").cast("string"))).otherwise(""))
-    lines = pages.select("day", "supplement", issue.alias("issue"), F.explode(outlines(F.col("html"), F.col("url"), GAZETTE_KINDS, GAZETTE_WITHIN)).alias("x")).select("day", "supplement", "issue", "x.*")
+    # Written once, as a page is dear to read and its items are asked for twice.
+    lines = staged(outlined(pages.withColumn("issue", issue), ["day", "supplement", "issue"], GAZETTE_KINDS, GAZETTE_WITHIN), "outlines")
     # The window is one page's.
     before = Window.partitionBy("issue").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     header = F.when(F.col("kind") != "item", F.struct("kind", "text"))

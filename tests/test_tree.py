@@ -163,3 +163,14 @@ def test_the_gazette_and_its_notices(spark):
     lists = spark.createDataFrame([("http://g/eskiler/2024/03/20240305-3.htm", notices)], "url string, html string")
     got = listings.gazette_notices(found, lists, [r"bankacılık\b", "sermaye"]).collect()
     assert [(r["issue"], r["external_id"], r["title"], r["issuer"], r["day"]) for r in got] == [("20240305", "20240305-7", "BANKACILIK Kurumundan — Çeşitli İlânlar", "BANKACILIK Kurumundan", day)]
+
+
+def test_a_page_of_very_many_parts_is_handed_on_in_parts(spark):
+    day, n = dt.date(2024, 3, 5), tree.OUTLINE_ROWS * 2 + 5
+    page = "".join(f"<p><a href='/x/{i}'>Text {i}</a></p>" for i in range(n))
+    pages = spark.createDataFrame([(day, "http://g/f", page), (day, "http://g/f", None), (day, None, "<p>last</p>")], "day date, url string, html string").coalesce(1)
+    found = tree.outlined(pages, ["day"], (("line", "p"),))
+    sizes = sorted(r["n"] for r in found.mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]][:1] for b in batches), "n long").collect())
+    assert sum(sizes) == n + 1 and found.select("day").distinct().count() == 1
+    rows = {(r["place"], r["text"], r["url"], r["title"]) for r in found.collect()}
+    assert rows == {(i, f"Text {i}", f"http://g/x/{i}", f"Text {i}") for i in range(n)} | {(0, "last", None, None)}
