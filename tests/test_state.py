@@ -34,6 +34,19 @@ def test_children_wait_go_on_and_are_given_up(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_a_parent_that_comes_again_counts_by_each_of_its_rows(spark, tmp_path):
+    h = lambda n: T + timedelta(hours=n)
+    batches = [
+        [(21, 2, h(0)), (2, None, h(12)), (31, 3, h(0))],
+        [(2, None, h(8)), (2, None, h(8)), (22, 2, h(9)), (22, 2, h(9)), (3, None, h(11))],
+        [(9, None, h(99))],
+    ]
+    stream = state.with_parents(stream_of(spark, tmp_path, batches, "id long, parent long, at timestamp"), timedelta(hours=10), "24 hours")
+    got = sorted((r["id"], r["state"]) for r in state.replayed(stream, spark, "t").collect())
+    assert got == [(2, "ready")] * 3 + [(3, "ready"), (9, "ready"), (21, "ready"), (22, "ready"), (22, "ready"), (31, "orphan")]
+    assert stream._jdf.queryExecution().logical().toString().count("TransformWithState") == 0
+
+
 def life(rows, quiet, snooze, until):
     """By the definition, key by key in order of time."""
     out = []
