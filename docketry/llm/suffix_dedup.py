@@ -18,8 +18,11 @@ cover are its context.
 4. An anchor with more than ``most_contexts`` contexts isn't gathered in one
    task.  Its windows are halved instead, by how far left of the anchor they
    start: a block of windows is repeated wholly if all its bytes are, and holds
-   no repeat if the bytes that its windows share are unlike all others; only
-   what is neither is halved again.  The counts are combined before the shuffle.
+   no repeat if the bytes that its windows share are unlike all others.  Of the
+   rest, blocks that share the same bytes go to the tree as soon as they are
+   ``most_contexts`` at most; only more of them are halved again.  The counts are
+   combined before the shuffle.  A context gives three blocks at first and two
+   for each that is halved, so rows grow with contexts, however they are grouped.
 
 Contexts and windows are told apart by 64-bit hashes besides the 64-bit hash
 of their anchor.
@@ -183,37 +186,46 @@ def repeated_ranges(docs: DataFrame, length: int, most_contexts: int) -> DataFra
     wanted = docs.join(wanted, same).select("text", "wanted")
     cut = F.expr(f"transform(wanted, x -> named_struct('gram', x.gram, 'context', x.context, 'n', x.n, 'crowded', x.crowded, 'place', x.place - x.first, 'bytes', substring(cast(text as binary), cast(x.first + 1 as int), cast(x.last - x.first + {length} as int))))")
     contexts = staged(wanted.select(F.explode(cut).alias("x")).select("x.*"), "contexts")
-    tree = contexts.where("not crowded").select("gram", "context", "n", "bytes").repartition("gram").sortWithinPartitions("gram", "context")
-    ranges = tree.mapInArrow(giving_back(_tree_ranges(length)), "gram long, context long, start long, end long")
+    none = [F.lit(0).cast("long").alias(c) for c in ("size", "block", "shared", "base")]
+    tree, found = contexts.where("not crowded").select("gram", *none, "context", "n", "bytes"), None
     crowded = contexts.where("crowded").select("gram", "context", "n", "place", "bytes")
     if not crowded.isEmpty():
-        ranges = ranges.union(_halved(crowded, length))
+        found, few = _halved(crowded, length, most_contexts)
+        tree = tree.unionByName(few)
+    tree = tree.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "context")
+    ranges = tree.mapInArrow(giving_back(_tree_ranges(length)), "gram long, context long, start long, end long")
+    if found is not None:
+        ranges = ranges.union(found)
     ranges = ranges.groupBy("gram", "context").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     partly = repeated.where("mixed").join(ranges, ["gram", "context"]).select("doc_id", "_h", "first", F.explode("ranges").alias("r"))
     wholly = repeated.where("not mixed").select("doc_id", "_h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     return wholly.union(partly.select("doc_id", "_h", F.col("first") + F.col("r.start"), F.col("first") + F.col("r.end")))
 
 
+#: What is gathered for one tree: an anchor's contexts, or its blocks of one size and place that share the same bytes.
+_GROUP = ["gram", "size", "block", "shared"]
+
+
 def _tree_ranges(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, group = None, []
+        key, group = None, []
 
         def close() -> list[tuple]:
-            unique = list({context: (context, n, text) for context, n, text in group}.values())
+            unique = list({x[0]: x for x in group}.values())
             found = maximal_repeats([x[2] for x in unique], [x[1] for x in unique], length)
-            return [(gram, x[0], a, b) for x, ranges in zip(unique, found, strict=True) for a, b in merged(ranges)]
+            return [(key[0], x[0], x[3] + a, x[3] + b) for x, ranges in zip(unique, found, strict=True) for a, b in merged(ranges)]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["gram", "context", "start", "end"])
 
         rows: list[tuple] = []
         for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "n", "bytes")), strict=True):
-                if g != gram and group:
+            for *own, context, n, text, base in zip(*(batch.column(c).to_pylist() for c in (*_GROUP, "context", "n", "bytes", "base")), strict=True):
+                if own != key and group:
                     rows += close()
                     group = []
-                gram = g
-                group.append(row)
+                key = own
+                group.append((context, n, text, base))
             yield batch_of(rows)
             rows = []
         if group:
@@ -222,23 +234,27 @@ def _tree_ranges(length: int):
     return scan
 
 
-def _halved(contexts: DataFrame, length: int) -> DataFrame:
-    """gram, context, start, end: what repeats in contexts of which any number may have one anchor."""
+def _halved(contexts: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """What is wholly repeated (gram, context, start, end) in contexts of which any number may have one anchor, and groups of at most ``most`` blocks for the tree."""
     size = 1 << (length - GRAM).bit_length() - 2
     kind = "gram long, context long, n long, place long, bytes binary, block long, low long, high long, all long, shared long"
-    open_blocks, out = contexts.withColumn("block", F.lit(None).cast("long")), None
+    open_blocks, out, few = contexts.withColumn("block", F.lit(None).cast("long")), None, None
     while size:
         blocks = staged(open_blocks.mapInArrow(giving_back(_blocks(size, length)), kind), "blocks")
         whole = blocks.groupBy("gram", "low", "high", "all").agg(F.sum("n").alias("same"), F.min("context").alias("keeper")).where("same > 1")
-        part = blocks.groupBy("gram", "block", "shared").agg(F.sum("n").alias("alike")).where("alike > 1")
         known = blocks.join(whole, ["gram", "low", "high", "all"], "left")
         found = known.where("same > 1").select("gram", "context", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))
         out = found if out is None else out.union(found)
         # Of equal blocks one goes on for all, as others may equal a part of it.
         going = known.where("same is null or context = keeper").withColumn("n", F.coalesce("same", "n"))
-        open_blocks = going.join(part, ["gram", "block", "shared"], "left_semi").select("gram", "context", "n", "place", "bytes", "block")
+        alike = going.groupBy("gram", "block", "shared").agg(F.count("*").alias("alike")).where("alike > 1")
+        going = staged(going.join(alike, ["gram", "block", "shared"]), "going")
+        own = F.substring("bytes", F.expr("cast(place - high + 1 as int)"), F.expr(f"cast(high - low + {length} as int)")).alias("bytes")
+        ready = going.where(F.col("alike") <= most).select("gram", F.lit(size).cast("long").alias("size"), "block", "shared", (F.col("place") - F.col("high")).alias("base"), "context", "n", own)
+        few = ready if few is None else few.union(ready)
+        open_blocks = going.where(F.col("alike") > most).select("gram", "context", "n", "place", "bytes", "block")
         size //= 2
-    return out
+    return out, few
 
 
 def _blocks(size: int, length: int):

@@ -46,6 +46,31 @@ def test_cases_by_tree_and_by_window_hash(spark):
         assert got == want
 
 
+def test_crowded_near_copies_are_halved_only_until_a_tree_holds_them(spark, monkeypatch):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh") for _ in range(400))
+    texts = []
+    for _ in range(80):
+        text = list(base)
+        for place in rng.sample(range(400), 12):
+            text[place] = rng.choice("XYZÄ")
+        texts.append("".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, real = Counter(), suffix_dedup.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", counted)
+    found = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, 60, 16).collect()}
+    got = [(len(found[i]["text"].encode()), sum(x.end - x.start for x in found[i]["spans"]), len(found[i]["spans"]), hashlib.sha256(found[i]["kept"]).hexdigest()) for i in range(80)]
+    assert got == brute([x.encode() for x in texts], 60)
+    # A block a window would be up to 29 rows a context.
+    assert made["contexts"] and made["blocks"] < 2 * made["contexts"]
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     rng = random.Random(1)
     text = bytes(rng.choice(b"abcd") for _ in range(3000))
