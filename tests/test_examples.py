@@ -2,7 +2,7 @@ import random
 
 from conftest import DATA
 
-from docketry.functions.similarity import token_set
+from docketry.functions.similarity import TokenSet, token_set
 from docketry.operators import examples, inbox
 from docketry.operators.inbox import ListQuery
 from docketry.plans import bindings, catalogue
@@ -28,6 +28,31 @@ def test_the_nearest_are_those_of_all(spark):
     assert examples.nearest(left, right.limit(0), 4).collect() == []
 
 
+def test_one_text_against_many_is_the_token_set_ratio():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcç") for _ in range(rng.randint(1, 5))) for _ in range(14)]
+    for _ in range(4000):
+        a, b = (" ".join(rng.choice(words) for _ in range(rng.randint(0, 7))) for _ in range(2))
+        assert TokenSet(a).ratio(b, set(b.split())) == token_set(a, b), (a, b)
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    rng, sizes, real = random.Random(8), {}, examples.tiles.Side
+    names = ["rules of cards", "Rules of Cards", "new rules", "fees of banks", "", "cards of rules and fees"]
+    texts = [(n, rng.choice(names)) for n in range(300)]
+    known = [(n, rng.choice(names), rng.choice([1.0, 2.0])) for n in range(200)]
+
+    def counted(rows, name, size):
+        sizes[name] = rows.count()
+        return real(rows, name, size)
+
+    monkeypatch.setattr(examples.tiles, "Side", counted)
+    left, right = spark.createDataFrame(texts, "record long, text string"), spark.createDataFrame(known, "example long, text string, weight double")
+    want = brute([(n, t.lower()) for n, t in texts], [(n, t.lower(), w) for n, t, w in known], 3)
+    assert sorted(map(tuple, examples.nearest(left, right, 3, 2, 4).collect())) == want
+    assert sizes["texts"] <= 5 and sizes["examples"] <= 5 * 2 * 3
+
+
 def test_the_query_is_all_pairs(spark):
     texts, known = ([tuple(r) for r in x.collect()] for x in catalogue._examples(spark, DATA))
     assert sorted(map(tuple, catalogue.nearest_examples(spark, DATA).collect())) == brute(texts, known, 5)
