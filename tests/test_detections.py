@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from docketry.functions.similarity import partial
 from docketry.operators import detections
 
 DAY = dt.date(2024, 3, 1)
@@ -65,3 +66,18 @@ def test_candidates_are_ranked_once_a_key(spark):
     want = detections.review_candidates(pairs.select("row", "reg_id", "doc_id", "score"))
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_texts_are_compared_whole(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passage, start, other = prose(30), prose(100), prose(200)
+    assert len(start) > 400
+    rows = spark.createDataFrame([(1, None, DAY, passage), (2, None, DAY, f"{start} {other}"), (3, None, DAY, f"{start} {prose(200)}")], "row long, issuer string, day date, text string")
+    # 1 stands behind the first 20,000 letters; 2 and 3 begin alike, but only 2 goes on as the document does.
+    bodies = {10: f"{prose(4500)} {passage} {prose(20)}", 11: f"{start} {other} {prose(9)}"}
+    assert bodies[10].index(passage) > 20_000
+    pubs = spark.createDataFrame([(k, k, None, DAY, t) for k, t in bodies.items()], "doc_id long, reg_id long, issuer string, day date, text string")
+    want = {(r["row"], k): s for r in rows.collect() for k, t in bodies.items() if (s := partial(r["text"], t, 65.0)[0]) >= 65}
+    got = {(r["row"], r["doc_id"]): r["score"] for r in detections.near_texts(rows, pubs).collect()}
+    assert got == want and (got[1, 10], got[2, 11]) == (100.0, 100.0) and got.get((3, 11), 0.0) < 100
