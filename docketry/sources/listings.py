@@ -172,16 +172,19 @@ def gazette_items(pages: DataFrame, excluded: tuple[str, ...] = (NOTICES,), inde
     named in ``indexes`` are kept, as role ``index``; all others have role ``item``.
     """
     issue = F.concat(F.date_format("day", "yyyyMMdd"), F.when(F.col("supplement") > 0, F.concat(F.lit("M"), F.col("supplement").cast("string"))).otherwise(""))
-    # Written once, as a page is dear to read and its items are asked for twice.
-    lines = staged(outlined(pages.withColumn("issue", issue), ["day", "supplement", "issue"], GAZETTE_KINDS, GAZETTE_WITHIN), "outlines")
+    own = F.concat(F.lit("/"), F.col("issue"))
+    listed = F.regexp_extract("url", r"(/\d{8}(?:M\d+)?)(?:-[\w-]+)?\.\w+$", 1).eqNullSafe(own)
+    # Written once, as a page is dear to read and its items are asked for twice; of items only those that count, without their text, which headers alone are asked for.
+    lines = outlined(pages.withColumn("issue", issue), ["day", "supplement", "issue"], GAZETTE_KINDS, GAZETTE_WITHIN)
+    lines = lines.where((F.col("kind") != "item") | (F.col("url").isNotNull() & listed)).withColumn("text", F.when(F.col("kind") != "item", F.col("text")))
+    lines = staged(lines, "outlines")
     # The window is one page's.
     before = Window.partitionBy("issue").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     header = F.when(F.col("kind") != "item", F.struct("kind", "text"))
     last = F.last(header, ignorenulls=True).over(before)
     lines = lines.withColumn("section", F.last(F.when(F.col("kind") == "section", collapse("text")), ignorenulls=True).over(before)).withColumn("_last", last)
     lines = lines.withColumn("subtitle", F.when(F.col("_last.kind") == "subtitle", collapse("_last.text")))
-    own = F.concat(F.lit("/"), F.col("issue"))
-    found = lines.where((F.col("kind") == "item") & F.col("url").isNotNull() & F.regexp_extract("url", r"(/\d{8}(?:M\d+)?)(?:-[\w-]+)?\.\w+$", 1).eqNullSafe(own))
+    found = lines.where("kind = 'item'")
     # Supplements are numbered on, so one that is empty ends the day.
     there = found.select("day", "supplement").distinct()
     empty = pages.select("day", "supplement").join(there, ["day", "supplement"], "left_anti").groupBy("day").agg(F.min("supplement").alias("_end"))

@@ -174,3 +174,19 @@ def test_a_page_of_very_many_parts_is_handed_on_in_parts(spark):
     assert sum(sizes) == n + 1 and found.select("day").distinct().count() == 1
     rows = {(r["place"], r["text"], r["url"], r["title"]) for r in found.collect()}
     assert rows == {(i, f"Text {i}", f"http://g/x/{i}", f"Text {i}") for i in range(n)} | {(0, "last", None, None)}
+
+
+def test_an_outline_is_told_in_one_walk_and_pages_are_dealt_over_all_tasks(spark, monkeypatch):
+    page = "<div id=c>" + "".join(f"<h2 class='h x'>H {n}</h2><div class=i><a href='/{n}'>I {n}</a></div><div class=i>none</div>" for n in range(20)) + "</div>"
+    kinds = (("head", ".h"), ("item", ".i"))
+    want = tree.outline(page, "https://a.org/", kinds, "#c")
+    assert [(x["kind"], x["text"], x["url"], x["title"]) for x in want[:3]] == [("head", "H 0", None, None), ("item", "I 0", "https://a.org/0", "I 0"), ("item", "none", None, None)] and len(want) == 60
+    pages = spark.createDataFrame([(k, page.replace("I ", f"I {k} "), "https://a.org/") for k in range(40)], "page_id long, html string, url string").coalesce(1)
+    got = tree.outlined(pages, ["page_id"], kinds, "#c")
+    assert got.count() == 40 * 60 and got.rdd.getNumPartitions() >= 4
+
+    def never(*_):
+        raise AssertionError("a walk of its own for each kind and item")
+
+    monkeypatch.setattr(tree, "select", never)
+    assert tree.outline(page, "https://a.org/", kinds, "#c") == want
