@@ -81,3 +81,16 @@ def test_texts_are_compared_whole(spark):
     want = {(r["row"], k): s for r in rows.collect() for k, t in bodies.items() if (s := partial(r["text"], t, 65.0)[0]) >= 65}
     got = {(r["row"], r["doc_id"]): r["score"] for r in detections.near_texts(rows, pubs).collect()}
     assert got == want and (got[1, 10], got[2, 11]) == (100.0, 100.0) and got.get((3, 11), 0.0) < 100
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    rows, pubs = tables(spark, 50)
+    records = spark.range(50).selectExpr("id AS reg_id", "'NEW' AS status", "true AS is_relevant", "id % 2 = 0 AS visible")
+    ends = spark.createDataFrame([(3, 4)], "reg_id long, into long")
+    matches = detections.match_rows(rows, pubs)
+    found = detections.outcomes(matches, records, ends)
+    picked = detections.with_selections(matches, matches.where("row % 9 = 0").select("row", "reg_id"))
+    for df in (matches, found, picked):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+    assert found.count() == picked.count() == 50
