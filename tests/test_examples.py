@@ -66,3 +66,20 @@ def test_criteria_that_need_a_table_say_so(spark):
         with pytest.raises(ValueError):
             inbox.filtered(records, units, q)
     assert inbox.filtered(records, units, ListQuery("2001-08-01", ids=())).collect() == []
+
+
+def test_a_tile_is_loaded_with_several_blocks(spark, monkeypatch):
+    rng, loaded, real = random.Random(4), {}, examples.tiles.Side
+    word = lambda: "".join(rng.choice("abcde") for _ in range(4))
+    texts, known = [(n, f"{word()} {word()}") for n in range(40)], [(n, f"{word()} {word()}", 1.0) for n in range(30)]
+
+    def noted(rows, name, size):
+        side = real(rows, name, size)
+        loaded[name] = side.chunks.count()
+        return side
+
+    monkeypatch.setattr(examples.tiles, "Side", noted)
+    left, right = spark.createDataFrame(texts, "record long, text string"), spark.createDataFrame(known, "example long, text string, weight double")
+    assert sorted(map(tuple, examples.nearest(left, right, 3, 4, 5).collect())) == brute(texts, known, 3)
+    # 10 blocks of texts and 6 of examples, but fewer tiles, as each is sent once a tile.
+    assert loaded["texts"] <= 3 and loaded["examples"] <= 3
