@@ -29,3 +29,20 @@ def test_unlike_texts_are_not_compared_letter_by_letter(monkeypatch):
     right = [{"doc_id": 9, "day": 4, "issuer": None, "reg_id": 7, "body": prose(400) + needles[2][:-3] + "xyz" + prose(300)}, {"doc_id": 10, "day": 40, "issuer": None, "reg_id": 7, "body": needles[0]}]
     assert [(a, b, r) for a, b, r, _ in detections._text_tile(65.0)(left, right, False)] == [(2, 9, 7)]
     assert [needles.index(a) for a, _ in calls] == [2]
+
+
+def test_letters_in_order_are_counted_for_many_stretches_at_once():
+    from docketry.functions import similarity
+
+    rng = random.Random(12)
+    word = lambda low, high: "".join(rng.choice("abcde ") for _ in range(rng.randint(low, high)))
+    # Up to more than two words of 63 bits, with what is carried from one to the next.
+    texts = sorted((word(50, 140) for _ in range(9)), key=len)
+    side = similarity._Alongside(texts, 65.0)
+    stretches = sorted((word(1, 200) for _ in range(25)), key=len, reverse=True)
+    numbers = [similarity.np.searchsorted(side.letters, similarity._codes(s)) for s in stretches]
+    assert side._common(numbers).tolist() == [[similarity.common(t, s) for t in texts] for s in stretches]
+    longs = [word(3, 400) for _ in range(8)] + [word(100, 200) + texts[4] + word(0, 9)]
+    parts = Parts(texts, 65.0)
+    found = parts.fits(longs)
+    assert found.tolist() == [parts.fit(x).tolist() for x in longs] and found[-1, 4]
